@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from registry import relational  # noqa: F401 - registers its queries
+from registry import documents, relational  # noqa: F401 - each registers its queries
 from registry.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
