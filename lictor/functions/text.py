@@ -32,60 +32,59 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def _found(text: Column, pattern: str, group: int = 0) -> Column:
-    matches = F.regexp_extract_all(collapsed(text), F.lit(pattern), F.lit(group))
+def _found(clean: Column, pattern: str, group: int = 0) -> Column:
+    matches = F.regexp_extract_all(clean, F.lit(pattern), F.lit(group))
     return F.array_sort(F.array_distinct(F.transform(matches, lambda m: F.trim(m))))
 
 
-def tax_ids(text: Column) -> Column:
-    return _found(text, TAX_ID)
+def _bodies(clean: Column) -> Column:
+    acronyms = r"(?U)\b(?:" + "|".join(ACRONYMS) + r")\b"
+    return F.array_sort(F.array_union(_found(clean, PUBLIC_BODY, 1), _found(clean, acronyms)))
 
 
-def case_files(text: Column) -> Column:
-    return _found(text, CASE_FILE)
+# Type of each entity and how it is found in collapsed text, in the order of the result.
+EXTRACTORS = {
+    "persona": lambda clean: _found(clean, PERSON, 1),
+    "empresa": lambda clean: _found(clean, COMPANY, 1),
+    "organismo": _bodies,
+    "cuit": lambda clean: _found(clean, TAX_ID),
+    "monto": lambda clean: _found(clean, MONEY),
+    "expediente": lambda clean: _found(clean, CASE_FILE),
+}
 
 
-def amounts(text: Column) -> Column:
-    return _found(text, MONEY)
+def persons(text: Column) -> Column:
+    return EXTRACTORS["persona"](collapsed(text))
 
 
 def companies(text: Column) -> Column:
-    return _found(text, COMPANY, 1)
+    return EXTRACTORS["empresa"](collapsed(text))
 
 
 def public_bodies(text: Column) -> Column:
-    acronyms = r"(?U)\b(?:" + "|".join(ACRONYMS) + r")\b"
-    return F.array_sort(F.array_union(_found(text, PUBLIC_BODY, 1), _found(text, acronyms)))
+    return EXTRACTORS["organismo"](collapsed(text))
 
 
-def persons(text: Column) -> Column:
-    return _found(text, PERSON, 1)
+def tax_ids(text: Column) -> Column:
+    return EXTRACTORS["cuit"](collapsed(text))
 
 
-# Type of each entity and its extractor, in the order of the result.
-EXTRACTORS = {
-    "persona": persons,
-    "empresa": companies,
-    "organismo": public_bodies,
-    "cuit": tax_ids,
-    "monto": amounts,
-    "expediente": case_files,
-}
+def amounts(text: Column) -> Column:
+    return EXTRACTORS["monto"](collapsed(text))
 
 
-def entities_in(text: Column) -> Column:
-    """array<struct<tipo, nombre>> of all entities in a text; empty for a blank text."""
-    tagged = lambda kind, names: F.transform(names, lambda n: F.struct(F.lit(kind).alias("tipo"), n.alias("nombre")))
-    return F.concat(*[tagged(kind, extract(text)) for kind, extract in EXTRACTORS.items()])
+def case_files(text: Column) -> Column:
+    return EXTRACTORS["expediente"](collapsed(text))
 
 
 def extract_entities(documents: DataFrame) -> DataFrame:
     """(documento, motor_personas, entidades) from (documento, texto): a projection, each document on its own."""
-    blank = collapsed(F.col("texto")) == ""
-    return documents.select(
+    clean = F.col("_limpio")
+    tagged = lambda kind, names: F.transform(names, lambda n: F.struct(F.lit(kind).alias("tipo"), n.alias("nombre")))
+    return documents.select("documento", collapsed(F.col("texto")).alias("_limpio")).select(
         "documento",
-        F.when(~blank, PERSON_ENGINE).alias("motor_personas"),
-        entities_in(F.col("texto")).alias("entidades"),
+        F.when(clean != "", PERSON_ENGINE).alias("motor_personas"),
+        F.concat(*[tagged(kind, find(clean)) for kind, find in EXTRACTORS.items()]).alias("entidades"),
     )
 
 
