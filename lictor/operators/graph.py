@@ -214,7 +214,7 @@ def communities(edges: DataFrame, max_levels: int = 10, max_rounds: int = 8, min
         weights = arcs.groupBy(F.col("u").alias("nodo_id")).agg(F.sum("w").alias("k"))
         level = cut(weights.withColumn("comunidad", F.col("nodo_id")))
         best, best_value = level, _modularity(arcs, level).first()[0]
-        start_value, still = best_value, 0
+        start_value, idle = best_value, 0
         for turn in range(max_rounds):
             totals = level.groupBy("comunidad").agg(F.sum("k").alias("total"))
             near = (
@@ -237,15 +237,13 @@ def communities(edges: DataFrame, max_levels: int = 10, max_rounds: int = 8, min
             may_move = F.pmod(F.xxhash64("nodo_id"), F.lit(2)) == turn % 2
             moves = may_move & (-F.col("mejor.menos") > F.col("actual") + min_gain)
             level = cut(level.withColumnRenamed("comunidad", "antes").join(chosen, "nodo_id").select(
-                "nodo_id", "k", F.when(moves, F.col("mejor.destino")).otherwise(F.col("antes")).alias("comunidad"),
-                F.coalesce(moves, F.lit(False)).alias("movio"),
+                "nodo_id", "k", F.when(moves, F.col("mejor.destino")).otherwise(F.col("antes")).alias("comunidad")
             ))
-            still = 0 if not level.filter("movio").isEmpty() else still + 1
-            level = level.drop("movio")
             value = _modularity(arcs, level).first()[0]
+            idle = 0 if value > best_value + min_gain else idle + 1
             if value > best_value:
                 best, best_value = level, value
-            if still == 2:
+            if idle == 2:
                 break
         if best_value - start_value < min_gain:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,12 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="lictor-checkpoints-")
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise an iteration's state reliably, so that the plan stays short and a lost executor costs one round."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an iteration's state to the shared folder and read it back.
+
+    The plan starts anew, a lost executor costs one round, and the planner sees the true size of the state. A
+    checkpointed DataFrame would keep the size estimate of the plan behind it, which grows with every joined round.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lictor/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
