@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lictor.operators import collusion, conduct, finance, judicial, patterns, risk
+from lictor.plans.report import Report
 from registry.adapters import Tables, sql_round, with_tables
 from registry.base import as_text, query, round_columns
 
@@ -458,3 +461,19 @@ def risk_by_company(t: Tables) -> DataFrame:
   FROM i WHERE ircs >= 50""", **RISK_PARTS))
 def alerts(t: Tables) -> DataFrame:
     return risk.alerts(_patterns(t), _risk(t))
+
+
+REPORTED = ("co_presentismo", "asimetria_victorias", "hhi_por_organismo", "low_balling", "concentracion_top3", "concentracion_top5", "patrones")
+
+
+@query(with_tables("licitaciones", """
+  SELECT 'co_presentismo' AS bloque, count(*) AS filas FROM p UNION ALL SELECT 'asimetria_victorias', count(*) FROM p WHERE n >= 3
+  UNION ALL SELECT unnest(['hhi_por_organismo', 'concentracion_top3', 'concentracion_top5']), unnest([n, n, n])
+    FROM (SELECT count(DISTINCT organismo) AS n FROM licitaciones WHERE proveedor IS NOT NULL)
+  UNION ALL SELECT unnest(['low_balling', 'patrones']), unnest([n, n]) FROM (SELECT count(*) AS n FROM licitaciones)""", p=SHARED))
+def report_blocks(t: Tables) -> DataFrame:
+    """Rows of each relational block of the report."""
+    tables = {"ofertas": t.ofertas(), "licitaciones": t.licitaciones(), "adendas": t.adendas(), "entidades": t.entidades()}
+    blocks = Report(t.spark, tables).blocks(REPORTED)
+    counted = [df.agg(F.lit(name).alias("bloque"), F.count("*").alias("filas")) for name, df in blocks.items()]
+    return reduce(DataFrame.unionByName, counted)
