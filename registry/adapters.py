@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lictor.functions.numeric import MONEY, ratio
+from lictor.session import cut
 
 
 class Tables:
     """Lazy domain tables over one folder of parquet files."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.written = spark, folder, {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stored(self, name: str) -> DataFrame:
+        """A domain table as a user keeps it, written once per query, for operators that read it several times."""
+        if name not in self.written:
+            self.written[name] = cut(getattr(self, name)())
+        return self.written[name]
+
     def ofertas(self) -> DataFrame:
         bid = F.struct("monto_ofertado", "l_suppkey")
         bids = self.raw("lineitem").groupBy("l_orderkey", "l_suppkey").agg(
@@ -32,36 +39,38 @@ class Tables:
             .when(F.col("cantidad") < 4, "DESCALIFICADA").otherwise("PERDEDORA").alias("resultado"),
         )
 
-    def licitaciones(self) -> DataFrame:
-        winners = self.ofertas().filter("resultado = 'GANADORA'").select(
-            F.col("licitacion_id").alias("o_orderkey"), F.col("empresa_id").alias("proveedor")
+    def licitaciones(self, dates: bool = True) -> DataFrame:
+        offers = self.raw("lineitem").groupBy("l_orderkey", "l_suppkey").agg(
+            F.sum(F.col("l_extendedprice").cast(MONEY)).alias("monto")
         )
-        orders = self.raw("orders")
-        shipped = self.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
-        awards = (
-            orders.select("o_orderkey", "o_orderdate").join(shipped, "o_orderkey")
-            .filter("l_shipdate >= o_orderdate")
-            .groupBy("o_orderkey").agg(F.min("l_shipdate").cast("date").alias("fecha_adjudicacion"))
+        tenders = self.raw("orders").join(
+            offers.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.struct("monto", "l_suppkey")).alias("mejor")),
+            "o_orderkey", "left",
         )
         customers = self.raw("customer").join(
             self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")
         ).select(F.col("c_custkey").alias("o_custkey"), "n_name", "c_mktsegment")
-        return (
-            orders.join(customers, "o_custkey").join(winners, "o_orderkey", "left").join(awards, "o_orderkey", "left")
-            .select(
-                F.col("o_orderkey").alias("licitacion_id"),
-                F.concat(F.lit("ORG-"), F.col("o_custkey")).alias("organismo"),
-                F.col("n_name").alias("jurisdiccion"),
-                F.col("c_mktsegment").alias("rubro"),
-                F.col("o_orderpriority").alias("modalidad"),
-                "proveedor",
-                F.col("o_totalprice").cast(MONEY).alias("monto_adjudicado"),
-                F.col("o_orderdate").cast("date").alias("fecha_apertura"),
-                "fecha_adjudicacion",
-                F.when(F.col("o_orderstatus") != "P", (F.col("o_totalprice").cast(MONEY) * 2).cast(MONEY))
-                .alias("presupuesto_oficial"),
-            )
+        found = tenders.join(customers, "o_custkey").select(
+            F.col("o_orderkey").alias("licitacion_id"),
+            F.concat(F.lit("ORG-"), F.col("o_custkey")).alias("organismo"),
+            F.col("n_name").alias("jurisdiccion"),
+            F.col("c_mktsegment").alias("rubro"),
+            F.col("o_orderpriority").alias("modalidad"),
+            F.concat(F.lit("EMP-"), F.col("mejor.l_suppkey")).alias("proveedor"),
+            F.col("o_totalprice").cast(MONEY).alias("monto_adjudicado"),
+            F.col("o_orderdate").cast("date").alias("fecha_apertura"),
+            F.when(F.col("o_orderstatus") != "P", (F.col("o_totalprice").cast(MONEY) * 2).cast(MONEY))
+            .alias("presupuesto_oficial"),
+        )
+        if not dates:
+            return found
+        opened = self.raw("orders").select(F.col("o_orderkey").alias("licitacion_id"), "o_orderdate")
+        shipped = self.raw("lineitem").select(F.col("l_orderkey").alias("licitacion_id"), "l_shipdate")
+        awards = (
+            shipped.join(opened, "licitacion_id").filter("l_shipdate >= o_orderdate")
+            .groupBy("licitacion_id").agg(F.min("l_shipdate").cast("date").alias("fecha_adjudicacion"))
         )
+        return found.join(awards, "licitacion_id", "left")
 
     def adendas(self) -> DataFrame:
         growth = F.lit(1) + (F.col("l_tax") - F.col("l_discount") / 2).cast("decimal(6,3)")

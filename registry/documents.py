@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lictor.functions import text
 from lictor.operators import finance, graph, risk
+from lictor.session import cut, spread
 from lictor.sinks import tables as sinks
 from lictor.sources import macro, pages
 from lictor.sources import tables as sources
@@ -31,7 +32,7 @@ def documents(t: Tables) -> DataFrame:
         F.lit("), representada por el Sr. Juan Carlos Perez, cobra  $ "), number,
         F.lit(".000,50 del Ministerio de Obras segun EX-2024-"), padded, F.lit("- -APN-DGD#MEC y la ANSES."),
     )
-    return t.raw("documents").select(F.col("doc_id").alias("documento"), F.concat("text", sentence).alias("texto"))
+    return spread(t.raw("documents")).select(F.col("doc_id").alias("documento"), F.concat("text", sentence).alias("texto"))
 
 
 def _found_sql(pattern: str) -> str:
@@ -137,7 +138,7 @@ def stored_pages(t: Tables) -> DataFrame:
         F.when(F.pmod("page_id", F.lit(2)) == 1, F.concat(F.lit('<a class="x" href="/actas/'), number, F.lit('.csv">Acta</a>')))
         .otherwise(""),
     )
-    return t.raw("pages").select("page_id", "url", F.concat("html", blocks).alias("html"))
+    return spread(t.raw("pages")).select("page_id", "url", F.concat("html", blocks).alias("html"))
 
 
 @query(rf"""
@@ -304,12 +305,12 @@ STORED = "SELECT sha256('nombre|' || nombre || '|' || tipo) AS entidad_id, nombr
 
 @query(with_tables("licitaciones", "SELECT nombre, tipo, 'pipeline' AS fuente FROM n", n=NAMED))
 def entities_from_tenders(t: Tables) -> DataFrame:
-    return sinks.entities_of(t.licitaciones()).select("nombre", "tipo", "fuente")
+    return sinks.entities_of(t.licitaciones(dates=False)).select("nombre", "tipo", "fuente")
 
 
 def stored_entities(t: Tables) -> DataFrame:
     """The entities of all tenders merged into an empty store."""
-    found = sinks.entities_of(t.licitaciones())
+    found = sinks.entities_of(t.licitaciones(dates=False))
     return sinks.merge_entities(found.select(F.lit("").alias("entidad_id"), "*").filter("false"), found)
 
 
@@ -338,7 +339,7 @@ def entity_upsert(t: Tables) -> DataFrame:
   FROM licitaciones JOIN e ON e.nombre = organismo AND tipo = 'ORGANISMO_PUBLICO'""", n=NAMED, e=STORED))
 def tender_upsert(t: Tables) -> DataFrame:
     """All tenders, then a batch that changes every third one twice; the later change wins."""
-    entities, tenders = stored_entities(t), t.licitaciones().withColumn("objeto", F.lit(None).cast("string"))
+    entities, tenders = cut(stored_entities(t)), t.stored("licitaciones").withColumn("objeto", F.lit(None).cast("string"))
     nothing = tenders.sparkSession.createDataFrame([], STORED_TENDER)
     first = sinks.merge_tenders(nothing, tenders, entities, source="primera")
     third = tenders.filter(F.pmod("licitacion_id", F.lit(3)) == 0)
@@ -375,7 +376,7 @@ def edges_append(t: Tables) -> DataFrame:
   FROM (SELECT licitacion_id, CAST(round(((presupuesto_oficial IS NULL)::INT + (fecha_adjudicacion IS NULL)::INT) / 6::DOUBLE * 100, 2) AS DOUBLE)
           AS opacidad FROM licitaciones)"""))
 def scores_append(t: Tables) -> DataFrame:
-    tenders = t.licitaciones()
+    tenders = t.stored("licitaciones")
     nothing = tenders.sparkSession.createDataFrame([], STORED_TENDER)
     stored = sinks.merge_tenders(nothing, tenders.withColumn("objeto", F.lit(None).cast("string")), stored_entities(t))
     history = sinks.score_history(risk.risk_index(tenders, finance.hhi(tenders)), stored, "r1")

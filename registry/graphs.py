@@ -16,12 +16,12 @@ ARCS = "SELECT least(a, b) AS u, greatest(a, b) AS v, w FROM g UNION ALL SELECT
 
 
 def awards(t: Tables) -> DataFrame:
-    return graph.award_edges(t.licitaciones())
+    return graph.award_edges(t.licitaciones(dates=False))
 
 
 def by_jurisdiction(t: Tables) -> DataFrame:
     """Awards between jurisdictions and suppliers: far fewer nodes than organisms, over all tenders."""
-    return graph.award_edges(t.licitaciones().withColumn("organismo", F.col("jurisdiccion")))
+    return graph.award_edges(t.licitaciones(dates=False).withColumn("organismo", F.col("jurisdiccion")))
 
 
 @query(with_tables("licitaciones", "SELECT a AS origen_id, b AS destino_id, w AS peso FROM g", g=EDGES))

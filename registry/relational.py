@@ -24,7 +24,7 @@ SHARED = """
 
 @query(with_tables("ofertas", "SELECT a AS empresa_a, b AS empresa_b, n AS co_presentismo FROM p", p=SHARED))
 def co_presence(t: Tables) -> DataFrame:
-    return collusion.co_presence(t.ofertas())
+    return collusion.co_presence(t.stored("ofertas"))
 
 
 def _asymmetry_sql(threshold: int) -> str:
@@ -36,12 +36,12 @@ def _asymmetry_sql(threshold: int) -> str:
 
 @query(_asymmetry_sql(3))
 def win_asymmetry(t: Tables) -> DataFrame:
-    return collusion.win_asymmetry(t.ofertas())
+    return collusion.win_asymmetry(t.stored("ofertas"))
 
 
 @query(_asymmetry_sql(30))
 def win_asymmetry_frequent(t: Tables) -> DataFrame:
-    return collusion.win_asymmetry(t.ofertas(), umbral_co_presentismo=30)
+    return collusion.win_asymmetry(t.stored("ofertas"), umbral_co_presentismo=30)
 
 
 SHARE = """
@@ -94,7 +94,7 @@ HHI = f"""
 
 @query(with_tables("licitaciones", "SELECT * FROM h", gastos=SPEND, h=HHI))
 def hhi(t: Tables) -> DataFrame:
-    return finance.hhi(t.licitaciones())
+    return finance.hhi(t.licitaciones(dates=False))
 
 
 def _top_sql(n: int, keys: str, where: str = "true") -> str:
@@ -111,17 +111,17 @@ def _top_sql(n: int, keys: str, where: str = "true") -> str:
 
 @query(_top_sql(3, "organismo"))
 def top3(t: Tables) -> DataFrame:
-    return finance.top_n_share(t.licitaciones(), 3)
+    return finance.top_n_share(t.licitaciones(dates=False), 3)
 
 
 @query(_top_sql(5, "organismo"))
 def top5(t: Tables) -> DataFrame:
-    return finance.top_n_share(t.licitaciones(), 5)
+    return finance.top_n_share(t.licitaciones(dates=False), 5)
 
 
 @query(_top_sql(3, "rubro"))
 def top3_by_category(t: Tables) -> DataFrame:
-    return finance.top_n_share(t.licitaciones(), 3, ("rubro",))
+    return finance.top_n_share(t.licitaciones(dates=False), 3, ("rubro",))
 
 
 @query(_top_sql(3, "jurisdiccion, anio", "fecha_adjudicacion IS NOT NULL"))
@@ -140,7 +140,7 @@ OVERRUN = """
   SELECT licitacion_id, organismo, CAST(monto_adjudicado AS DOUBLE) AS monto_adjudicado, CAST(final AS DOUBLE) AS monto_final_estimado,
          {R("r", 6)} AS low_balling_ratio FROM d""", d=OVERRUN))
 def low_balling(t: Tables) -> DataFrame:
-    found = finance.low_balling(t.licitaciones(), t.adendas())
+    found = finance.low_balling(t.licitaciones(dates=False), t.adendas())
     found = found.withColumns({c: F.col(c).cast("double") for c in ("monto_adjudicado", "monto_final_estimado")})
     return round_columns(found, 6, "low_balling_ratio")
 
@@ -347,7 +347,7 @@ CODES = [f"REGLA-00{i}" for i in range(1, 9)]
 
 
 def _patterns(t: Tables) -> DataFrame:
-    return patterns.evaluate_patterns(t.licitaciones(), t.ofertas(), t.adendas(), t.entidades())
+    return patterns.evaluate_patterns(t.stored("licitaciones"), t.stored("ofertas"), t.adendas(), t.entidades())
 
 
 @query(with_tables("licitaciones adendas entidades", f"SELECT *, {POINTS} AS score_patrones FROM f", **PARTS))
@@ -375,7 +375,7 @@ def pattern_catalogue(t: Tables) -> DataFrame:
   FROM licitaciones LEFT JOIN h USING (organismo)
   LEFT JOIN (SELECT licitacion_id, count(*) AS n FROM ofertas GROUP BY 1) USING (licitacion_id)""", gastos=SPEND, h=HHI))
 def pattern_table(t: Tables) -> DataFrame:
-    return patterns.pattern_table(t.licitaciones(), t.ofertas()).select(
+    return patterns.pattern_table(t.licitaciones(dates=False), t.ofertas()).select(
         "licitacion_id", "cantidad_ofertas", "cuota_dominante_pct", "hhi", "alta_concentracion"
     )
 
@@ -391,7 +391,7 @@ ANOMALY_LEVEL = "CASE WHEN anomaly_score >= 75 THEN 'alto' WHEN anomaly_score >=
   SELECT licitacion_id, anomaly_score, {ANOMALY_LEVEL} AS nivel, CASE WHEN atipico THEN 'monto_atipico' ELSE '' END AS factores
   FROM z""", z=ZSCORE))
 def anomaly_zscore(t: Tables) -> DataFrame:
-    return risk.zscore_anomalies(t.licitaciones()).withColumn("factores", F.array_join("factores", ","))
+    return risk.zscore_anomalies(t.licitaciones(dates=False)).withColumn("factores", F.array_join("factores", ","))
 
 
 OPACITY = f"""
@@ -435,7 +435,7 @@ RISK_PARTS = dict(PARTS, z=ZSCORE, o=OPACITY, i=INDEX)
 
 
 def _risk(t: Tables) -> DataFrame:
-    tenders = t.licitaciones()
+    tenders = t.stored("licitaciones")
     return risk.risk_index(
         tenders, finance.hhi(tenders), None, _patterns(t), risk.zscore_anomalies(tenders), t.indicadores()
     )
@@ -473,7 +473,7 @@ REPORTED = ("co_presentismo", "asimetria_victorias", "hhi_por_organismo", "low_b
   UNION ALL SELECT unnest(['low_balling', 'patrones']), unnest([n, n]) FROM (SELECT count(*) AS n FROM licitaciones)""", p=SHARED))
 def report_blocks(t: Tables) -> DataFrame:
     """Rows of each relational block of the report."""
-    tables = {"ofertas": t.ofertas(), "licitaciones": t.licitaciones(), "adendas": t.adendas(), "entidades": t.entidades()}
+    tables = {"ofertas": t.stored("ofertas"), "licitaciones": t.stored("licitaciones"), "adendas": t.adendas(), "entidades": t.entidades()}
     blocks = Report(t.spark, tables).blocks(REPORTED)
     counted = [df.agg(F.lit(name).alias("bloque"), F.count("*").alias("filas")) for name, df in blocks.items()]
     return reduce(DataFrame.unionByName, counted)
