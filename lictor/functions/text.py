@@ -90,4 +90,5 @@ def extract_entities(documents: DataFrame) -> DataFrame:
 
 def entity_rows(documents: DataFrame) -> DataFrame:
     """The same as one row (documento, tipo, nombre) per entity."""
-    return extract_entities(documents).select("documento", F.inline("entidades"))
+    # The plain generator would add a filter on the array's size below it, and so extract everything twice.
+    return extract_entities(documents).select("documento", F.inline_outer("entidades")).filter(F.col("tipo").isNotNull())

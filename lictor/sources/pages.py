@@ -230,7 +230,7 @@ def data_links(pages: DataFrame, base_url: str) -> DataFrame:
     hrefs = F.regexp_extract_all(visible, F.lit(r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
     href = F.regexp_replace("href", "&amp;", "&")
     return (
-        pages.select("page_id", F.explode(hrefs).alias("href"))
+        pages.select("page_id", F.explode_outer(hrefs).alias("href"))
         .withColumn("href", href)
         .filter(F.lower("href").rlike(r"\.(csv|xlsx|xls)$"))
         .select("page_id", F.when(F.col("href").startswith("http"), F.col("href")).otherwise(

@@ -41,7 +41,7 @@ def _found_sql(pattern: str) -> str:
 
 
 def _found(t: Tables, extract) -> DataFrame:
-    return documents(t).select("documento", F.explode(extract(F.col("texto"))).alias("nombre"))
+    return documents(t).select("documento", F.explode_outer(extract(F.col("texto"))).alias("nombre")).dropna()
 
 
 @query(f"WITH d AS ({DOCUMENTS}), c AS ({COLLAPSED}) SELECT documento, length(texto) AS largo, md5(texto) AS huella FROM c")
