@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.llm import near_dedup
+from lictor.llm import mixing, near_dedup
+from lictor.llm.sql import ORACLE
 from lictor.llm.tables import read
 
 
@@ -16,5 +17,9 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_near_dedup,)}
-ORACLE: dict[str, str] = {}
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_near_dedup, op10_mixing)}
+
