@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.llm import mixing, near_dedup
+from lictor.llm import decontamination, mixing, near_dedup
 from lictor.llm.sql import ORACLE
 from lictor.llm.tables import read
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.judged(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "item_ids"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.components(read(spark, folder, "documents"), size=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -21,5 +27,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_near_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_decontamination, op7_near_dedup, op10_mixing)}
 

@@ -1,6 +1,7 @@
 """SQL that must give the same rows as the queries, for DuckDB."""
 
 WORD = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Every pair that shares a shingle is counted, the linked pairs are closed by recursion.
@@ -22,6 +23,22 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d JOIN least ON x = d.doc_id LEFT JOIN sizes USING (doc_id)
 """
 
+#: Every run of words of every window length, joined with the windows.
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({LOWER}, ''), '{ALNUM}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(coalesce({LOWER}, ''), '{ALNUM}') AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: w[i:i + least(13, len(w)) - 1])) AS win
+  FROM b WHERE len(w) > 0),
+starts AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM wins)),
+occ AS (SELECT DISTINCT r, i, s.k, item_id FROM starts s JOIN wins ON wins.k = s.k AND win = w[i:i + s.k - 1]),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM occ) GROUP BY r),
+named AS (SELECT r, list(DISTINCT item_id::VARCHAR) AS ids FROM occ WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
 #: Water level by the sorted caps; the sampled repetition by one running sum per source.
 MIXING = f"""
 WITH t AS (
@@ -49,6 +66,7 @@ LEFT JOIN running r ON t.source IS NOT DISTINCT FROM r.source AND t.place = r.pl
 """
 
 ORACLE = {
+    "op5_decontamination": DECONTAMINATION,
     "op10_mixing": MIXING,
     "op7_near_dedup": NEAR_DEDUP,
 }
