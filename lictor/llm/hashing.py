@@ -157,3 +157,30 @@ def small(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -
             held += size
         if begin < batch.num_rows:
             yield batch.slice(begin)
+
+
+_POWERS = (np.ones(1, U), np.ones(1, U))
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse modulo 2**64."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            _POWERS = tuple(np.cumprod(np.r_[U(1), np.full(2 * n, U(b))]) for b in (_BASE, _INVERSE))
+    return _POWERS
+
+
+class Segments:
+    """Hashes of any runs of words, from running sums over one batch."""
+
+    def __init__(self, hashes: np.ndarray):
+        forward, self.back = _powers(len(hashes) + 1)
+        with np.errstate(over="ignore"):
+            self.sums = np.r_[U(0), np.cumsum(hashes * forward[:len(hashes)])]
+
+    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(U))

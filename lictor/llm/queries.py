@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.llm import decontamination, mixing, near_dedup
+from lictor.llm import decontamination, mixing, near_dedup, suffix_dedup
 from lictor.llm.sql import ORACLE
 from lictor.llm.tables import read
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated passages of 50 or more words; the first place of each is not removed. Documents without one give no row."""
+    return suffix_dedup.passages(read(spark, folder, "documents")).select("doc_id", "begin", "end", "removed", "first_doc_ids")
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.judged(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "item_ids"), 256)
@@ -27,5 +32,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_decontamination, op7_near_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op5_decontamination, op7_near_dedup, op10_mixing)}
 
