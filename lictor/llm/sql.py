@@ -23,6 +23,20 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d JOIN least ON x = d.doc_id LEFT JOIN sizes USING (doc_id)
 """
 
+#: Every window of 50 words, grouped by its words.
+SUFFIX_DEDUP = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+wins AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM t)),
+origins AS (SELECT h, min((doc_id, i)) AS o FROM wins GROUP BY h HAVING count(*) > 1),
+found AS (SELECT w.doc_id, i, o[1] AS origin, o <> (w.doc_id, i) AS removed FROM wins w JOIN origins USING (h)),
+marked AS (
+  SELECT *, CASE WHEN i <= max(i + 50) OVER (PARTITION BY doc_id, removed ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens
+  FROM found),
+spans AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, removed ORDER BY i) AS island FROM marked)
+SELECT doc_id, min(i)::INT AS "begin", (max(i) + 50)::INT AS "end", removed, list_sort(list(DISTINCT origin)) AS first_doc_ids
+FROM spans GROUP BY doc_id, removed, island
+"""
+
 #: Every run of words of every window length, joined with the windows.
 DECONTAMINATION = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({LOWER}, ''), '{ALNUM}') AS w FROM documents),
@@ -66,6 +80,7 @@ LEFT JOIN running r ON t.source IS NOT DISTINCT FROM r.source AND t.place = r.pl
 """
 
 ORACLE = {
+    "op1_suffix_dedup": SUFFIX_DEDUP,
     "op5_decontamination": DECONTAMINATION,
     "op10_mixing": MIXING,
     "op7_near_dedup": NEAR_DEDUP,

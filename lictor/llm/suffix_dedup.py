@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lictor.llm import hashing as H
 from lictor.llm.tables import map_arrow, stored
@@ -161,7 +162,7 @@ def _cut(text: str, begins: np.ndarray, ends: np.ndarray) -> str | None:
     return left.decode() if left.strip(b" \t\n\x0b\x0c\r") else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut_all(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
     return pd.Series([t if b is None else _cut(t, b, e) for t, b, e in zip(texts, begins, ends, strict=True)], dtype=object)
 
