@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.llm import decontamination, mixing, near_dedup, suffix_dedup
+from lictor.llm import decontamination, mixing, near_dedup, quality_rules, suffix_dedup
 from lictor.llm.sql import ORACLE
 from lictor.llm.tables import read
 
@@ -17,6 +17,11 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.passages(read(spark, folder, "documents")).select("doc_id", "begin", "end", "removed", "first_doc_ids")
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_rules.judged(read(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.judged(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "item_ids"), 256)
@@ -32,5 +37,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op5_decontamination, op7_near_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_quality_rules, op5_decontamination, op7_near_dedup, op10_mixing)}
 
