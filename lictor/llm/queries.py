@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.llm import decontamination, mixing, near_dedup, quality_rules, suffix_dedup
+from lictor.llm import chat, decontamination, mixing, near_dedup, quality_rules, suffix_dedup
 from lictor.llm.sql import ORACLE
 from lictor.llm.tables import read
 
@@ -33,9 +33,17 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold the template's own marks."""
+    given = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.examples(given.unionByName(own)))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_quality_rules, op5_decontamination, op7_near_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_quality_rules, op5_decontamination, op7_near_dedup, op8_chat, op10_mixing)}
 

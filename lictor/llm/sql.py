@@ -79,7 +79,25 @@ FROM t JOIN parts p ON t.source IS NOT DISTINCT FROM p.source
 LEFT JOIN running r ON t.source IS NOT DISTINCT FROM r.source AND t.place = r.place
 """
 
+#: formatted_chars follows from the template: 12 characters around role and text, one more per escaped mark.
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, 4 + length(role) + 2 + length(text) + len(regexp_extract_all(text, '\\|###|</turn>')) + 9 AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+running AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM sized)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(CASE WHEN role = 'assistant' OR i = n THEN upto ELSE 0 END)::BIGINT AS formatted_chars
+FROM running GROUP BY conv_id
+"""
+
 ORACLE = {
+    "op8_chat": CHAT,
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op5_decontamination": DECONTAMINATION,
     "op10_mixing": MIXING,
