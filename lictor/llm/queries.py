@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.llm import chat, decontamination, mixing, near_dedup, quality_rules, suffix_dedup
+from lictor.llm import chat, decontamination, html_text, mixing, near_dedup, quality_rules, suffix_dedup
 from lictor.llm.sql import ORACLE
 from lictor.llm.tables import read
 
@@ -41,9 +41,13 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.examples(given.unionByName(own)))
 
 
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(read(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_quality_rules, op5_decontamination, op7_near_dedup, op8_chat, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_quality_rules, op5_decontamination, op7_near_dedup, op8_chat, op9_html_text, op10_mixing)}
 

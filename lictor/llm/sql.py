@@ -96,7 +96,20 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM running GROUP BY conv_id
 """
 
+#: Holds for the layout of the given pages: one article of headings and paragraphs, with b and br inside.
+HTML_TEXT = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS body FROM pages),
+b AS (SELECT page_id, url, unnest(list_concat([''], string_split_regex(body, '</?(?:p|h1)>'))) AS part, unnest(range(0, len(string_split_regex(body, '</?(?:p|h1)>')) + 1)) AS i FROM a),
+c AS (
+  SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(part, '<br>', ' ', 'g'), '</?b>', '', 'g'),
+         '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '[\s\x0B]+', ' ', 'g')) AS t FROM b)
+SELECT page_id, url, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> ''), '') AS text,
+       length(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> ''), ''))::BIGINT AS n_chars
+FROM c GROUP BY page_id, url
+"""
+
 ORACLE = {
+    "op9_html_text": HTML_TEXT,
     "op8_chat": CHAT,
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op5_decontamination": DECONTAMINATION,
