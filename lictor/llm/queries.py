@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.llm import chat, decontamination, html_text, mixing, near_dedup, quality_rules, suffix_dedup
+from lictor.llm import chat, decontamination, html_text, mixing, near_dedup, quality_rules, suffix_dedup, url_filter
 from lictor.llm.sql import ORACLE
 from lictor.llm.tables import read
 
@@ -28,6 +28,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(read(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict", "ratio")
+
+
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.components(read(spark, folder, "documents"), size=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -49,5 +53,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_quality_rules, op5_decontamination, op7_near_dedup, op8_chat, op9_html_text, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_quality_rules, op5_decontamination, op6_url_filter, op7_near_dedup, op8_chat, op9_html_text, op10_mixing)}
 
