@@ -49,8 +49,8 @@ def _word_multipliers(n: int) -> np.ndarray:
 
 
 def _class(separators) -> np.ndarray:
-    inside = np.ones(256, bool)
-    inside[list(separators)] = False
+    inside = np.ones(256, np.uint8)
+    inside[list(separators)] = 0
     return inside
 
 
@@ -58,6 +58,10 @@ def _class(separators) -> np.ndarray:
 SPACED = _class([0x20, *range(0x09, 0x0E)])
 #: Words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, taken after lower-casing A-Z.
 ALPHANUMERIC = _class([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+#: Tokens: runs of letters and digits, and runs of other visible characters.
+TOKENS = np.where(SPACED, np.where(ALPHANUMERIC, 1, 2), 0).astype(np.uint8)
+TOKENS[:0x20] = TOKENS[0x7F] = 0
+TOKENS[0x41:0x5B] = 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -89,19 +93,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(column: pa.Array, inside: np.ndarray = SPACED, lower: bool = True) -> Words:
+    """Maximal runs of bytes of one class; class 0 separates."""
     data, offsets = utf8(column)
     if lower:
         data = LOWER[data]
-    flags = inside[data]
-    before = np.zeros(len(flags), bool)
-    before[1:] = flags[:-1]
+    kind = inside[data]
     first = offsets[:-1][np.diff(offsets) > 0]
-    before[first] = False
-    starts = np.flatnonzero(flags & ~before)
-    after = np.zeros(len(flags), bool)
-    after[:-1] = flags[1:]
-    after[first[1:] - 1] = False
-    ends = np.flatnonzero(flags & ~after) + 1
+    before, after = np.zeros_like(kind), np.zeros_like(kind)
+    before[1:], after[:-1] = kind[:-1], kind[1:]
+    before[first] = after[first[1:] - 1] = 0
+    flags = kind > 0
+    starts = np.flatnonzero(flags & (kind != before))
+    ends = np.flatnonzero(flags & (kind != after)) + 1
     bounds = np.searchsorted(starts, offsets)
     sizes = ends - starts
     if not len(starts):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.llm import chat, decontamination, html_text, mixing, near_dedup, quality_rules, suffix_dedup, url_filter
+from lictor.llm import chat, decontamination, html_text, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, url_filter
 from lictor.llm.sql import ORACLE
 from lictor.llm.tables import read
 
@@ -17,6 +17,11 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.passages(read(spark, folder, "documents")).select("doc_id", "begin", "end", "removed", "first_doc_ids")
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_classifier.scored(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules.judged(read(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,5 +58,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_quality_rules, op5_decontamination, op6_url_filter, op7_near_dedup, op8_chat, op9_html_text, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op3_quality, op4_quality_rules, op5_decontamination, op6_url_filter, op7_near_dedup, op8_chat, op9_html_text, op10_mixing)}
 
