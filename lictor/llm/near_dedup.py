@@ -6,7 +6,7 @@ estimates how many samples differ, closely so at high similarity. Candidates are
 estimate drops the hopeless ones, with a slack of several standard deviations, and the full sets decide the rest.
 
 * Texts with equal sets are one class from the start (one row per class is compared, its copies follow it).
-* First every class is compared with its most promising bucket centre and linked groups are built. Only buckets that
+* First every class is compared with the bucket centre that it meets most often, and linked groups are built. Only buckets that
   then still hold more than one group are compared in full, in blocks of at most `BLOCK` x `BLOCK` sketches, and only
   between groups: a bucket of thousands of near copies costs one comparison per copy, and no pair is left out.
 * At the similarity 0.8 a pair misses all 30 buckets with probability 7e-6, at 0.85 with 2e-8. Nothing is capped.
@@ -212,12 +212,12 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     crowded = band.groupBy("bucket").agg(F.min("cls").alias("centre"), F.max("cls").alias("other")).where("centre < other")
     members = stored(band.join(crowded.select("bucket", "centre"), "bucket"))
 
-    # One comparison per class first: with the centre of its most promising bucket.
-    stars = members.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
+    # One comparison per class first: with the bucket centre that it meets most often.
+    meets = members.where("cls <> centre").groupBy("cls", "centre").agg(F.count("*").alias("n"))
+    stars = meets.groupBy("cls").agg(F.max(F.struct("n", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("cls").alias("b"))
     stars = stars.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a")
     stars = stars.join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
-    stars = stars.select("a", "b", _differing("x", "y").alias("d")).where(F.col("d") <= most)
-    stars = stored(stars.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select("best.a", "b"))
+    stars = stored(stars.where(_differing("x", "y") <= most).select("a", "b"))
     links = stored(_confirmed(stars, _wanted_sets(docs, classes, stars, size), percent))
     known = groups(links)
 
