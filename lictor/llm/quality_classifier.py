@@ -21,9 +21,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lictor.llm import hashing as H
 from lictor.llm.tables import map_arrow, stored
@@ -91,37 +93,41 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return table.astype(np.float32)
 
 
+def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(bounds) - 1, values.shape[1]), np.float32)
+    full = np.diff(bounds) > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, bounds[:-1][full], axis=0) / np.diff(bounds)[full, None]
+    return out
+
+
+def pooled(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+    """The document vectors of a batch of texts, one row of INPUTS numbers each."""
+    found = H.words(texts, H.TOKENS, lower=False)
+    row, text = _rows(found), _text_of(found)
+    vector = np.zeros((len(texts), INPUTS), np.float32)
+    if len(row):
+        of = table[row]
+        vector[:, :SIZE] = _means(of, found.bounds)
+        inside = text[1:] == text[:-1]
+        product = np.concatenate([of[1:] * of[:-1] * inside[:, None], np.zeros((1, SIZE), np.float32)])
+        vector[:, SIZE:2 * SIZE] = _means(product, found.bounds)
+        again = np.concatenate([(found.hashes[1:] == found.hashes[:-1]) & inside, [False]])
+        vector[:, -2] = _means(again[:, None].astype(np.float32), found.bounds)[:, 0]
+        vector[:, -1] = np.log1p(np.diff(found.bounds))
+    return vector
+
+
 def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id, vector (INPUTS floats) and the other columns named in `keep`."""
+    """doc_id and vector (INPUTS floats) of every row."""
     table = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    def means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(bounds) - 1, values.shape[1]), np.float32)
-        full = np.diff(bounds) > 0
-        if full.any():
-            out[full] = np.add.reduceat(values, bounds[:-1][full], axis=0) / np.diff(bounds)[full, None]
-        return out
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.small(batches, "text", 1 << 20):
-            found = H.words(batch.column("text"), H.TOKENS, lower=False)
-            row, text, counts = _rows(found), _text_of(found), np.diff(found.bounds)
-            vector = np.zeros((batch.num_rows, INPUTS), np.float32)
-            if len(row):
-                of = table.value[row]
-                vector[:, :SIZE] = means(of, found.bounds)
-                inside = (text[1:] == text[:-1])[:, None]
-                product = np.concatenate([of[1:] * of[:-1] * inside, np.zeros((1, SIZE), np.float32)])
-                vector[:, SIZE:2 * SIZE] = means(product, found.bounds)
-                again = np.concatenate([(found.hashes[1:] == found.hashes[:-1]) & inside[:, 0], [False]])
-                vector[:, -2] = means(again[:, None].astype(np.float32), found.bounds)[:, 0]
-                vector[:, -1] = np.log1p(counts)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("row_key"), H.lists(vector.reshape(-1), [INPUTS] * batch.num_rows, pa.float32()),
-            ], names=["doc_id", "row_key", "vector"])
+            vector = pooled(batch.column("text"), table.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), H.lists(vector.reshape(-1), [INPUTS] * batch.num_rows, pa.float32())], names=["doc_id", "vector"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    return stored(map_arrow(keyed, work, "doc_id long, row_key long, vector array<float>"))
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, vector array<float>")
 
 
 class Network:
@@ -177,21 +183,34 @@ def fitted(vectors: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netwo
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, row_key, held_out, score (probability of quality 1), predicted; one row per row of `docs`."""
-    vectors = document_vectors(docs, word_vectors(docs))
+    """doc_id, held_out, score (probability of quality 1), predicted; one row per row of `docs`."""
+    vectors = stored(document_vectors(docs, word_vectors(docs)))
     network = fitted(vectors, labels, sample)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
             scores = np.full(batch.num_rows, 0.5) if network is None else network(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(scores)], names=["doc_id", "row_key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
-    out = map_arrow(vectors, work, "doc_id long, row_key long, score double")
-    return out.select("doc_id", "row_key", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = map_arrow(vectors, work, "doc_id long, score double")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """`docs` without the rows that score below `least`."""
-    low = scored(docs, labels).where(F.col("score") < least).select(F.col("row_key").alias("_row")).distinct()
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(low, "_row", "left_anti").drop("_row")
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """`docs` without the rows that score below `least`. Rows are scored where they are read, nothing is joined."""
+    vectors = word_vectors(docs)
+    network = fitted(stored(document_vectors(docs, vectors)), labels, sample)
+    table = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    @F.pandas_udf(DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        out = np.full(len(texts), 0.5)
+        begin = 0
+        for batch in H.small(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text", 1 << 20):
+            if network is not None:
+                out[begin:begin + batch.num_rows] = network(pooled(batch.column("text"), table.value).astype(np.float64))
+            begin += batch.num_rows
+        return pd.Series(out)
+
+    return docs.withColumn("_score", score("text")).where(F.col("_score") >= least).drop("_score")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.llm import chat, decontamination, html_text, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, url_filter
+from lictor.llm import chat, decontamination, html_text, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 from lictor.llm.sql import ORACLE
-from lictor.llm.tables import read
+from lictor.llm.tables import read, stored
+from lictor.session import shared_folder
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +19,28 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.passages(read(spark, folder, "documents")).select("doc_id", "begin", "end", "removed", "first_doc_ids")
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after three batches: all documents come in, those with repeated lines are revised, toxic ones go.
+
+    A revised text keeps the first of equal lines. Two batches are committed twice, as after a lost driver.
+    """
+    docs = read(spark, folder, "documents")
+    labels = read(spark, folder, "labels")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    revised = docs.where("doc_id IS NOT NULL").where(F.size(F.array_distinct(lines)) < F.size(lines)).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
+    images, after = stored(token_counts.counted(docs)), stored(token_counts.counted(revised))
+    before = images.join(after.select("doc_id").distinct(), "doc_id", "left_semi")
+    now = images.join(after.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(after)
+    toxic = labels.where("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    store = token_counts.TokenTotals(spark, f"{shared_folder(spark).rstrip('/')}/lictor/token-totals-{uuid.uuid4().hex}")
+    store.commit("1-load", token_counts.inserts(images))
+    store.commit("2-revise", token_counts.revisions(before, after))
+    store.commit("3-toxic", token_counts.deletes(now.join(toxic, "doc_id", "left_semi")))
+    store.commit("2-revise", token_counts.revisions(before, after))
+    store.commit("1-load", token_counts.inserts(images))
+    return store.totals()
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_classifier.scored(read(spark, folder, "documents"), read(spark, folder, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -58,5 +82,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op3_quality, op4_quality_rules, op5_decontamination, op6_url_filter, op7_near_dedup, op8_chat, op9_html_text, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality, op4_quality_rules, op5_decontamination, op6_url_filter, op7_near_dedup, op8_chat, op9_html_text, op10_mixing)}
 
