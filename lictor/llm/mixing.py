@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lictor.llm.tables import WORD, stored
+from lictor.llm.tables import WORD, small_side, stored
 
 #: Weights of sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -64,7 +64,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOC
     rows = stored(docs.select("source", place(seed).alias("place"), n_words(F.col("text")).alias("size")).where("size > 0"))
     named = docs.select("source").distinct()
     ranges = rows.groupBy("source", F.shiftright("place", _BITS - _RANGE_BITS).alias("range")).agg(F.sum("size").alias("words"))
-    ranges = stored(ranges)
+    ranges = stored(ranges)  # at most 4096 rows per source
     sizes = ranges.groupBy("source").agg(F.sum("words").alias("source_size"))
     sizes = named.join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     sizes = sizes.select("source", F.coalesce("source_size", F.lit(0)).alias("source_size"))
@@ -79,13 +79,13 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOC
     ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(by_range), F.lit(0)))
     ranges = ranges.join(wanted, F.col("source").eqNullSafe(F.col("s")))
     cut = ranges.where("before < part AND part <= before + words").select(F.col("source").alias("s"), "range", "before", "part")
-    inside = rows.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("place", _BITS - _RANGE_BITS) == F.col("range")))
+    inside = rows.join(small_side(stored(cut.coalesce(1))), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("place", _BITS - _RANGE_BITS) == F.col("range")))
     inside = inside.groupBy("source", "place", "before", "part").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     by_place = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(by_place), F.lit(0)))
     ends = inside.where("before < part AND part <= before + words").select(
         F.col("source").alias("s"), F.col("place").alias("cut_place"), (F.col("part") - F.col("before")).alias("cut_words"), F.col("rows").alias("cut_rows"))
-    return stored(shares.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "part"))
+    return stored(shares.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "part").coalesce(1))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
@@ -97,7 +97,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     made = made.select(F.col("source").alias("_source"), "source_size", "target", "whole", "cut_place", "cut_words", "cut_rows")
     docs = docs.drop("size", "source_size", "target", "taken")
     sized = docs.withColumn("size", n_words(F.col("text"))).withColumn("_place", place(seed))
-    joined = sized.join(made, F.col("source").eqNullSafe(F.col("_source")))
+    joined = sized.join(small_side(made), F.col("source").eqNullSafe(F.col("_source")))
     extra = (
         F.when(F.col("cut_place").isNull() | (F.col("_place") > F.col("cut_place")), 0)
         .when(F.col("_place") < F.col("cut_place"), F.col("size"))

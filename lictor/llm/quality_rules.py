@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lictor.llm.tables import WORD, stored
+from lictor.llm.tables import WORD, small_side, stored
 
 SHARE, CUT, SMALL, STARTS, SEED = 0.75, 0.99999, 60, 3, 4
 #: Statistic -> smallest standard deviation it is trusted to have.
@@ -106,7 +106,7 @@ def _grouped(rows: DataFrame, small: int) -> DataFrame:
     level = F.when(F.col("level") == 2, 2).when(F.col("pool") >= small, 1).otherwise(0)
     key = F.when(level == 2, F.to_json(F.struct("lang", "source"))).when(level == 1, F.to_json(F.struct("lang"))).otherwise(F.lit("all"))
     named = fine.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.concat(level.cast("string"), key).alias("grp"))
-    return rows.join(named, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
+    return rows.join(small_side(stored(named.coalesce(1))), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
 
 
 def _step(value: Column) -> Column:
@@ -162,18 +162,19 @@ def _starts(rows: DataFrame, starts: int, seed: int) -> DataFrame:
     """First subsets: the documents nearest to the medians, and small random ones. Columns of rows with start."""
     values = rows.select("grp", F.posexplode(F.array(*FEATURES)).alias("f", "x"))
     middle = _median(values, "x", "median")
+    middle = small_side(stored(middle.coalesce(1)), 100_000)
     spread = values.join(middle, ["grp", "f"]).select("grp", "f", F.abs(F.col("x") - F.col("median")).alias("x"))
     scale = _median(spread, "x", "mad").join(middle, ["grp", "f"])
     floors = F.array(*[F.lit(x) for x in FLOORS.values()])
     scale = scale.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("f", "median", (1.4826 * F.col("mad") + floors[F.col("f")]).alias("scale")))).alias("by"))
     far = sum((((F.col(f) - F.col("by")[i]["median"]) / F.col("by")[i]["scale"]) ** 2 for i, f in enumerate(FEATURES)), F.lit(0.0))
-    first = rows.join(stored(scale), "grp").withColumn("start", F.lit(0)).withColumn("step", _step(far)).drop("by")
-    central = first.join(_nearest(first, ["grp", "start"], SHARE, _FIRST), ["grp", "start"])
+    first = rows.join(small_side(stored(scale.coalesce(1))), "grp").withColumn("start", F.lit(0)).withColumn("step", _step(far)).drop("by")
+    central = first.join(small_side(stored(_nearest(first, ["grp", "start"], SHARE, _FIRST).coalesce(1))), ["grp", "start"])
     for start in range(1, starts):
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed + start), "doc_id", *FEATURES), 34).cast("int")
         some = rows.withColumn("start", F.lit(start)).withColumn("step", draw)
         bins = some.withColumn("step", F.shiftright("step", 14))
-        central = central.unionByName(bins.join(_nearest(bins, ["grp", "start"], SHARE, _FIRST, _FIRST), ["grp", "start"]))
+        central = central.unionByName(bins.join(small_side(stored(_nearest(bins, ["grp", "start"], SHARE, _FIRST, _FIRST).coalesce(1))), ["grp", "start"]))
     return central.where("step <= cut")
 
 
@@ -190,18 +191,18 @@ def estimates(rows: DataFrame, share: float = SHARE, starts: int = STARTS, seed:
     keys = ["grp", "start"]
 
     def concentrated(now: DataFrame) -> DataFrame:
-        near = rows.join(now, "grp").select(*keys, *FEATURES, _step(_distance()).alias("step"))
-        cut = stored(_nearest(near, keys, share, _FIRST))
-        return stored(_estimate(near.join(cut, keys).where("step <= cut"), keys))
+        near = rows.join(small_side(now), "grp").select(*keys, *FEATURES, _step(_distance()).alias("step"))
+        cut = stored(_nearest(near, keys, share, _FIRST).coalesce(1))
+        return stored(_estimate(near.join(small_side(cut), keys).where("step <= cut"), keys).coalesce(1))
 
-    best = now = concentrated(stored(_estimate(_starts(rows, starts, seed), keys)))
+    best = now = concentrated(stored(_estimate(_starts(rows, starts, seed), keys).coalesce(1)))
     while True:
         now = concentrated(now)
         better = now.join(best.select(*keys, F.col("log_det").alias("old")), keys).where("log_det < old - 1e-3").drop("old")
-        better = stored(better)
+        better = stored(better.coalesce(1))
         if better.isEmpty():
             break
-        best = stored(best.join(better.select(*keys), keys, "left_anti").unionByName(better))
+        best = stored(best.join(better.select(*keys), keys, "left_anti").unionByName(better).coalesce(1))
     smallest = best.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("pick")).select("grp", "pick.start")
     consistent = share / chi_square(chi_square_quantile(share, _P), _P + 2)
     chosen = best.join(smallest, keys)
@@ -215,8 +216,8 @@ def judged(docs: DataFrame, share: float = SHARE, cut: float = CUT, small: int =
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = stored(vectors(stats).withColumn("base_failed", failed))
     rows = stored(_grouped(stats.where("NOT base_failed"), small))
-    found = stored(estimates(rows, share))
-    out = rows.join(found, "grp").withColumn("distance", _distance()).select(*stats.columns, "distance")
+    found = stored(estimates(rows, share).coalesce(1))
+    out = rows.join(small_side(found), "grp").withColumn("distance", _distance()).select(*stats.columns, "distance")
     out = out.unionByName(stats.where("base_failed").withColumn("distance", F.lit(None).cast("double")))
     limit = chi_square_quantile(cut, _P)
     return out.withColumn("kept", F.coalesce(F.col("distance") <= limit, F.lit(False)))

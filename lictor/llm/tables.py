@@ -26,6 +26,14 @@ def stored(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
+def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A stored table for the small side of a join: broadcast if it has at most `most` rows, joined like any other beyond.
+
+    Joining a large table with one row per group would otherwise shuffle its rows by a key that may hold a third of them.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def groups(edges: DataFrame) -> DataFrame:
     """Connected groups of an edge table (a, b): columns node, root, where the root is the group's smallest node.
 
