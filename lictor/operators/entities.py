@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lictor.operators.collusion import pairs_in_groups
-from lictor.session import cut
+from lictor.session import Rounds
 
 # The fields that count as evidence.
 EVIDENCE = ["domicilio", "email_pliego", "directorio", "representante_tecnico", "balance_hash"]
@@ -136,7 +136,7 @@ def entity_links(entities: DataFrame, threshold: int = 90) -> DataFrame:
     return members.unionByName(across).distinct()
 
 
-def group_entities(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def group_entities(pairs: DataFrame) -> DataFrame:
     """(entidad_id, grupo_real): the transitive closure of the pairs, each group named by its smallest entity.
 
     Alternating large-star and small-star steps: every round links nodes straight to smaller ones, so the number of
@@ -146,15 +146,15 @@ def group_entities(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
         F.greatest("entidad_id", "entidad_relacionada_id").alias("u"), F.least("entidad_id", "entidad_relacionada_id").alias("v")
     )
     alone = edges.filter("u = v").select("u", "v")
-    links = cut(edges.filter("u <> v").distinct())
-    state = None
-    for _ in range(max_rounds):
+    rounds = Rounds()
+    links, state = rounds.cut(edges.filter("u <> v").distinct()), None
+    while True:  # until the links stay the same
         there = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = there.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = there.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
-        links = cut(
+        links = rounds.cut(
             small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(lowest.withColumnRenamed("m", "v")).distinct()
         )

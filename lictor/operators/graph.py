@@ -5,6 +5,7 @@ The iterative measures keep their state in a table that is checkpointed once per
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lictor.functions.numeric import exact_medians, rounded, scale_between, statistics
-from lictor.session import cut
+from lictor.session import Rounds, cut
 
 
 def award_edges(tenders: DataFrame, weight: str = "monto_adjudicado") -> DataFrame:
@@ -53,8 +54,11 @@ def degree(edges: DataFrame, order_col: str | None = None) -> DataFrame:
     return ends.groupBy("nodo_id").agg(F.count("*").alias("degree"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
-    """(nodo_id, pagerank) by weighted power iteration until the total change is below tolerance x nodes."""
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 1000) -> DataFrame:
+    """(nodo_id, pagerank) by weighted power iteration until the total change is below tolerance x nodes.
+
+    Raises if that takes more than `max_rounds` rounds; an unfinished state is never returned.
+    """
     arcs = both_ways(undirected(edges))
     totals = arcs.groupBy("u").agg(F.sum("w").alias("total"))
     arcs = cut(arcs.join(totals, "u").select("u", "v", (F.col("w") / F.nullif(F.col("total"), F.lit(0.0))).alias("parte")))
@@ -63,7 +67,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
     n = start.count()
     if n == 0:
         return start.withColumn("pagerank", F.lit(None).cast("double"))
-    ranks = start.withColumn("pagerank", F.lit(1.0 / n))
+    ranks, rounds = start.withColumn("pagerank", F.lit(1.0 / n)), Rounds()
     for _ in range(max_rounds):
         received = (
             arcs.join(ranks, F.col("u") == F.col("nodo_id"))
@@ -77,88 +81,112 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
             "nodo_id", "antes",
             (damping * (F.coalesce("recibido", F.lit(0.0)) + lost / n) + (1 - damping) / n).alias("pagerank"),
         )
-        following = cut(following)
+        following = rounds.cut(following)
         change = following.agg(F.sum(F.abs(F.col("pagerank") - F.col("antes")))).first()[0]
         ranks = following.select("nodo_id", "pagerank")
         if change < n * tolerance:
-            break
-    return ranks
+            return ranks
+    raise RuntimeError(f"PageRank did not settle in {max_rounds} rounds")
 
 
-def _shortest(arcs: DataFrame, sources: DataFrame, max_rounds: int) -> DataFrame:
+def _shortest(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     """(s, v, d): distance of every node reached from every source, by relaxing only what improved last round."""
-    known = sources.select(F.col("nodo_id").alias("s"), F.col("nodo_id").alias("v"), F.lit(0).cast("long").alias("d"))
-    known = cut(known.withColumn("nuevo", F.lit(True)))
-    for _ in range(max_rounds):
+    length, rounds = arcs.schema["w"].dataType, Rounds()
+    known = sources.select(F.col("nodo").alias("s"), F.col("nodo").alias("v"), F.lit(0).cast(length).alias("d"))
+    known = rounds.cut(known.withColumn("nuevo", F.lit(True)))
+    while not known.filter("nuevo").isEmpty():
         reached = (
             known.filter("nuevo").select("s", F.col("v").alias("u"), "d").join(arcs, "u")
-            .groupBy("s", "v").agg(F.min(F.col("d") + F.col("w")).alias("candidata"))
+            .groupBy("s", "v").agg(F.min((F.col("d") + F.col("w")).cast(length)).alias("candidata"))
         )
-        better = F.col("candidata") < F.coalesce("d", F.lit(2**63 - 1))
-        known = cut(known.drop("nuevo").join(reached, ["s", "v"], "full_outer").select(
+        better = F.col("d").isNull() | (F.col("candidata") < F.col("d"))
+        known = rounds.cut(known.drop("nuevo").join(reached, ["s", "v"], "full_outer").select(
             "s", "v", F.least("d", "candidata").alias("d"), F.coalesce(better, F.lit(False)).alias("nuevo")
         ))
-        if known.filter("nuevo").isEmpty():
-            break
     return known.select("s", "v", "d")
 
 
-def _spread(steps: DataFrame, first: DataFrame, source: str, target: str, max_rounds: int) -> DataFrame:
+def _spread(steps: DataFrame, first: DataFrame, source: str, target: str) -> DataFrame:
     """Sum over all lengths of the values carried along `steps` from `source` to `target`, starting with `first`.
 
-    `first` and the result are (s, v, valor); a step's value arrives unchanged and meeting values add up.
+    `first` and the result are (s, v, valor); a step's value arrives unchanged and meeting values add up. Steps lead
+    strictly away from their source, so the last layer is empty after at most as many rounds as there are nodes.
     """
     layer, layers = first, [first]
-    for _ in range(max_rounds):
+    while True:
         layer = cut(
             steps.select("s", F.col(source).alias("v"), F.col(target).alias("_hacia")).join(layer, ["s", "v"])
             .groupBy("s", F.col("_hacia").alias("v")).agg(F.sum("valor").alias("valor"))
         )
         if layer.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, layers).groupBy("s", "v").agg(F.sum("valor").alias("valor"))
         layers.append(layer)
-    return reduce(DataFrame.unionByName, layers).groupBy("s", "v").agg(F.sum("valor").alias("valor"))
 
 
-def path_measures(edges: DataFrame, sources_per_batch: int = 5000, max_rounds: int = 1000) -> DataFrame:
+def _exact_lengths(graph: DataFrame, n: int) -> tuple[DataFrame, int, int]:
+    """(a, b, w), with the edges' lengths as whole numbers that add up and compare exactly, their unit and tie factor.
+
+    A weight is taken as the decimal it prints as, with up to 18 places, and scaled by the places that occur. An edge of
+    weight 0 has no length, so paths could pass it back and forth: it counts as a tie-breaker below any real length,
+    w = weight x factor + 1. Of equally long paths those with the fewest such edges are shortest.
+    """
+    exact = F.col("peso").cast("decimal(38,18)")
+    checked = F.when(exact >= 0, exact).otherwise(F.raise_error(F.lit("edge weights must not be negative")).cast("decimal(38,18)"))
+    places = F.length(F.regexp_replace(F.substring_index(exact.cast("string"), ".", -1), "0+$", ""))
+    largest, digits, zero = graph.agg(F.max(checked), F.max(places), F.coalesce(F.max(F.when(exact == 0, 1)), F.lit(0))).first()
+    digits, factor = digits or 0, max(n, 1) if zero else 1
+    unit = 10**digits
+    fits = int((largest or 0) * unit + 1) * factor * max(n, 1) < 2**62
+    kind = "long" if fits else "decimal(38,0)"
+    whole = (exact * F.lit(unit).cast("decimal(19,0)")).cast("decimal(38,0)")
+    length = whole.cast(kind) * F.lit(factor).cast("long") + F.when(exact == 0, 1).otherwise(0).cast("long")
+    return graph.select("a", "b", length.cast(kind).alias("w")), unit, factor
+
+
+def path_measures(edges: DataFrame, state_rows: int = 50_000_000) -> DataFrame:
     """(nodo_id, betweenness, closeness) over all shortest paths, with the weight as the length of an edge.
 
-    Weights must be positive and are compared exactly at four decimals. Sources are worked off in batches, so the state is
-    sources_per_batch x nodes rows whatever the size of the graph; every source is used. Betweenness is normalised by
-    1/((n-1)(n-2)); closeness is scaled by the share of nodes reached.
+    Lengths are compared exactly, see `_exact_lengths`; negative weights raise. Every node is a source. Sources are
+    worked off in batches of about `state_rows` (source, node) rows, so the state does not grow with the square of the
+    graph. Betweenness is normalised by 1/((n-1)(n-2)); closeness is scaled by the share of nodes reached.
     """
-    length = F.when(F.col("peso") > 0, F.round(F.col("peso") * 10000).cast("long")).otherwise(
-        F.raise_error(F.lit("edge weights must be positive")).cast("long")
-    )
-    graph = undirected(edges)
-    arcs = cut(both_ways(graph, length).filter("u <> v"))
-    nodes = cut(nodes_of(graph))
+    graph = cut(undirected(edges))
+    # Nodes get short numbers once; the written table keeps them stable.
+    nodes = cut(nodes_of(graph).withColumn("nodo", F.monotonically_increasing_id()))
     n = nodes.count()
-    batches = max(1, math.ceil(n / sources_per_batch))
+    lengths, unit, factor = _exact_lengths(graph, n)
+    number = lambda end: nodes.select(F.col("nodo_id").alias(end), F.col("nodo").alias(f"{end}_"))
+    lengths = lengths.filter("a <> b").join(number("a"), "a").join(number("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"), "w")
+    arcs = cut(both_ways(lengths, "w"))
+    batches = max(1, math.ceil(n * n / state_rows))
     central, close = [], []
     for batch in range(batches):
         sources = nodes.filter(F.pmod(F.xxhash64("nodo_id"), F.lit(batches)) == batch) if batches > 1 else nodes
-        distance = _shortest(arcs, sources, max_rounds)
+        distance = _shortest(arcs, sources)
         from_u = distance.withColumnsRenamed({"v": "u", "d": "du"})
+        # An arc longer than the distance of its ends is on no shortest path from anywhere; a full batch knows all ends.
+        useful = arcs if batches > 1 else arcs.join(distance.select(F.col("s").alias("u"), "v", F.col("d").alias("w")), ["u", "v", "w"], "left_semi")
         steps = cut(
-            from_u.join(arcs, "u").join(distance, ["s", "v"]).filter(F.col("du") + F.col("w") == F.col("d")).select("s", "u", "v")
+            from_u.join(useful, "u").join(distance, ["s", "v"]).filter(F.col("du") + F.col("w") == F.col("d")).select("s", "u", "v")
         )
-        origin = sources.select(F.col("nodo_id").alias("s"), F.col("nodo_id").alias("v"), F.lit(1.0).alias("valor"))
-        paths = cut(_spread(steps, origin, "u", "v", max_rounds))
+        origin = sources.select(F.col("nodo").alias("s"), F.col("nodo").alias("v"), F.lit(1.0).alias("valor"))
+        paths = cut(_spread(steps, origin, "u", "v"))
         # Carrying 1/paths backwards sums, per node, the share of the paths to everything behind it.
         share = paths.select("s", "v", (1 / F.col("valor")).alias("valor"))
-        beyond = _spread(steps, share, "v", "u", max_rounds)
+        beyond = _spread(steps, share, "v", "u")
         passing = paths.withColumnRenamed("valor", "caminos").join(beyond, ["s", "v"]).filter("s <> v")
         central.append(cut(
-            passing.groupBy(F.col("v").alias("nodo_id")).agg(F.sum(F.col("caminos") * F.col("valor") - 1).alias("pasos"))
+            passing.groupBy(F.col("v").alias("nodo")).agg(F.sum(F.col("caminos") * F.col("valor") - 1).alias("pasos"))
         ))
+        real = F.floor(F.col("d") / factor) if factor > 1 else F.col("d")
         close.append(cut(
-            distance.groupBy(F.col("s").alias("nodo_id")).agg((F.sum("d") / 10000).alias("total"), (F.count("*") - 1).alias("otros"))
+            distance.groupBy(F.col("s").alias("nodo"))
+            .agg((F.sum(real.cast("decimal(38,0)")).cast("double") / unit).alias("total"), (F.count("*") - 1).alias("otros"))
         ))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    passed = reduce(DataFrame.unionByName, central).groupBy("nodo_id").agg(F.sum("pasos").alias("pasos"))
+    passed = reduce(DataFrame.unionByName, central).groupBy("nodo").agg(F.sum("pasos").alias("pasos"))
     reached = reduce(DataFrame.unionByName, close)
-    return nodes.join(passed, "nodo_id", "left").join(reached, "nodo_id", "left").select(
+    return nodes.join(passed, "nodo", "left").join(reached, "nodo", "left").select(
         "nodo_id",
         (F.greatest(F.coalesce("pasos", F.lit(0.0)), F.lit(0.0)) * scale).alias("betweenness"),
         F.when(F.col("total") > 0, F.col("otros") / F.col("total") * F.col("otros") / max(n - 1, 1)).otherwise(0.0)
@@ -166,15 +194,15 @@ def path_measures(edges: DataFrame, sources_per_batch: int = 5000, max_rounds: i
     )
 
 
-def betweenness(edges: DataFrame, top_n: int | None = 20, sources_per_batch: int = 5000) -> DataFrame:
+def betweenness(edges: DataFrame, top_n: int | None = 20, state_rows: int = 50_000_000) -> DataFrame:
     """The nodes most shortest paths pass through; all of them with top_n=None."""
-    found = path_measures(edges, sources_per_batch).select("nodo_id", "betweenness")
+    found = path_measures(edges, state_rows).select("nodo_id", "betweenness")
     return found if top_n is None else found.orderBy(F.desc("betweenness"), "nodo_id").limit(top_n)
 
 
-def brokers(edges: DataFrame, entities: DataFrame, sources_per_batch: int = 5000) -> DataFrame:
+def brokers(edges: DataFrame, entities: DataFrame, state_rows: int = 50_000_000) -> DataFrame:
     """Entities of kind BROKER with more than the median betweenness of the whole graph."""
-    central = cut(betweenness(edges, None, sources_per_batch)).join(
+    central = cut(betweenness(edges, None, state_rows)).join(
         entities, F.col("nodo_id") == F.col("entidad_id"), "left"
     )
     middle = exact_medians(central, ["betweenness"]).agg(F.max("mediana")).scalar()
@@ -198,11 +226,13 @@ def _modularity(arcs: DataFrame, communities: DataFrame) -> DataFrame:
     )
 
 
-def communities(edges: DataFrame, max_levels: int = 10, max_rounds: int = 8, min_gain: float = 1e-6) -> DataFrame:
+def communities(edges: DataFrame, min_gain: float = 1e-6) -> DataFrame:
     """(nodo_id, comunidad) by repeated local moves and contraction, named by the smallest node of each community.
 
     In each round half of the nodes, chosen by hash, may move to the neighbouring community with the best gain in
-    modularity (ties to the smallest), judged against the last round's state; the best partition seen is kept.
+    modularity (ties to the smallest), judged against the last round's state; the best partition seen is kept. A level
+    ends after two rounds, one per half, without a better partition, the whole after a level that gains nothing: as
+    modularity cannot pass 1, both ends are reached.
     """
     graph = undirected(edges)
     arcs = cut(both_ways(graph, F.when(F.col("a") == F.col("b"), F.col("peso") * 2).otherwise(F.col("peso"))))
@@ -210,12 +240,12 @@ def communities(edges: DataFrame, max_levels: int = 10, max_rounds: int = 8, min
     whole = arcs.agg(F.sum("w")).first()[0]
     if not whole:
         return belongs
-    for _ in range(max_levels):
+    while True:
         weights = arcs.groupBy(F.col("u").alias("nodo_id")).agg(F.sum("w").alias("k"))
         level = cut(weights.withColumn("comunidad", F.col("nodo_id")))
         best, best_value = level, _modularity(arcs, level).first()[0]
         start_value, idle = best_value, 0
-        for turn in range(max_rounds):
+        for turn in itertools.count():
             totals = level.groupBy("comunidad").agg(F.sum("k").alias("total"))
             near = (
                 arcs.filter("u <> v")
@@ -296,11 +326,11 @@ def network_score(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("_s", spans).withColumn("network_score", score).drop("_s")
 
 
-def entity_metrics(edges: DataFrame, sources_per_batch: int = 5000) -> DataFrame:
+def entity_metrics(edges: DataFrame, state_rows: int = 50_000_000) -> DataFrame:
     """Degree, betweenness, closeness, PageRank, community and network_score of every entity."""
     edges = cut(edges)
     metrics = (
-        cut(path_measures(edges, sources_per_batch))
+        cut(path_measures(edges, state_rows))
         .join(degree(edges), "nodo_id")
         .join(pagerank(edges), "nodo_id")
         .join(communities(edges), "nodo_id")

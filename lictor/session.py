@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings every operator assumes: skewed shuffle partitions are split at run time even when that costs one
-# more exchange, and small partitions are merged.
+# Settings that a session for this library should be built with: skewed shuffle partitions are split at run time even
+# when that costs one more exchange, and small partitions are merged. Operators and queries change no setting themselves.
 TUNING = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -19,6 +19,7 @@ TUNING = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """For programs that own their session."""
     for key, value in TUNING.items():
         spark.conf.set(key, value)
     return spark
@@ -41,15 +42,25 @@ def cut(df: DataFrame) -> DataFrame:
     The plan starts anew, a lost executor costs one round, and the planner sees the true size of the state. A
     checkpointed DataFrame would keep the size estimate of the plan behind it, which grows with every joined round.
     """
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/lictor/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than there are cores, spread over all of them for costly per-row work.
+class Rounds:
+    """States of one iteration: once a round is written, the table of the round before last is deleted."""
 
-    A large table has more splits than that and is left alone, so nothing is shuffled at scale.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        table, path = _written(df)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            old = df.sparkSession._jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
+            old.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
+        return table
