@@ -210,7 +210,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # Buckets with more than one class, and their members.
     band = nodes.select("cls", F.explode("bands").alias("bucket"))
     crowded = band.groupBy("bucket").agg(F.min("cls").alias("centre"), F.max("cls").alias("other")).where("centre < other")
-    members = stored(band.join(crowded.select("bucket", "centre"), "bucket"))
+    # Minima are stored before they are joined back: only a join of two plain shuffles is split at a hot key.
+    members = stored(band.join(stored(crowded.select("bucket", "centre")), "bucket"))
 
     # One comparison per class first: with the bucket centre that it meets most often.
     meets = members.where("cls <> centre").groupBy("cls", "centre").agg(F.count("*").alias("n"))
@@ -225,7 +226,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     placed = members.select("bucket", "cls").join(known.select(F.col("node").alias("cls"), "root"), "cls", "left")
     placed = stored(placed.select("bucket", "cls", F.coalesce("root", "cls").alias("comp")))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = stored(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     open_rows = placed.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     open_rows = open_rows.select("bucket", "cls", "comp", "own", other.alias("other")).select(
@@ -240,7 +241,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # Names of the groups, and every row with its group's name.
     named = classes.select("cls", "first").join(known.select(F.col("node").alias("cls"), "root"), "cls", "left")
     named = named.select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(named)
+    least = stored(named.groupBy("root").agg(F.min("first").alias("component_id")))
     by_class = named.join(least, "root").select("cls", "root", "component_id")
     out = rows.select("doc_id", "row_key", "n_shingles", "cls").join(by_class, "cls", "left")
     name = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

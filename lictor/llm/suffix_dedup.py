@@ -113,12 +113,14 @@ def _windows(docs: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
 def passages(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS) -> DataFrame:
     """Repeated passages: doc_id, row_key, begin, end (in words), removed (an earlier place holds the same words), first_doc_ids."""
     kept = stored(suffixes(docs, least, seed_words))
-    again = kept.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # Counts are stored before they are joined back: only a join of two plain shuffles is split at a hot key.
+    again = stored(kept.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
     kept = stored(kept.join(again, "seed"))
     place = F.struct("doc_id", "row_key", "first")
     alike = kept.groupBy("seed", "context").agg(F.min(place).alias("own"), F.count("*").alias("n"), F.first("windows").alias("windows"))
     alike = stored(alike)
     several = alike.groupBy("seed").agg(F.min("context").alias("lo"), F.max("context").alias("hi")).where("lo < hi").select("seed")
+    several = stored(several)
     extended = stored(alike.join(several, "seed"))
 
     # Extension: windows of one representative per context, against those of all others of the table.
@@ -127,6 +129,7 @@ def passages(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS)
     windows = stored(windows.join(extended.select("seed", "context", "own", "n"), ["seed", "context"]).select(
         "window", "seed", "context", "i", "n", F.struct("own.doc_id", "own.row_key", (F.col("own.first") + F.col("i")).alias("first")).alias("own")))
     repeated = windows.groupBy("window").agg(F.sum("n").alias("total"), F.min("own").alias("origin")).where("total > 1").select("window", "origin")
+    repeated = stored(repeated)
     matched = windows.select("window", "seed", "context", "i").join(repeated, "window")
     matched = matched.select("seed", "context", "i", "origin.doc_id", "origin.row_key", (F.col("origin.first") - F.col("i")).alias("shift"))
     line = Window.partitionBy("seed", "context", "doc_id", "row_key", "shift").orderBy("i")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.session import cut
+from lictor.session import Rounds, cut
 
 #: Words are maximal runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,15 +41,16 @@ def groups(edges: DataFrame) -> DataFrame:
     node then. Minima are aggregated before the shuffle and joined back, so that a hub is split like any skewed key.
     Each round is stored; the loop ends on its condition alone.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rounds = Rounds()
+    edges = rounds.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     size = _summary(edges)
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
-        edges = stored(small.distinct())
+        edges = rounds.cut(small.distinct())
         now = _summary(edges)
         if now == size:
             break
