@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lictor.functions.numeric import rounded
-from lictor.session import tune
 from registry.adapters import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +21,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or build.__name__
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(Tables(tune(spark), folder))
+            return build(Tables(spark, folder))
 
         QUERIES[key] = run
         if sql is not None:

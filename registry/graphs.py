@@ -19,11 +19,6 @@ def awards(t: Tables) -> DataFrame:
     return graph.award_edges(t.licitaciones(dates=False))
 
 
-def by_jurisdiction(t: Tables) -> DataFrame:
-    """Awards between jurisdictions and suppliers: far fewer nodes than organisms, over all tenders."""
-    return graph.award_edges(t.licitaciones(dates=False).withColumn("organismo", F.col("jurisdiccion")))
-
-
 @query(with_tables("licitaciones", "SELECT a AS origen_id, b AS destino_id, w AS peso FROM g", g=EDGES))
 def award_edges(t: Tables) -> DataFrame:
     return awards(t)
@@ -48,33 +43,40 @@ def degree(t: Tables) -> DataFrame:
     return graph.degree(awards(t))
 
 
-RANKS = {"r0": "SELECT DISTINCT u AS n, 1.0::DOUBLE / (SELECT count(DISTINCT u) FROM k) AS r FROM k"} | {
-    f"r{i}": f"""SELECT v AS n, 0.85::DOUBLE * sum(r * w / total) + 0.15::DOUBLE / (SELECT count(*) FROM r0) AS r
-                 FROM k JOIN r{i - 1} ON n = u JOIN (SELECT u, sum(w) AS total FROM k GROUP BY 1) t USING (u) GROUP BY 1"""
-    for i in range(1, 6)
-}
+# All rounds up to 90, then the first whose total change is below 1e-6 per node.
+RANKS = dict(
+    totals="SELECT u, sum(w) AS total, count(*) OVER () AS n FROM k GROUP BY u",
+    rounds="""WITH RECURSIVE r(i, n, x) AS (
+        SELECT 0, u, 1.0::DOUBLE / n FROM totals UNION ALL
+        SELECT i + 1, k.v, 0.85::DOUBLE * sum(x * w / total) + 0.15::DOUBLE / any_value(t.n)
+        FROM r JOIN totals t ON t.u = r.n JOIN k ON k.u = r.n WHERE i < 90 GROUP BY i, k.v)
+      SELECT * FROM r""",
+    settled="""SELECT min(a.i) AS i FROM (
+        SELECT x.i, sum(abs(x.x - y.x)) AS change, count(*) AS n FROM rounds x JOIN rounds y ON y.n = x.n AND y.i = x.i - 1 GROUP BY x.i) a
+      WHERE change < n * 1e-6::DOUBLE""",
+)
 
 
-@query(with_tables("licitaciones", f"SELECT n AS nodo_id, {R('r', 9)} AS pagerank FROM r5", g=EDGES, k=ARCS, **RANKS))
-def pagerank_5_rounds(t: Tables) -> DataFrame:
-    return round_columns(graph.pagerank(awards(t), tolerance=0.0, max_rounds=5), 9, "pagerank")
+@query(with_tables("licitaciones", f"SELECT n AS nodo_id, {R('x', 9)} AS pagerank FROM rounds JOIN settled USING (i)", g=EDGES, k=ARCS, **RANKS))
+def pagerank(t: Tables) -> DataFrame:
+    return round_columns(graph.pagerank(awards(t)), 9, "pagerank")
 
 
 @query()
 def betweenness(t: Tables) -> DataFrame:
-    return graph.betweenness(by_jurisdiction(t), top_n=None)
+    return graph.betweenness(awards(t), top_n=None)
 
 
 @query()
 def closeness(t: Tables) -> DataFrame:
-    return graph.path_measures(by_jurisdiction(t)).select("nodo_id", "closeness")
+    return graph.path_measures(awards(t)).select("nodo_id", "closeness")
 
 
 @query()
 def brokers(t: Tables) -> DataFrame:
     kinds = t.licitaciones().filter("proveedor IS NOT NULL").select(F.col("proveedor").alias("entidad_id")).distinct()
     kind = F.when(F.col("entidad_id").endswith("7") | F.col("entidad_id").endswith("2"), "BROKER").otherwise("EMPRESA")
-    return graph.brokers(by_jurisdiction(t), kinds.withColumn("tipo", kind))
+    return graph.brokers(awards(t), kinds.withColumn("tipo", kind))
 
 
 @query()
@@ -84,7 +86,7 @@ def communities(t: Tables) -> DataFrame:
 
 @query()
 def network_metrics(t: Tables) -> DataFrame:
-    return graph.entity_metrics(by_jurisdiction(t))
+    return graph.entity_metrics(awards(t))
 
 
 MEMBERS = """SELECT 'ORG-' || c_custkey AS n, c_nationkey AS c FROM customer WHERE 'ORG-' || c_custkey IN (SELECT u FROM k)
