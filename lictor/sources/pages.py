@@ -1,233 +1,183 @@
-"""Records in stored HTML pages: a page's markup is read by one small parser, every page on its own."""
+"""Records in stored HTML pages, with Column expressions only: cut out blocks, rows and cells, then explode them.
 
-from __future__ import annotations
+The layouts are flat lists of records, so no tree is built. A block runs from its opening tag to the closing tag that
+balances it (or to the page's end); a table row or cell to the next one.
+"""
 
-import re
-from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-HIDDEN = {"script", "style", "template"}
-# An opening tag ends an open element of these kinds that lies inside the given containers.
-ENDS = {
-    "li": ({"li"}, {"ul", "ol"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    **{t: ({"p"}, {"div", "td", "li", "article"}) for t in ("p", "div", "ul", "ol", "table", "h2", "h3", "h4", "article")},
-}
-
-
-class Element:
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
-        self.tag, self.attrs, self.parent, self.content = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[Element]:
-        pending = [c for c in reversed(self.content) if isinstance(c, Element)]
-        while pending:
-            node = pending.pop()
-            yield node
-            pending.extend(c for c in reversed(node.content) if isinstance(c, Element))
-
-    def all(self, *tags: str) -> list[Element]:
-        return [e for e in self.walk() if e.tag in tags]
-
-    def by_class(self, pattern: str) -> Element | None:
-        return next((e for e in self.walk() if any(re.search(pattern, c, re.I) for c in e.classes())), None)
-
-    def classes(self) -> list[str]:
-        return self.attrs.get("class", "").split()
-
-    def enclosing(self, *tags: str) -> Element:
-        node = self.parent
-        while node is not None and node.tag not in tags:
-            node = node.parent
-        return node or self
-
-    def text(self, separator: str = "") -> str:
-        pieces, pending = [], list(reversed(self.content))
-        while pending:
-            part = pending.pop()
-            if isinstance(part, str):
-                pieces.append(part.strip())
-            elif part.tag not in HIDDEN:
-                pending.extend(reversed(part.content))
-        return separator.join(p for p in pieces if p)
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.open = Element("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        ended, inside = ENDS.get(tag, (set(), set()))
-        node = self.open
-        while node.parent is not None and node.tag not in inside and ended:
-            if node.tag in ended:
-                self.open = node.parent
-            node = node.parent
-        child = Element(tag, {k: v or "" for k, v in attrs}, self.open)
-        self.open.content.append(child)
-        if tag not in VOID:
-            self.open = child
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        node = self.open
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.open = node.parent
-
-    def handle_data(self, data):
-        self.open.content.append(data)
-
-
-def parse(html: str) -> Element:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
-
-
 # Class names, link paths and source labels of the known page layouts.
-NOTICE_CLASSES = {"resultado-aviso", "aviso-item", "card-aviso"}
-NOTICE_LINK = r"/(detalleAviso|aviso|detalle)/"
-RULING_CLASSES = {"resultado-documento", "doc-item"}
+NOTICE_CLASSES = ("resultado-aviso", "aviso-item", "card-aviso")
+NOTICE_LINK = r"/(?:detalleAviso|aviso|detalle)/"
+RULING_CLASSES = ("resultado-documento", "doc-item")
 DATE = r"\b\d{1,2}/\d{1,2}/\d{4}\b"
 GAZETTE, COURTS, DEPUTIES, SENATE = "BORA", "SAIJ_PODER_JUDICIAL", "HCDN_VOTACIONES", "SENADO_VOTACIONES"
-DATA_FILE = (".csv", ".xlsx", ".xls")
 
-NOTICE_COLUMNS = ["titulo", "fecha", "organismo", "url", "fuente"]
-RULING_COLUMNS = ["caratula", "fuero", "fecha_resolucion", "texto_fallo", "fuente"]
-ROLL_CALL_COLUMNS = ["camara", "expediente", "titulo", "fecha", "legislador", "voto", "bloque", "fuente"]
-SENATE_COLUMNS = ["camara", "fecha", "expediente", "titulo", "resultado", "fuente"]
+HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>"
+HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
 
 
-def _text_of(element: Element | None, separator: str = "") -> str | None:
-    return None if element is None else element.text(separator)
+def _visible() -> Column:
+    return F.regexp_replace("html", HIDDEN, "")
 
 
-def _first_date(text: str) -> str | None:
-    match = re.search(DATE, text)
-    return match and match.group(0)
+def _decoded(value: Column) -> Column:
+    """The character references that the layouts use."""
+    for name, letter in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
+        value = F.replace(value, F.lit(f"&{name};"), F.lit(letter))
+    return value
 
 
-def _links(root: Element) -> list[Element]:
-    return [a for a in root.all("a") if "href" in a.attrs]
+def _text(markup: Column, separator: str = "") -> Column:
+    """The trimmed pieces of text between tags; null stays null."""
+    pieces = F.transform(F.split(markup, r"<[^>]*>"), lambda piece: F.regexp_replace(_decoded(piece), r"^[\s ]+|[\s ]+$", ""))
+    return F.array_join(F.filter(pieces, lambda piece: piece != ""), separator)
 
 
-def _notices(root: Element) -> list[tuple]:
-    known = [e for e in root.walk() if NOTICE_CLASSES & set(e.classes())]
-    if known:
-        return [
-            (
-                _text_of(e.by_class("titulo|denominacion")),
-                _text_of(e.by_class("fecha")),
-                _text_of(e.by_class("organismo|rubro")),
-                next((a.attrs["href"] for a in _links(e)), None),
-                GAZETTE,
-            )
-            for e in known
-        ]
-    linked = [a for a in _links(root) if re.search(NOTICE_LINK, a.attrs["href"], re.I)]
-    around = lambda a: a.enclosing("li", "div", "article", "tr").text(" ")
-    return [(a.text() or None, _first_date(around(a)), None, a.attrs["href"], GAZETTE) for a in linked]
+def _or_null(value: Column) -> Column:
+    return F.when(value != "", value)
 
 
-def _rulings(root: Element) -> list[tuple]:
-    known = [e for e in root.walk() if RULING_CLASSES & set(e.classes())]
-    if known:
-        return [
-            (
-                _text_of(e.by_class("caratula")),
-                _text_of(e.by_class("fuero")),
-                _text_of(e.by_class("fecha")),
-                _text_of(e.by_class("texto-fallo|sumario"), " "),
-                COURTS,
-            )
-            for e in known
-        ]
-    blocks = [(h, h.enclosing("article", "li", "div").text(" ")) for h in root.all("h2", "h3", "h4")]
-    return [(h.text(), None, _first_date(block), block, COURTS) for h, block in blocks if len(block) >= 15]
+def _starting(markup: Column, opening: str) -> Column:
+    """The page from each matching opening tag up to the next one; what stands before the first is left out."""
+    parts = F.split(markup, f"(?i)(?={opening})")
+    return F.filter(parts, lambda part: part.rlike(f"(?i)^{opening}"))
 
 
-def _rows_of(table: Element) -> list[list[str]]:
-    cells = ([cell.text() for cell in row.all("td")] for row in table.all("tr")[1:])
-    return [c for c in cells if c]
+def _pieces(markup: Column) -> Column:
+    """Cut before every closing tag of the name that the markup begins with."""
+    return F.split(markup, F.concat(F.lit("(?i)(?=</"), F.regexp_extract(markup, r"^<(\w+)", 1), F.lit(r"\b)")))
 
 
-def _roll_call(root: Element) -> list[tuple]:
-    if any(a.attrs["href"].lower().endswith(DATA_FILE) for a in _links(root)):
-        return []  # The votes are in the linked files.
-    for table in root.all("table"):
-        headers = [th.text().lower() for th in table.all("th")]
-        if not re.search("diputado|legislador|voto", " ".join(headers)):
-            continue
-        place = {name: i for i, name in enumerate(headers)}
+def _opens(markup: Column, pieces: Column) -> Column:
+    tag = F.regexp_extract(markup, r"^<(\w+)", 1)
+    return F.transform(pieces, lambda piece: F.regexp_count(piece, F.concat(F.lit("(?i)<"), tag, F.lit(r"\b"))))
 
-        def cell(row: list[str], *names: str) -> str | None:
-            return next((row[place[n]] for n in names if n in place and place[n] < len(row)), None)
 
-        return [
-            ("DIPUTADOS", cell(r, "expediente"), cell(r, "titulo", "asunto"), cell(r, "fecha"),
-             cell(r, "diputado", "legislador"), cell(r, "voto"), cell(r, "bloque"), DEPUTIES)
-            for r in _rows_of(table)
-        ]
-    return []
+def _block(pieces: Column, opens: Column) -> Column:
+    """The pieces up to the first place with no more openings than pieces, or all."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("open"), F.lit(False).alias("done"))
+    step = lambda a, x: F.struct(
+        (a["n"] + F.when(a["done"], 0).otherwise(1)).alias("n"), (a["open"] + F.when(a["done"], 0).otherwise(x)).alias("open"),
+        (a["done"] | (a["open"] + x <= a["n"] + 1)).alias("done"))
+    return F.array_join(F.slice(pieces, 1, F.greatest(F.lit(1), F.aggregate(opens, start, step, lambda a: a["n"]))), "")
 
 
-def _senate(root: Element) -> list[tuple]:
-    rows = [r for table in root.all("table")[:1] for r in _rows_of(table) if len(r) >= 3]
-    return [("SENADORES", r[0], r[1], r[2], r[3] if len(r) > 3 else None, SENATE) for r in rows]
+def _balanced(markup: Column) -> Column:
+    """From the opening tag at the start to the closing tag that balances it, for short markup."""
+    return _block(_pieces(markup), _opens(markup, _pieces(markup)))
+
+
+def _with_block(df: DataFrame, markup: str) -> DataFrame:
+    """The same in steps of their own, so that long markup is cut once: the column is replaced by its block."""
+    return (
+        df.withColumn("_pieces", _pieces(F.col(markup))).withColumn("_opens", _opens(F.col(markup), F.col("_pieces")))
+        .withColumn(markup, _block(F.col("_pieces"), F.col("_opens"))).drop("_pieces", "_opens")
+    )
 
 
-def _records(pages: DataFrame, columns: list[str], read: Callable[[Element], list[tuple]]) -> DataFrame:
-    """page_id and one row per record, in any number per page."""
-    kind = pages.schema["page_id"].dataType.simpleString()
+def _classed(names: str, whole: bool) -> str:
+    """An opening tag with a class that is one of the names, or that contains one of them."""
+    value = (lambda q: rf"(?:[^{q}]*\s)?(?:{names})(?:\s[^{q}]*)?") if whole else (lambda q: rf"[^{q}]*(?:{names})[^{q}]*")
+    bare = rf"(?:{names})(?=[\s>])" if whole else rf"[^\s>\"']*(?:{names})[^\s>\"']*"
+    return rf"<\w+\b[^>]*?\sclass\s*=\s*(?:\"{value(chr(34))}\"|'{value(chr(39))}'|{bare})[^>]*>"
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [(i, *r) for i, html in zip(frame["page_id"], frame["html"]) if html for r in read(parse(html))]
-            yield pd.DataFrame(found, columns=["page_id", *columns])
 
-    schema = ", ".join([f"page_id {kind}", *[f"{c} string" for c in columns]])
-    return pages.select("page_id", "html").mapInPandas(batches, schema)
+def _field(block: Column, names: str, separator: str = "") -> Column:
+    """Text of the first element whose class contains one of the names."""
+    found = F.regexp_substr(block, F.lit(f"(?is){_classed(names, False)}.*"))
+    return F.when(found.isNotNull(), _text(_balanced(found), separator))
+
+
+def _href(markup: Column) -> Column:
+    """The first link's target."""
+    found = [_or_null(F.regexp_extract(markup, HREF, i)) for i in (1, 2, 3)]
+    return _decoded(F.coalesce(*found))
+
+
+def _first_date(text: Column) -> Column:
+    return F.regexp_substr(text, F.lit(DATE))
 
 
 def gazette_notices(pages: DataFrame) -> DataFrame:
     """Notices in blocks of the known classes, or else links to notices with the first date around them."""
-    return _records(pages, NOTICE_COLUMNS, _notices)
+    marked = pages.select("page_id", _visible().alias("html"))
+    marked = marked.select("page_id", "html", _starting(F.col("html"), _classed("|".join(NOTICE_CLASSES), True)).alias("known"))
+    block = F.col("block")
+    known = _with_block(marked.select("page_id", F.explode("known").alias("block")), "block").select(
+        "page_id", _field(block, "titulo|denominacion").alias("titulo"), _field(block, "fecha").alias("fecha"),
+        _field(block, "organismo|rubro").alias("organismo"), _href(block).alias("url"),
+    )
+    # Without known blocks: the surroundings of a link reach from one list item, section or row to the next.
+    around = F.split("html", r"(?i)(?=<(?:li|div|article|tr)\b)")
+    linked = marked.filter(F.size("known") == 0).select("page_id", F.explode(around).alias("block"))
+    linked = linked.select("page_id", "block", F.explode(_starting(block, r"<a\s")).alias("link"))
+    linked = linked.select("page_id", _or_null(_text(_balanced(F.col("link")))).alias("titulo"), _first_date(_text(block, " ")).alias("fecha"),
+                           F.lit(None).cast("string").alias("organismo"), _href(F.col("link")).alias("url"))
+    linked = linked.filter(F.col("url").rlike(f"(?i){NOTICE_LINK}"))
+    return known.unionByName(linked).withColumn("fuente", F.lit(GAZETTE))
 
 
 def court_rulings(pages: DataFrame) -> DataFrame:
-    """Rulings in blocks of the known classes, or else headings with their enclosing block."""
-    return _records(pages, RULING_COLUMNS, _rulings)
+    """Rulings in blocks of the known classes, or else headings with their enclosing block of 15 or more characters."""
+    marked = pages.select("page_id", _visible().alias("html"))
+    marked = marked.select("page_id", "html", _starting(F.col("html"), _classed("|".join(RULING_CLASSES), True)).alias("known"))
+    block = F.col("block")
+    known = _with_block(marked.select("page_id", F.explode("known").alias("block")), "block").select(
+        "page_id", _field(block, "caratula").alias("caratula"), _field(block, "fuero").alias("fuero"),
+        _field(block, "fecha").alias("fecha_resolucion"), _field(block, "texto-fallo|sumario", " ").alias("texto_fallo"),
+    )
+    # A heading's block begins with the last section opened before it and ends where that section is balanced.
+    parts = marked.filter(F.size("known") == 0).select("page_id", F.split("html", r"(?i)(?=<(?:article|li|div)\b)").alias("parts"))
+    headed = parts.select("page_id", "parts", F.posexplode("parts").alias("i", "part"))
+    headed = headed.select("page_id", "parts", "i", F.explode(_starting(F.col("part"), r"<h[234]\b")).alias("heading"))
+    rest = F.array_join(F.slice("parts", F.col("i") + 1, F.size("parts")), "")
+    headed = _with_block(headed.select("page_id", "heading", rest.alias("block")), "block")
+    headed = headed.select("page_id", _text(_balanced(F.col("heading"))).alias("caratula"), _text(block, " ").alias("texto_fallo"))
+    headed = headed.filter(F.length("texto_fallo") >= 15).select(
+        "page_id", "caratula", F.lit(None).cast("string").alias("fuero"), _first_date(F.col("texto_fallo")).alias("fecha_resolucion"), "texto_fallo")
+    return known.unionByName(headed).withColumn("fuente", F.lit(COURTS))
+
+
+def _tables(pages: DataFrame) -> DataFrame:
+    """page_id, at, headers and rows of cells; every table up to its end or the next one. A table's first row is its head."""
+    table = F.posexplode(F.transform(_starting(_visible(), r"<table\b"), lambda t: F.element_at(F.split(t, r"(?i)</table\b"), 1)))
+    found = pages.select("page_id", table.alias("at", "table"))
+    after = lambda markup, tag: F.slice(F.split(markup, rf"(?i)<{tag}\b[^>]*>"), 2, F.length(markup))
+    cell = lambda markup: _text(F.element_at(F.split(markup, r"(?i)<(?:/?t[dhr]\b|/table\b)"), 1))
+    headers = F.transform(after(F.col("table"), "th"), lambda h: F.lower(cell(h)))
+    rows = F.transform(F.slice(after(F.col("table"), "tr"), 2, F.length("table")), lambda r: F.transform(after(r, "td"), cell))
+    return found.select("page_id", "at", headers.alias("headers"), F.filter(rows, lambda r: F.size(r) > 0).alias("rows"))
 
 
 def roll_calls(pages: DataFrame) -> DataFrame:
     """Votes in the first table whose headers name deputies or votes, of pages that link no data file."""
-    return _records(pages, ROLL_CALL_COLUMNS, _roll_call)
+    files = F.regexp_extract_all(_visible(), F.lit(HREF.replace("([^", "[^").replace("]*)", "]*").replace("]+)", "]+")), F.lit(0))
+    plain = pages.filter(~F.exists(files, lambda f: F.lower(f).rlike(r"\.(?:csv|xlsx|xls)[\"']?$")))
+    named = _tables(plain).filter(F.array_join("headers", " ").rlike("diputado|legislador|voto"))
+    first = named.groupBy("page_id").agg(F.min_by(F.struct("headers", "rows"), "at").alias("t"))
+    rows = first.select("page_id", F.col("t.headers").alias("headers"), F.explode("t.rows").alias("cells"))
+    cell = lambda *names: F.coalesce(*[F.get("cells", (F.array_position("headers", n) - 1).cast("int")) for n in names], F.lit(None).cast("string"))
+    return rows.select(
+        "page_id", F.lit("DIPUTADOS").alias("camara"), cell("expediente").alias("expediente"), cell("titulo", "asunto").alias("titulo"),
+        cell("fecha").alias("fecha"), cell("diputado", "legislador").alias("legislador"), cell("voto").alias("voto"),
+        cell("bloque").alias("bloque"), F.lit(DEPUTIES).alias("fuente"),
+    )
 
 
 def senate_votes(pages: DataFrame) -> DataFrame:
-    """Rows of the first table, by position."""
-    return _records(pages, SENATE_COLUMNS, _senate)
+    """Rows of the first table with three or more cells, by position."""
+    rows = _tables(pages).filter("at = 0").select("page_id", F.explode("rows").alias("cells")).filter(F.size("cells") >= 3)
+    places = {"fecha": 0, "expediente": 1, "titulo": 2, "resultado": 3}
+    return rows.select("page_id", F.lit("SENADORES").alias("camara"), *[F.get("cells", F.lit(i)).alias(c) for c, i in places.items()], F.lit(SENATE).alias("fuente"))
 
 
 def data_links(pages: DataFrame, base_url: str) -> DataFrame:
-    """Links to CSV and Excel files, made absolute; built-in functions only."""
-    visible = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
-    hrefs = F.regexp_extract_all(visible, F.lit(r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
+    """Links to CSV and Excel files, made absolute."""
+    hrefs = F.regexp_extract_all(_visible(), F.lit(r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
     href = F.regexp_replace("href", "&amp;", "&")
     return (
         pages.select("page_id", F.explode_outer(hrefs).alias("href"))
