@@ -82,12 +82,9 @@ def evaluate_patterns(
     spend = spend_by(df, ["organismo"], "proveedor")
     organisms = concentration_of(spend)
     if bids is not None:
-        counted = bids_per_tender(bids)
-        competition = tenders.select("licitacion_id", "organismo").join(counted, "licitacion_id").groupBy("organismo").agg(
-            F.avg("cantidad_ofertas").alias("_ofertas_promedio")
-        )
+        df = df.join(bids_per_tender(bids), "licitacion_id", "left")
+        competition = df.groupBy("organismo").agg(F.avg("cantidad_ofertas").alias("_ofertas_promedio"))
         organisms = organisms.join(competition, "organismo", "left")
-        df = df.join(counted, "licitacion_id", "left")
     df = df.join(spend.select(*pair, F.col("gasto").alias("_gasto"), F.col("veces").alias("_veces")), pair, "left")
     df = df.join(organisms.drop("n_proveedores", "proveedor_dominante", "cuota_dominante_pct", "alta_concentracion"),
                  "organismo", "left")

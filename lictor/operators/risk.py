@@ -105,13 +105,14 @@ KEY_FIELDS = ["presupuesto_oficial", "monto_adjudicado", "fecha_apertura", "fech
 
 def opacity(tenders: DataFrame, fields: list[str] = KEY_FIELDS) -> DataFrame:
     """Share of the key fields present as columns that a tender leaves empty; 100 when none is published at all."""
-    present = [c for c in fields if c in tenders.columns]
-    if present:
-        missing = sum((F.col(c).isNull().cast("int") for c in present), F.lit(0))
-        score = rounded(missing / len(present) * 100, 2)
-    else:
-        score = F.lit(100.0)
-    return tenders.select("licitacion_id", score.alias("opacidad_score"))
+    return tenders.select("licitacion_id", _opacity_of(tenders, fields).alias("opacidad_score"))
+
+
+def _opacity_of(df: DataFrame, fields: list[str] = KEY_FIELDS) -> Column:
+    present = [c for c in fields if c in df.columns]
+    if not present:
+        return F.lit(100.0)
+    return rounded(sum((F.col(c).isNull().cast("int") for c in present), F.lit(0)) / len(present) * 100, 2)
 
 
 def institutional_score(indicators: DataFrame, pais_iso3: str = "ARG") -> DataFrame:
@@ -163,8 +164,12 @@ def risk_index(
     patterns: DataFrame | None = None,
     anomalies: DataFrame | None = None,
     indicators: DataFrame | None = None,
+    pais_iso3: str = "ARG",
 ) -> DataFrame:
-    """The risk index of every tender from the results of the other operators; an absent table is an absent part."""
+    """The risk index of every tender from the results of the other operators; an absent table is an absent part.
+
+    The institutional part is that of the country `pais_iso3`.
+    """
     ids = ["licitacion_id", "organismo"] + (["proveedor"] if "proveedor" in tenders.columns else [])
     none = F.lit(None).cast("double")
     df = tenders.select(*ids, *[c for c in KEY_FIELDS if c in tenders.columns])
@@ -182,7 +187,7 @@ def risk_index(
     attach(concentration, "organismo", F.least(F.col("hhi") / 100, F.lit(100.0)), "concentracion_score")
     renamed = None if network is None else network.withColumnRenamed("entity", "proveedor")
     attach(renamed, "proveedor", F.col("network_score"), "network_score")
-    institutional = F.lit(50.0) if indicators is None else institutional_score(indicators).scalar()
+    institutional = F.lit(50.0) if indicators is None else institutional_score(indicators, pais_iso3).scalar()
     df = df.withColumn("institucional_score", institutional)
     parts = {
         "anomalias": F.col("anomaly_score"),
@@ -205,13 +210,6 @@ def risk_index(
     )
 
 
-def _opacity_of(df: DataFrame) -> Column:
-    present = [c for c in KEY_FIELDS if c in df.columns]
-    if not present:
-        return F.lit(100.0)
-    return rounded(sum((F.col(c).isNull().cast("int") for c in present), F.lit(0)) / len(present) * 100, 2)
-
-
 def by_company(risk: DataFrame) -> DataFrame:
     """Tenders and the highest risk index of each company."""
     return (

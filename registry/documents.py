@@ -228,11 +228,12 @@ def vote_columns(t: Tables) -> DataFrame:
 
 @query(with_tables("indicadores", """
   SELECT pais_iso3, CAST(anio AS INTEGER) AS anio, 'CPI' AS indicador, valor, 'TRANSPARENCY_INTERNATIONAL_CPI' AS fuente
-  FROM indicadores WHERE indicador = 'CPI' AND anio IN (1995, 1996, 1997)"""))
+  FROM indicadores WHERE indicador = 'CPI'"""))
 def cpi_unpivot(t: Tables) -> DataFrame:
     cpi = t.indicadores().filter("indicador = 'CPI'")
+    years = [r[0] for r in cpi.select("anio").distinct().orderBy("anio").collect()]
     wide = cpi.groupBy(F.col("pais_iso3").alias(" ISO3 ")).agg(
-        *[F.max(F.when(F.col("anio") == y, F.col("valor"))).alias(f"CPI score {y}") for y in (1995, 1996, 1997)]
+        *[F.max(F.when(F.col("anio") == y, F.col("valor"))).alias(f"CPI score {y}") for y in years]
     )
     return macro.unpivot_perception_index(wide)
 
@@ -291,10 +292,10 @@ def macro_lookup(t: Tables) -> DataFrame:
   SELECT pais_iso3, CAST(anio AS INTEGER) AS anio, indicador,
          CASE WHEN n.valor IS NOT NULL THEN n.valor ELSE v.valor END AS valor, coalesce(v.fuente, 'pipeline') AS fuente
   FROM (SELECT * FROM indicadores WHERE anio <= 1996) v FULL JOIN (SELECT pais_iso3, anio, indicador, valor + 1 AS valor FROM indicadores
-       WHERE anio >= 1996 AND indicador = 'CPI') n USING (pais_iso3, anio, indicador)"""))
+       WHERE anio >= 1996) n USING (pais_iso3, anio, indicador)"""))
 def macro_upsert(t: Tables) -> DataFrame:
     stored = t.indicadores().filter("anio <= 1996")
-    batch = t.indicadores().filter("anio >= 1996 AND indicador = 'CPI'").withColumn("valor", F.col("valor") + 1)
+    batch = t.indicadores().filter("anio >= 1996").withColumn("valor", F.col("valor") + 1)
     return sinks.merge_macro(stored, batch.withColumn("fuente", F.lit(None).cast("string")))
 
 

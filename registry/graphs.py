@@ -126,13 +126,13 @@ def entity_exact(t: Tables) -> DataFrame:
 
 @query(with_tables("entidades", """
   SELECT entidad_id, min(otro) AS grupo_real FROM (SELECT entidad_id, entidad_id AS otro FROM s UNION SELECT entidad_relacionada_id, entidad_relacionada_id FROM s
-    UNION SELECT n, l FROM z) GROUP BY 1""", c=KEYS, s=SAME + " AND metodo = 'domicilio'",
+    UNION SELECT n, l FROM z) GROUP BY 1""", c=KEYS, s=SAME,
     z="""WITH RECURSIVE r(n, l) AS (
            SELECT entidad_id, entidad_relacionada_id FROM s UNION SELECT entidad_relacionada_id, entidad_id FROM s
            UNION SELECT r.n, CASE WHEN e.entidad_id = r.l THEN e.entidad_relacionada_id ELSE e.entidad_id END
            FROM r JOIN s e ON e.entidad_id = r.l OR e.entidad_relacionada_id = r.l) SELECT * FROM r"""))
 def components(t: Tables) -> DataFrame:
-    return entities.group_entities(entities.entity_links(t.entidades().drop("representante_tecnico"), threshold=100))
+    return entities.group_entities(entities.entity_links(t.entidades(), threshold=100))
 
 
 def addresses(t: Tables) -> DataFrame:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lictor.operators import collusion, conduct, finance, judicial, patterns, risk
+from lictor.functions.numeric import rounded, scale_between, statistics
+from lictor.operators import collusion, conduct, finance, graph, judicial, patterns, risk
 from lictor.plans.report import Report
+from lictor.session import cut
 from registry.adapters import Tables, sql_round, with_tables
 from registry.base import as_text, query, round_columns
 
@@ -296,16 +298,17 @@ def rule_score(t: Tables) -> DataFrame:
 
 
 @query(with_tables("indicadores_riesgo", """
-  SELECT regla, peso_maximo, activaciones FROM (VALUES
+  SELECT regla, peso_maximo, coalesce(activaciones, 0)::BIGINT AS activaciones FROM (VALUES
     ('HHI_ELEVADO', 30.0::DOUBLE), ('ADENDAS_REPETIDAS', 25.0), ('COBRO_VELOZ_TGN', 20.0), ('ALTERNANCIA_SOSPECHOSA', 15.0),
     ('COMPLIANCE_DE_PAPEL', 10.0)) r(regla, peso_maximo)
-  JOIN (SELECT unnest(['HHI_ELEVADO', 'ADENDAS_REPETIDAS', 'COBRO_VELOZ_TGN', 'ALTERNANCIA_SOSPECHOSA', 'COMPLIANCE_DE_PAPEL']) AS regla,
+  LEFT JOIN (SELECT unnest(['HHI_ELEVADO', 'ADENDAS_REPETIDAS', 'COBRO_VELOZ_TGN', 'ALTERNANCIA_SOSPECHOSA', 'COMPLIANCE_DE_PAPEL']) AS regla,
                unnest([count(p1), count(p2), count(p3), count(p4), count(p5)]) AS activaciones FROM p) USING (regla)""", p=RULE_POINTS))
 def rule_catalogue(t: Tables) -> DataFrame:
     """The catalogue with the number of rows that activate each rule."""
     active = risk.audit_cards(t.indicadores_riesgo()).select(F.explode(F.map_keys("audit_card")).alias("regla"))
     counts = active.groupBy("regla").agg(F.count("*").alias("activaciones"))
-    return risk.rule_catalogue(t.spark).join(counts, "regla").select("regla", "peso_maximo", "activaciones")
+    every = risk.rule_catalogue(t.spark).join(counts, "regla", "left")
+    return every.select("regla", "peso_maximo", F.coalesce("activaciones", F.lit(0).cast("long")).alias("activaciones"))
 
 
 PATTERN_FLAGS = """
@@ -347,7 +350,10 @@ CODES = [f"REGLA-00{i}" for i in range(1, 9)]
 
 
 def _patterns(t: Tables) -> DataFrame:
-    return patterns.evaluate_patterns(t.stored("licitaciones"), t.stored("ofertas"), t.adendas(), t.entidades())
+    """Evaluated and written once per query, however often it is used."""
+    if "patrones" not in t.written:
+        t.written["patrones"] = cut(patterns.evaluate_patterns(t.stored("licitaciones"), t.stored("ofertas"), t.adendas(), t.entidades()))
+    return t.written["patrones"]
 
 
 @query(with_tables("licitaciones adendas entidades", f"SELECT *, {POINTS} AS score_patrones FROM f", **PARTS))
@@ -423,30 +429,47 @@ def institutional_unknown_country(t: Tables) -> DataFrame:
     return risk.institutional_score(t.indicadores(), "ZZZ")
 
 
-# Without the network part. The country of the risk index has no rows here, so its institutional part is 50.
+# All six parts. The network score is the scaled number of partners: the other measures have no affordable SQL. The
+# anomaly score is the distance of the amount from the mean, as the forest has none either.
+COUNTRY = "P07"
+DEGREES = """SELECT u, count(*) AS grado FROM (SELECT organismo AS u, proveedor AS v FROM licitaciones WHERE proveedor IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT proveedor, organismo FROM licitaciones WHERE proveedor IS NOT NULL GROUP BY ALL) GROUP BY 1"""
+NETWORK = f"""SELECT u AS proveedor, {R("CASE WHEN mayor > menor THEN (grado - menor) / (mayor - menor)::DOUBLE ELSE 0 END * 100", 2)} AS network_score
+  FROM grados, (SELECT min(grado) AS menor, max(grado) AS mayor FROM grados)"""
 INDEX = f"""
-  SELECT licitacion_id, organismo, proveedor, anomaly_score, opacidad_score, concentracion_score, score_patrones, 50.0::DOUBLE AS institucional_score,
-         {R('''greatest(0, least(100, (0.2 * anomaly_score + 0.15 * opacidad_score + 0.15 * score_patrones + 0.1 * 50 + 0.2 * coalesce(concentracion_score, 0))
-            / (CASE WHEN concentracion_score IS NULL THEN 0.6 ELSE 0.8 END)::DOUBLE))''', 2)} AS ircs
+  SELECT licitacion_id, organismo, proveedor, anomaly_score, opacidad_score, concentracion_score, network_score, score_patrones, institucional_score,
+         {R("""greatest(0, least(100, (0.2::DOUBLE * anomaly_score + coalesce(0.2::DOUBLE * concentracion_score, 0) + coalesce(0.2::DOUBLE * network_score, 0)
+            + 0.15::DOUBLE * score_patrones + 0.15::DOUBLE * opacidad_score + 0.1::DOUBLE * institucional_score)
+            / (0.6::DOUBLE + CASE WHEN concentracion_score IS NULL THEN 0 ELSE 0.2 END + CASE WHEN network_score IS NULL THEN 0 ELSE 0.2 END)::DOUBLE))""", 2)} AS ircs
   FROM (SELECT licitacion_id, organismo, proveedor, least(hhi / 100, 100) AS concentracion_score FROM licitaciones LEFT JOIN h USING (organismo))
+  LEFT JOIN redes USING (proveedor) CROSS JOIN inst
   JOIN z USING (licitacion_id) JOIN o USING (licitacion_id) JOIN (SELECT licitacion_id, {POINTS} AS score_patrones FROM f) USING (licitacion_id)"""
 LEVEL = "CASE WHEN ircs >= 75 THEN 'ALTO' WHEN ircs >= 50 THEN 'MEDIO' ELSE 'BAJO' END"
-RISK_PARTS = dict(PARTS, z=ZSCORE, o=OPACITY, i=INDEX)
+RISK_PARTS = dict(PARTS, z=ZSCORE, o=OPACITY, grados=DEGREES, redes=NETWORK, inst=_institutional_sql(COUNTRY), i=INDEX)
+RISK_TABLES = "licitaciones adendas entidades indicadores"
+
+
+def partners(tenders: DataFrame) -> DataFrame:
+    """entity, network_score: the number of partners, scaled over the graph."""
+    degrees = graph.degree(graph.award_edges(tenders))
+    span = statistics(degrees, low=F.min("degree").cast("double"), high=F.max("degree").cast("double"))
+    score = rounded(scale_between(F.col("degree").cast("double"), F.col("_s.low"), F.col("_s.high")) * 100, 2)
+    return degrees.withColumn("_s", span).select(F.col("nodo_id").alias("entity"), score.alias("network_score"))
 
 
 def _risk(t: Tables) -> DataFrame:
     tenders = t.stored("licitaciones")
     return risk.risk_index(
-        tenders, finance.hhi(tenders), None, _patterns(t), risk.zscore_anomalies(tenders), t.indicadores()
+        tenders, finance.hhi(tenders), partners(tenders), _patterns(t), risk.zscore_anomalies(tenders), t.indicadores(), COUNTRY
     )
 
 
-@query(with_tables("licitaciones adendas entidades", f"SELECT *, {LEVEL} AS nivel_ircs FROM i", **RISK_PARTS))
+@query(with_tables(RISK_TABLES, f"SELECT *, {LEVEL} AS nivel_ircs FROM i", **RISK_PARTS))
 def risk_index(t: Tables) -> DataFrame:
-    return _risk(t).drop("network_score", "ircs_componentes")
+    return _risk(t).drop("ircs_componentes")
 
 
-@query(with_tables("licitaciones adendas entidades", f"""
+@query(with_tables(RISK_TABLES, f"""
   SELECT *, {LEVEL.replace('ircs', 'ircs_maximo')} AS nivel_ircs FROM
     (SELECT proveedor, count(*) AS n_licitaciones, max(ircs) AS ircs_maximo, {R("avg(ircs)", 6)} AS ircs_promedio
      FROM i WHERE proveedor IS NOT NULL GROUP BY 1)""", **RISK_PARTS))
@@ -454,7 +477,7 @@ def risk_by_company(t: Tables) -> DataFrame:
     return round_columns(risk.by_company(_risk(t)), 6, "ircs_promedio")
 
 
-@query(with_tables("licitaciones adendas entidades", "\nUNION ALL ".join(
+@query(with_tables(RISK_TABLES, "\nUNION ALL ".join(
     f"""SELECT licitacion_id, '{c}' AS codigo, '{text}' AS descripcion, '{'ALTA' if w >= 20 else 'MEDIA' if w >= 15 else 'BAJA'}' AS severidad
         FROM f WHERE {c.lower().replace('-', '_')}""" for c, _, text, w in patterns.CATALOGUE) + f"""
   UNION ALL SELECT licitacion_id, 'IRCS', 'Índice de riesgo ' || {LEVEL}, CASE WHEN ircs >= 75 THEN 'ALTA' ELSE 'MEDIA' END
