@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,14 @@ from lictor.schemas import FILES
 
 
 def read_file(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """A CSV file or folder with a header, or Parquet; known columns get their types, an unreadable value becomes null."""
+    """A CSV file or folder with a header, or Parquet; known columns get their types, an unreadable value becomes null.
+
+    Quoted values may hold line breaks, so a CSV file is read by one task: land large tables as several files or Parquet.
+    """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     # Read as text by header name: a declared schema would be applied by position.
-    df = spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=False, escape='"')
+    df = spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=True, escape='"')
     types = {c: t for c, t in FILES.get(kind or "", {}).items() if c in df.columns}
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()}) if types else df
 
@@ -108,18 +112,35 @@ def harmonise_votes(df: DataFrame) -> DataFrame:
     )
 
 
-def read_votes(spark: SparkSession, paths: list[str]) -> DataFrame | None:
-    """Vote files with differing headers, harmonised one by one and united; a file that cannot be opened is skipped."""
-    found = None
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Path -> its first line, of the files that exist and are not empty; one scan for all files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    there = {}
     for path in paths:
-        try:
-            votes = harmonise_votes(
-                spark.read.option("ignoreCorruptFiles", "true").csv(path, header=True, mode="PERMISSIVE", escape='"')
-            )
-        except Exception:  # noqa: BLE001 - a missing or empty file is skipped
-            continue
-        found = votes if found is None else found.unionByName(votes)
-    return found
+        place = folder(path)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(place):
+            there[system.makeQualified(place).toUri().getPath()] = path
+    if not there:
+        return {}
+    lines = spark.read.text(list(there.values())).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("header")).collect()
+    decoded = {spark._jvm.java.net.URI(r.file_path).getPath(): r.header for r in first}
+    return {there[p]: header for p, header in decoded.items() if p in there}
+
+
+def read_votes(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """Vote files with differing headers, harmonised, and the paths that were skipped as missing or empty.
+
+    Files with the same header are one scan. Any other problem with a file is raised, not hidden.
+    """
+    headers = _headers(spark, paths)
+    layouts: dict[str, list[str]] = {}
+    for path, header in headers.items():
+        layouts.setdefault(header, []).append(path)
+    found = [harmonise_votes(spark.read.csv(files, header=True, mode="PERMISSIVE", multiLine=True, escape='"')) for files in layouts.values()]
+    votes = reduce(DataFrame.unionByName, found) if found else None
+    return votes, [p for p in paths if p not in headers]
 
 
 def digits_in(header: str) -> str:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lictor.functions import text
 from lictor.operators import finance, graph, risk
-from lictor.session import cut
+from lictor.session import cut, shared_folder
 from lictor.sinks import tables as sinks
 from lictor.sources import macro, pages
 from lictor.sources import tables as sources
@@ -200,6 +202,25 @@ def tender_columns(t: Tables) -> DataFrame:
     })
 
 
+@query(with_tables("licitaciones", """
+  SELECT CAST(licitacion_id AS VARCHAR) AS licitacion_id, organismo, proveedor, CAST(monto_adjudicado AS DOUBLE) AS monto_adjudicado,
+         CAST(fecha_apertura AS VARCHAR) AS fecha_apertura, modalidad || chr(10) || '"' || rubro || '", x' AS rubro
+  FROM licitaciones"""))
+def csv_round_trip(t: Tables) -> DataFrame:
+    """Tenders written as CSV files and read back, with quotes and line breaks inside a value."""
+    folder = f"{shared_folder(t.spark).rstrip('/')}/lictor/csv-{uuid.uuid4().hex}"
+    rows = t.licitaciones().select(
+        "licitacion_id", "organismo", "proveedor", "monto_adjudicado", "fecha_apertura",
+        F.concat("modalidad", F.lit('\n"'), "rubro", F.lit('", x')).alias("rubro"),
+    )
+    rows.write.csv(folder, header=True, escape='"', quoteAll=True)
+    found = sources.read_file(t.spark, folder, "licitaciones")
+    return found.withColumns({
+        "licitacion_id": F.col("licitacion_id").cast("string"), "monto_adjudicado": F.col("monto_adjudicado").cast("double"),
+        "fecha_apertura": F.col("fecha_apertura").cast("string"),
+    })
+
+
 @query(with_tables("auditorias", """
   SELECT CAST(empresa_id AS VARCHAR) AS empresa, strftime(fecha, '%Y-%m-%d') AS fecha, tiene_programa_integridad, score_efectividad,
          CAST(NULL AS VARCHAR) AS hallazgos, 'MEACI' AS fuente

@@ -81,8 +81,34 @@ def test_csv_by_header_name(spark, tmp_path, rows):
     assert sources.read_tenders(spark, str(tmp_path / "l.csv")).first()["url_origen"].endswith("l.csv")
     votes = tmp_path / "v.csv"
     votes.write_text("Diputado,Voto,Id Votacion,Expediente\nAna,SI,7,\n")
-    read = rows(sources.read_votes(spark, [str(votes), str(tmp_path / "missing.csv")]), "legislador")
-    assert [(r["legislador"], r["expediente"]) for r in read] == [("Ana", "7")]
+    (tmp_path / "w x.csv").write_text('Legislador,Voto,Expediente\n"Luis\nPaz",NO,8-D\n')
+    (tmp_path / "y.csv").write_text("Diputado,Voto,Id Votacion,Expediente\nEva,SI,9,\n")
+    (tmp_path / "empty.csv").write_text("")
+    names = [str(tmp_path / n) for n in ("v.csv", "missing.csv", "w x.csv", "empty.csv", "y.csv")]
+    found, skipped = sources.read_votes(spark, names)
+    assert [(r["legislador"], r["expediente"]) for r in rows(found, "expediente")] == [("Ana", "7"), ("Luis\nPaz", "8-D"), ("Eva", "9")]
+    assert skipped == [str(tmp_path / "missing.csv"), str(tmp_path / "empty.csv")]
+    assert sources.read_votes(spark, [str(tmp_path / "missing.csv")]) == (None, [str(tmp_path / "missing.csv")])
+    (tmp_path / "m.csv").write_text('licitacion_id,organismo\n1,"Obra\nnueva"\n')
+    assert [r["organismo"] for r in rows(sources.read_file(spark, str(tmp_path / "m.csv"), "licitaciones"), "licitacion_id")] == ["Obra\nnueva"]
+
+
+def test_report_with_tenders_of_every_kind(spark, table, rows, tmp_path):
+    tenders = table(
+        "licitacion_id string, organismo string, proveedor string, monto_adjudicado double, fecha_apertura string, fecha_adjudicacion string",
+        *[(f"L{i}", "AB"[i % 2], "XYZ"[i % 3], [100.0, 0.0, 250.0, 90.0][i % 4] * (i != 5), "2024-01-01", "2024-02-01") for i in range(8)],
+        ("L8", "C", "W", 0.0, "2024-01-01", None))
+    bids = table("licitacion_id string, empresa_id string, monto_ofertado double, resultado string",
+                 *[(f"L{i}", e, 100.0 + i, "GANADORA" if e == "XYZ"[i % 3] else "PERDEDORA") for i in range(8) for e in "XY"])
+    addenda = table("licitacion_id string, monto_original double, monto_nuevo double", ("L0", 100.0, 150.0))
+    entities = table("entidad_id string, domicilio string", ("X", "calle 1"), ("Y", "calle 1"))
+    report = Report(spark, {"licitaciones": tenders, "ofertas": bids, "adendas": addenda, "entidades": entities})
+    summary = write_report(report, str(tmp_path / "out"))
+    assert {r["bloque"] for r in summary.collect() if r["disponible"]} == set(Report.BLOCKS)
+    risk = rows(spark.read.json(f"{tmp_path}/out/riesgo_ircs"), "licitacion_id")
+    assert len(risk) == 9 and all(0 <= r["ircs"] <= 100 and r["network_score"] is not None and r["anomaly_score"] is not None for r in risk)
+    assert {r["entity"] for r in rows(spark.read.json(f"{tmp_path}/out/redes"), "entity")} == set("ABCXYZW")
+    assert spark.read.json(f"{tmp_path}/out/anomalias").count() == 9
 
 
 def test_first_alias_present_wins_even_if_null(table, rows):
