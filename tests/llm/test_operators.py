@@ -406,6 +406,20 @@ def test_odd_sketches_estimate_high_similarities():
         assert abs(np.mean(got) - similarity) < 0.03 and min(got) > similarity - near_dedup.SLACK
 
 
+def test_fine_sketches_keep_similar_pairs_and_drop_others():
+    draw = np.random.default_rng(2)
+    for n in (5, 150, 1000, 1100, 2100, 20_000):
+        kept = {0.8: 0, 0.6: 0}
+        for similarity in kept:
+            for _ in range(30):
+                m = max(4, round(n * 0.9)) if n > 5 else n
+                both = round((n + m) * similarity / (1 + similarity)) if n > 5 else n
+                pool = draw.integers(0, 2**63, n + m - both, np.uint64)
+                x, y = pool[:n], pool[n - both:]
+                kept[similarity] += bool(near_dedup.fine_fits(n, near_dedup.fine_sketches(x), np.array([m]), near_dedup.fine_sketches(y)[None], 0.8)[0])
+        assert kept[0.8] == 30 and (n == 5 or kept[0.6] == 0)
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 TALK = "conv_id long, turn long, role string, text string, nth int"
