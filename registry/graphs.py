@@ -64,12 +64,27 @@ def pagerank(t: Tables) -> DataFrame:
 
 @query()
 def betweenness(t: Tables) -> DataFrame:
-    return graph.betweenness(awards(t), top_n=None)
+    return round_columns(graph.betweenness(awards(t), top_n=None), 9, "betweenness")
 
 
-@query()
+# Amounts are whole cents, so lengths add up exactly. Only what got shorter is carried on.
+REACH = dict(
+    lengths="SELECT u, v, CAST(round(w * 100) AS BIGINT) AS w FROM k",
+    reach="""WITH RECURSIVE r(s, v, d) USING KEY (s, v) AS (
+        SELECT DISTINCT u, u, 0::BIGINT FROM lengths UNION
+        SELECT c.s, c.v, c.d FROM (SELECT r.s, l.v, min(r.d + l.w) AS d FROM r JOIN lengths l ON l.u = r.v GROUP BY ALL) c
+        LEFT JOIN recurring.r o ON o.s = c.s AND o.v = c.v WHERE o.d IS NULL OR c.d < o.d)
+      SELECT * FROM r""",
+)
+
+
+@query(with_tables("licitaciones", f"""
+  SELECT s AS nodo_id, {R("(count(*) - 1) * 1e6 / (sum(d) / 100::DOUBLE) * (count(*) - 1) / (any_value(n) - 1)", 6)} AS closeness_ppm
+  FROM reach, (SELECT count(DISTINCT u) AS n FROM lengths) GROUP BY s""", g=EDGES, k=ARCS, **REACH))
 def closeness(t: Tables) -> DataFrame:
-    return graph.path_measures(awards(t)).select("nodo_id", "closeness")
+    """Closeness in millionths, as paths are as long as their awards."""
+    found = graph.path_measures(awards(t)).select("nodo_id", (F.col("closeness") * 1e6).alias("closeness_ppm"))
+    return round_columns(found, 6, "closeness_ppm")
 
 
 @query()
@@ -135,20 +150,41 @@ def components(t: Tables) -> DataFrame:
     return entities.group_entities(entities.entity_links(t.entidades(), threshold=100))
 
 
-def addresses(t: Tables) -> DataFrame:
-    """Three neighbouring customers share an address up to its last character."""
-    street = F.substring(F.md5((F.floor(F.col("c_custkey") / 3)).cast("string")), 1, 24)
-    return t.raw("customer").select(
-        F.concat(F.lit("ORG-"), "c_custkey").alias("entidad_id"),
-        F.concat(F.lit("x"), street, F.lit(" "), F.pmod("c_custkey", F.lit(3))).alias("domicilio"),
-    )
+def parts(t: Tables) -> DataFrame:
+    """Parts as entities; name, brand, type and size make a text that many share but for a few letters."""
+    text = F.concat_ws(" ", "p_name", "p_brand", "p_type", "p_size")
+    return t.raw("part").select(F.concat(F.lit("PART-"), "p_partkey").alias("entidad_id"), text.alias("domicilio"))
+
+
+# Candidates by edit distance, then the longest common subsequence, one letter of the second text per round.
+ALIKE = dict(
+    c="""SELECT 'PART-' || p_partkey AS entidad_id,
+           array_to_string(list_sort(string_split_regex(lower(concat_ws(' ', p_name, p_brand, p_type, p_size)), '\\s+')), ' ') AS clave FROM part""",
+    near="""SELECT x.clave AS a, y.clave AS b FROM (SELECT DISTINCT clave FROM c) x JOIN (SELECT DISTINCT clave FROM c) y ON x.clave < y.clave
+      WHERE levenshtein(x.clave, y.clave) <= floor((length(x.clave) + length(y.clave)) / 10)""",
+    lcs="""WITH RECURSIVE r(a, b, i, best) AS (
+        SELECT a, b, 0, list_transform(range(0, length(a) + 1), lambda j: 0) FROM near UNION ALL
+        SELECT a, b, i + 1, list_concat([0], list_transform(range(1, len(best)), lambda j: list_max(best[1:j]))) FROM (
+          SELECT a, b, i, list_concat(list_transform(range(1, length(a) + 1), lambda j: greatest(best[j + 1], best[j] + (a[j] = b[i + 1])::INT)), [0]) AS best
+          FROM r WHERE i < length(b)))
+      SELECT a, b, best[length(a) + 1] AS n, length(a) + length(b) AS total FROM r WHERE i = length(b)""",
+    alike="SELECT a, b, round(2 * n / total::DOUBLE, 4) AS score FROM lcs WHERE (total - 2 * n) * 100 <= 10 * total",
+    pairs="""SELECT x.entidad_id AS p, y.entidad_id AS q, 1.0::DOUBLE AS score FROM c x JOIN c y USING (clave) WHERE x.entidad_id < y.entidad_id
+      UNION ALL SELECT least(x.entidad_id, y.entidad_id), greatest(x.entidad_id, y.entidad_id), score
+      FROM alike JOIN c x ON x.clave = a JOIN c y ON y.clave = b""",
+)
 
 
-@query()
+@query(with_tables("", "SELECT p AS entidad_id, q AS entidad_relacionada_id, 'domicilio' AS metodo, score AS score_similitud FROM pairs", **ALIKE))
 def entity_fuzzy(t: Tables) -> DataFrame:
-    return entities.similar_entities(addresses(t))
+    return entities.similar_entities(parts(t))
 
 
-@query()
+@query(with_tables("", "SELECT n AS entidad_id, l AS grupo_real FROM least_of", **ALIKE,
+    ends="SELECT p AS n, q AS m FROM pairs UNION SELECT q, p FROM pairs",
+    least_of="""WITH RECURSIVE r(n, l) USING KEY (n) AS (
+        SELECT DISTINCT n, n FROM ends UNION
+        SELECT e.m, min(r.l) FROM r JOIN ends e ON e.n = r.n JOIN recurring.r o ON o.n = e.m WHERE r.l < o.l GROUP BY e.m)
+      SELECT * FROM r"""))
 def entity_groups(t: Tables) -> DataFrame:
-    return entities.group_entities(entities.entity_links(addresses(t)))
+    return entities.group_entities(entities.entity_links(parts(t)))
