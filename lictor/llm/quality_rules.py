@@ -3,7 +3,7 @@
 Every document gets a vector of transformed statistics (`FEATURES`). Per language and source the centre and covariance
 are estimated by the minimum covariance determinant: of all subsets with `SHARE` of the documents the one with the
 smallest determinant, approached by concentration steps (estimate, keep the closest share, estimate again) from several
-starts at once, until no determinant falls by a thousandth. A document whose squared Mahalanobis distance exceeds the
+starts at once, until their determinants fall by less than a thousandth on average. A document whose squared Mahalanobis distance exceeds the
 chi-square quantile `CUT` is rejected. `FLOORS` are added to the standard deviations, so that a statistic that is the
 same for most documents (no symbols at all) does not turn every small deviation into an outlier.
 
@@ -195,14 +195,13 @@ def estimates(rows: DataFrame, share: float = SHARE, starts: int = STARTS, seed:
         cut = stored(_nearest(near, keys, share, _FIRST).coalesce(1))
         return stored(_estimate(near.join(small_side(cut), keys).where("step <= cut"), keys).coalesce(1))
 
-    best = now = concentrated(stored(_estimate(_starts(rows, starts, seed), keys).coalesce(1)))
+    now, last = concentrated(stored(_estimate(_starts(rows, starts, seed), keys).coalesce(1))), math.inf
     while True:
-        now = concentrated(now)
-        better = now.join(best.select(*keys, F.col("log_det").alias("old")), keys).where("log_det < old - 1e-3").drop("old")
-        better = stored(better.coalesce(1))
-        if better.isEmpty():
+        count, total = now.agg(F.count("*"), F.sum("log_det")).first()
+        if not count or total > last - 1e-3 * count:
             break
-        best = stored(best.join(better.select(*keys), keys, "left_anti").unionByName(better).coalesce(1))
+        best, last, now = now, total, concentrated(now)
+    best = now if not count else best
     smallest = best.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("pick")).select("grp", "pick.start")
     consistent = share / chi_square(chi_square_quantile(share, _P), _P + 2)
     chosen = best.join(smallest, keys)
