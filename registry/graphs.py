@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lictor.operators import entities, graph
+from lictor.session import cut
 from registry.adapters import Tables, sql_round, with_tables
 from registry.base import query, round_columns
 
@@ -99,6 +100,20 @@ def communities(t: Tables) -> DataFrame:
     return graph.communities(awards(t))
 
 
+@query(with_tables("licitaciones", "SELECT count(DISTINCT u) AS nodos, count(DISTINCT u) AS filas, true AS nombrada_por_un_nodo, true AS mejor_que_sola FROM k", g=EDGES, k=ARCS))
+def communities_properties(t: Tables) -> DataFrame:
+    """Every node in one community, named by its smallest member; modularity above that of single nodes."""
+    edges = cut(awards(t))
+    found = cut(graph.communities(edges))
+    alone = graph.modularity(edges, found.withColumn("comunidad", F.col("nodo_id"))).first()[0]
+    named = found.groupBy("comunidad").agg((F.min("nodo_id") == F.col("comunidad")).alias("propia"))
+    return found.agg(
+        F.countDistinct("nodo_id").alias("nodos"), F.count("*").alias("filas"),
+        F.lit(named.filter("NOT propia").isEmpty()).alias("nombrada_por_un_nodo"),
+        F.lit(graph.modularity(edges, found).first()[0] > alone).alias("mejor_que_sola"),
+    )
+
+
 @query()
 def network_metrics(t: Tables) -> DataFrame:
     return graph.entity_metrics(awards(t))
