@@ -147,7 +147,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U).view(np.int64)
 
 
-def small(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` text bytes, so that memory does not depend on the length of texts."""
     for batch in batches:
         texts = batch.column(column)

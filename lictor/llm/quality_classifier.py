@@ -63,7 +63,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.zeros(WORDS * WORDS, np.int32)
-        for batch in H.small(batches, "text", 1 << 20):
+        for batch in H.small(batches, "text", 1 << 18):
             found = H.words(batch.column("text"), H.TOKENS, lower=False)
             row, text = _rows(found), _text_of(found)
             for gap in range(1, REACH + 1):
@@ -75,9 +75,11 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
         if len(used):
             index = index_vectors().astype(np.float64)
-            sums = np.rint(near[used].astype(np.float64) @ index + near[:, used].T.astype(np.float64) @ index).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(used, pa.int32()), H.lists(sums.reshape(-1), [SIZE] * len(used), pa.int64())], names=["row", "vector"])
+            for begin in range(0, len(used), 256):  # in parts, as the counts alone take WORDS * WORDS * 4 bytes
+                rows = used[begin:begin + 256]
+                sums = np.rint(near[rows].astype(np.float64) @ index + near[:, rows].T.astype(np.float64) @ index).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(rows, pa.int32()), H.lists(sums.reshape(-1), [SIZE] * len(rows), pa.int64())], names=["row", "vector"])
 
     parts = map_arrow(docs.select("text"), work, "row int, vector array<long>")
     summed = parts.groupBy("row").agg(*[F.sum(F.col("vector")[i]).alias(f"v{i}") for i in range(SIZE)])
@@ -123,7 +125,7 @@ def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in H.small(batches, "text", 1 << 20):
+        for batch in H.small(batches, "text", 1 << 18):
             vector = pooled(batch.column("text"), table.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), H.lists(vector.reshape(-1), [INPUTS] * batch.num_rows, pa.float32())], names=["doc_id", "vector"])
 
@@ -207,7 +209,7 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int
     def score(texts: pd.Series) -> pd.Series:
         out = np.full(len(texts), 0.5)
         begin = 0
-        for batch in H.small(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text", 1 << 20):
+        for batch in H.small(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text", 1 << 18):
             if network is not None:
                 out[begin:begin + batch.num_rows] = network(pooled(batch.column("text"), table.value).astype(np.float64))
             begin += batch.num_rows
