@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lictor.llm import hashing as H
-from lictor.llm.tables import groups, map_arrow, stored
+from lictor.llm.tables import groups, map_arrow, small_side, stored
 
 ROWS, BANDS, BITS, BLOCK = 5, 30, 512, 512
 #: How far below the threshold an estimate may lie before the pair is dropped; the estimate's deviation is about 0.035.
@@ -37,6 +37,8 @@ SLACK = 0.17
 #: Finer sketches take all shingles of a small set, of a larger one those in a hash sample that keeps it below FINE_BITS.
 #: Their deviation is about 0.009 without sampling, 0.02 with it.
 FINE_BITS, FINE_SLACK, SAMPLED_SLACK = 1024, 0.05, 0.1
+#: Buckets of more than LARGE classes go through so many rounds of nearest pairs first.
+LARGE, NEAREST_ROUNDS = 64, 2
 _SAMPLES = ROWS * BANDS
 _A = (H.multipliers(_SAMPLES, 21) >> H.U(32)).astype(np.uint32) | np.uint32(1)
 _B = (H.multipliers(_SAMPLES, 22) >> H.U(32)).astype(np.uint32)
@@ -179,10 +181,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.select("a", "b").join(left, "a").join(right, "b"), work, "a binary, b binary")
 
 
-def _compare_blocks(threshold: float) -> Callable:
+def _compare_blocks(threshold: float, nearest: bool = False) -> Callable:
     """Sorted rows (key, low, high, side, cls, comp, n, sketch, fine) -> pairs of different groups that may be similar.
 
-    Rows of one (key, low, high) are one comparison: side 0 against side 1, or side 0 against itself if low = high.
+    Rows of one (key, low, high) are one comparison: side 0 against side 1, or side 0 against itself if low = high. With
+    `nearest` only the pair of each class with the fewest differing bits is returned.
     """
     most = _most_different(threshold)
 
@@ -196,11 +199,18 @@ def _compare_blocks(threshold: float) -> Callable:
         fine, sizes = np.stack([r[8] for r in right]), np.array([r[6] for r in right])
         found = []
         for i, p in enumerate(left):
-            hits = np.flatnonzero(np.bitwise_count(x[i] ^ y).sum(axis=1) <= most)
+            different = np.bitwise_count(x[i] ^ y).sum(axis=1)
+            hits = np.flatnonzero(different <= most)
             hits = np.array([j for j in hits if p[5] != right[j][5] and (not alone or p[4] < right[j][4])], np.int64)
             if len(hits):
                 hits = hits[fine_fits(p[6], p[8], sizes[hits], fine[hits], threshold)]
-            found += [(min(p[4], right[j][4]), max(p[4], right[j][4])) for j in hits]
+            found += [(min(p[4], right[j][4]), max(p[4], right[j][4]), int(different[j])) for j in hits]
+        if nearest:
+            best: dict[bytes, tuple] = {}
+            for pair in sorted(found, key=lambda pair: (pair[2], pair)):
+                best.setdefault(pair[0], pair)
+                best.setdefault(pair[1], pair)
+            found = list(best.values())
         return found
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +231,23 @@ def _compare_blocks(threshold: float) -> Callable:
 
 def _pairs(found: list[tuple]) -> pa.RecordBatch:
     found = sorted(set(found))
-    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+    kinds = (pa.binary(), pa.binary(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=["a", "b", "d"])
+
+
+def _ordered_blocks(members: DataFrame, known: DataFrame, finer: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets of more than `least` classes that still hold several groups, dealt into block pairs; and their sizes."""
+    placed = members.select("bucket", "cls").join(known.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    placed = stored(placed.select("bucket", "cls", F.coalesce("root", "cls").alias("comp")))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    mixed = stored(mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") > least)).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    open_rows = placed.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    open_rows = open_rows.select("bucket", "cls", "comp", "own", other.alias("other")).select(
+        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "comp")
+    open_rows = open_rows.join(finer, "cls").select("bucket", "low", "high", "side", "cls", "comp", "n", "sketch", "fine")
+    return open_rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "cls"), mixed
 
 
 def _differing(x: str, y: str):
@@ -260,19 +286,27 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = stored(_confirmed(stars, _wanted_sets(docs, classes, stars, size), percent))
     known = groups(links)
 
+    # Large buckets: in each round every class is compared with its nearest class of another group, so that a large group
+    # of near copies closes before its pairs are looked at. This only orders the work; the last step is complete.
+    tested, threshold, schema = stars, percent / 100, "a binary, b binary, d int"
+    for _ in range(NEAREST_ROUNDS):
+        blocks, large = _ordered_blocks(members, known, finer, LARGE)
+        if large.isEmpty():
+            break
+        pairs = stored(map_arrow(blocks, _compare_blocks(threshold, nearest=True), schema))
+        ends = pairs.select(F.col("a").alias("end"), "d", "a", "b").union(pairs.select("b", "d", "a", "b"))
+        pairs = ends.groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
+        found = stored(_confirmed(pairs, _wanted_sets(docs, classes, pairs, size), percent))
+        tested, links = tested.union(pairs), links.union(found)
+        if found.isEmpty():
+            break
+        known = groups(links)
+
     # Then everything that shares a bucket across the groups found so far.
-    placed = members.select("bucket", "cls").join(known.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    placed = stored(placed.select("bucket", "cls", F.coalesce("root", "cls").alias("comp")))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    mixed = stored(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    open_rows = placed.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    open_rows = open_rows.select("bucket", "cls", "comp", "own", other.alias("other")).select(
-        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "comp")
-    open_rows = open_rows.join(finer, "cls").select("bucket", "low", "high", "side", "cls", "comp", "n", "sketch", "fine")
-    ordered = open_rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "cls")
-    more = stored(map_arrow(ordered, _compare_blocks(percent / 100), "a binary, b binary").distinct().join(stars, ["a", "b"], "left_anti"))
+    blocks, _ = _ordered_blocks(members, known, finer, 1)
+    more = map_arrow(blocks, _compare_blocks(threshold), schema).select("a", "b").distinct()
+    more = stored(more.join(tested, ["a", "b"], "left_anti"))
     more_links = _confirmed(more, _wanted_sets(docs, classes, more, size), percent)
     known = groups(links.union(more_links))
 
@@ -289,7 +323,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _wanted_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = _sets(docs, wanted.join(classes.select("cls", "row_key"), "cls"), size)
+    # Few wanted sets are sent to the texts, many meet them in a shuffle.
+    sets = _sets(docs, small_side(stored(wanted.join(classes.select("cls", "row_key"), "cls"))), size)
     return stored(sets.dropDuplicates(["cls"]))
 
 

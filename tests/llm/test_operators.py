@@ -360,6 +360,7 @@ def linked(texts, ids, size, percent):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_duplicates_equal_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)  # several blocks per bucket
+    monkeypatch.setattr(near_dedup, "LARGE", 3)
     draw = random.Random(seed)
     texts = []
     for _ in range(6):
