@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lictor.llm import hashing as H
-from lictor.llm.tables import groups, map_arrow, small_side, stored
+from lictor.llm.tables import Scratch, groups, map_arrow, small_side, stored
 
 ROWS, BANDS, BITS, BLOCK = 5, 30, 512, 512
 #: How far below the threshold an estimate may lie before the pair is dropped; the estimate's deviation is about 0.035.
@@ -235,12 +235,12 @@ def _pairs(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=["a", "b", "d"])
 
 
-def _ordered_blocks(members: DataFrame, known: DataFrame, finer: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def _ordered_blocks(scratch: Scratch, members: DataFrame, known: DataFrame, finer: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Buckets of more than `least` classes that still hold several groups, dealt into block pairs; and their sizes."""
     placed = members.select("bucket", "cls").join(known.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    placed = stored(placed.select("bucket", "cls", F.coalesce("root", "cls").alias("comp")))
+    placed = scratch.stored(placed.select("bucket", "cls", F.coalesce("root", "cls").alias("comp")))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    mixed = stored(mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") > least)).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    mixed = scratch.stored(mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") > least)).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     open_rows = placed.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     open_rows = open_rows.select("bucket", "cls", "comp", "own", other.alias("other")).select(
@@ -263,11 +263,12 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     root tells groups apart whose rows all lack a doc_id; it is null for empty sets.
     """
-    most = _most_different(percent / 100)
-    rows = stored(signatures(docs, size))
-    classes = stored(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key")))
-    nodes = rows.select("cls", "row_key", "n_shingles", "bands", "sketch", "fine").join(classes.select("cls", "row_key"), ["cls", "row_key"]).dropDuplicates(["cls"])
-    nodes = stored(nodes)
+    most, scratch = _most_different(percent / 100), Scratch()
+    full = scratch.stored(signatures(docs, size))
+    rows = stored(full.select("doc_id", "row_key", "n_shingles", "cls"))
+    classes = scratch.stored(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key")))
+    nodes = full.select("cls", "row_key", "n_shingles", "bands", "sketch", "fine").join(classes.select("cls", "row_key"), ["cls", "row_key"]).dropDuplicates(["cls"])
+    nodes = scratch.stored(nodes)
     sketches = nodes.select("cls", "sketch")
     finer = nodes.select("cls", F.col("n_shingles").alias("n"), "sketch", "fine")
 
@@ -275,39 +276,39 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     band = nodes.select("cls", F.explode("bands").alias("bucket"))
     crowded = band.groupBy("bucket").agg(F.min("cls").alias("centre"), F.max("cls").alias("other")).where("centre < other")
     # Minima are stored before they are joined back: only a join of two plain shuffles is split at a hot key.
-    members = stored(band.join(stored(crowded.select("bucket", "centre")), "bucket"))
+    members = scratch.stored(band.join(scratch.stored(crowded.select("bucket", "centre")), "bucket"))
 
     # One comparison per class first: with the bucket centre that it meets most often.
     meets = members.where("cls <> centre").groupBy("cls", "centre").agg(F.count("*").alias("n"))
     stars = meets.groupBy("cls").agg(F.max(F.struct("n", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("cls").alias("b"))
     stars = stars.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a")
     stars = stars.join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
-    stars = stored(stars.where(_differing("x", "y") <= most).select("a", "b"))
-    links = stored(_confirmed(stars, _wanted_sets(docs, classes, stars, size), percent))
+    stars = scratch.stored(stars.where(_differing("x", "y") <= most).select("a", "b"))
+    links = scratch.stored(_confirmed(stars, _wanted_sets(scratch, docs, classes, stars, size), percent))
     known = groups(links)
 
     # Large buckets: in each round every class is compared with its nearest class of another group, so that a large group
     # of near copies closes before its pairs are looked at. This only orders the work; the last step is complete.
     tested, threshold, schema = stars, percent / 100, "a binary, b binary, d int"
     for _ in range(NEAREST_ROUNDS):
-        blocks, large = _ordered_blocks(members, known, finer, LARGE)
+        blocks, large = _ordered_blocks(scratch, members, known, finer, LARGE)
         if large.isEmpty():
             break
-        pairs = stored(map_arrow(blocks, _compare_blocks(threshold, nearest=True), schema))
+        pairs = scratch.stored(map_arrow(blocks, _compare_blocks(threshold, nearest=True), schema))
         ends = pairs.select(F.col("a").alias("end"), "d", "a", "b").union(pairs.select("b", "d", "a", "b"))
         pairs = ends.groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = stored(_confirmed(pairs, _wanted_sets(docs, classes, pairs, size), percent))
+        pairs = scratch.stored(pairs.join(tested, ["a", "b"], "left_anti"))
+        found = scratch.stored(_confirmed(pairs, _wanted_sets(scratch, docs, classes, pairs, size), percent))
         tested, links = tested.union(pairs), links.union(found)
         if found.isEmpty():
             break
         known = groups(links)
 
     # Then everything that shares a bucket across the groups found so far.
-    blocks, _ = _ordered_blocks(members, known, finer, 1)
+    blocks, _ = _ordered_blocks(scratch, members, known, finer, 1)
     more = map_arrow(blocks, _compare_blocks(threshold), schema).select("a", "b").distinct()
-    more = stored(more.join(tested, ["a", "b"], "left_anti"))
-    more_links = _confirmed(more, _wanted_sets(docs, classes, more, size), percent)
+    more = scratch.stored(more.join(tested, ["a", "b"], "left_anti"))
+    more_links = _confirmed(more, _wanted_sets(scratch, docs, classes, more, size), percent)
     known = groups(links.union(more_links))
 
     # Names of the groups, and every row with its group's name.
@@ -315,17 +316,18 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     named = named.select("cls", "first", F.coalesce("root", "cls").alias("root"))
     named = stored(named)
     least = stored(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    scratch.drop(docs.sparkSession)
     by_class = named.join(least, "root").select("cls", "root", "component_id")
     out = rows.select("doc_id", "row_key", "n_shingles", "cls").join(by_class, "cls", "left")
     name = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row_key", "n_shingles", name.alias("component_id"), "root")
 
 
-def _wanted_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+def _wanted_sets(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     # Few wanted sets are sent to the texts, many meet them in a shuffle.
-    sets = _sets(docs, small_side(stored(wanted.join(classes.select("cls", "row_key"), "cls"))), size)
-    return stored(sets.dropDuplicates(["cls"]))
+    sets = _sets(docs, small_side(scratch.stored(wanted.join(classes.select("cls", "row_key"), "cls"))), size)
+    return scratch.stored(sets.dropDuplicates(["cls"]))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

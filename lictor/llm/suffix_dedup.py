@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lictor.llm import hashing as H
-from lictor.llm.tables import map_arrow, stored
+from lictor.llm.tables import Scratch, map_arrow, stored
 
 LEAST, SEED_WORDS = 50, 10
 
@@ -112,24 +112,25 @@ def _windows(docs: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
 
 def passages(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS) -> DataFrame:
     """Repeated passages: doc_id, row_key, begin, end (in words), removed (an earlier place holds the same words), first_doc_ids."""
-    kept = stored(suffixes(docs, least, seed_words))
+    scratch = Scratch()
+    kept = scratch.stored(suffixes(docs, least, seed_words))
     # Counts are stored before they are joined back: only a join of two plain shuffles is split at a hot key.
-    again = stored(kept.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
-    kept = stored(kept.join(again, "seed"))
+    again = scratch.stored(kept.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
+    kept = scratch.stored(kept.join(again, "seed"))
     place = F.struct("doc_id", "row_key", "first")
     alike = kept.groupBy("seed", "context").agg(F.min(place).alias("own"), F.count("*").alias("n"), F.first("windows").alias("windows"))
-    alike = stored(alike)
+    alike = scratch.stored(alike)
     several = alike.groupBy("seed").agg(F.min("context").alias("lo"), F.max("context").alias("hi")).where("lo < hi").select("seed")
-    several = stored(several)
-    extended = stored(alike.join(several, "seed"))
+    several = scratch.stored(several)
+    extended = scratch.stored(alike.join(several, "seed"))
 
     # Extension: windows of one representative per context, against those of all others of the table.
     chosen = extended.select("seed", "context", "own.row_key", "own.first", "windows")
     windows = _windows(docs, chosen, least).dropDuplicates(["seed", "context", "i"])
-    windows = stored(windows.join(extended.select("seed", "context", "own", "n"), ["seed", "context"]).select(
+    windows = scratch.stored(windows.join(extended.select("seed", "context", "own", "n"), ["seed", "context"]).select(
         "window", "seed", "context", "i", "n", F.struct("own.doc_id", "own.row_key", (F.col("own.first") + F.col("i")).alias("first")).alias("own")))
     repeated = windows.groupBy("window").agg(F.sum("n").alias("total"), F.min("own").alias("origin")).where("total > 1").select("window", "origin")
-    repeated = stored(repeated)
+    repeated = scratch.stored(repeated)
     matched = windows.select("window", "seed", "context", "i").join(repeated, "window")
     matched = matched.select("seed", "context", "i", "origin.doc_id", "origin.row_key", (F.col("origin.first") - F.col("i")).alias("shift"))
     line = Window.partitionBy("seed", "context", "doc_id", "row_key", "shift").orderBy("i")
@@ -148,9 +149,12 @@ def passages(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS)
     through = Window.partitionBy("row_key", "removed").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)
     spans = spans.withColumn("reached", F.max("end").over(before))
     spans = spans.withColumn("island", F.sum(F.when(F.col("begin") <= F.col("reached"), 0).otherwise(1)).over(through))
-    return spans.groupBy("row_key", "removed", "island").agg(
+    out = spans.groupBy("row_key", "removed", "island").agg(
         F.first("doc_id").alias("doc_id"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.array_sort(F.collect_set("from_doc")).alias("first_doc_ids"),
     ).select("doc_id", "row_key", "begin", "end", "removed", "first_doc_ids")
+    out = stored(out)
+    scratch.drop(docs.sparkSession)
+    return out
 
 
 def _cut(text: str, begins: np.ndarray, ends: np.ndarray) -> str | None:

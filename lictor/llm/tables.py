@@ -26,6 +26,24 @@ def stored(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
+class Scratch:
+    """Steps of one operator that nothing needs once its result is stored."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        table = stored(df)
+        self.paths += {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        return table
+
+    def drop(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            old = spark._jvm.org.apache.hadoop.fs.Path(path)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.paths = []
+
+
 def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
     """A stored table for the small side of a join: broadcast if it has at most `most` rows, joined like any other beyond.
 
