@@ -10,7 +10,9 @@ the block around them. Then, per page:
 3. The ratios are smoothed over neighbouring blocks in page order, and averaged per path again, so that a short heading
    between paragraphs gets part of their weight.
 4. Without a marked article, the content root is the deepest section that still holds `HOLDS` of the whole weight.
-5. Paths whose smoothed ratio reaches `LEAST` of the text-weighted mean are content; all their blocks are kept, whole.
+5. Of what is left, only paths go whose smoothed ratio is below `LEAST` of the text-weighted mean and whose text is mostly
+   linked (more than `LINKED`), such as a list of other pages. All blocks of all other paths are kept, whole: long
+   paragraphs raise the mean, and short list items, cells or code lines beside them are no boilerplate for that.
 
 Pages are worked on one by one inside Spark's Arrow batches; nothing is shuffled. Character references are decoded,
 white space inside a block becomes one space, blocks are joined by an empty line.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from lictor.llm import hashing as H
 from lictor.llm.tables import map_arrow
 
-MARK, HOLDS, LEAST = 10.0, 0.6, 0.1
+MARK, HOLDS, LEAST, LINKED = 10.0, 0.6, 0.1, 0.5
 KERNEL = (1, 2, 3, 2, 1)
 
 # Names from the HTML standard.
@@ -182,7 +184,12 @@ def main_text(page: str) -> str:
         root = _root(found, value)
         found, value = zip(*((b, v) for b, v in zip(found, value, strict=True) if b[0][:len(root)] == root), strict=True)
     mean = sum(v * len(b[1]) for b, v in zip(found, value, strict=True)) / sum(len(b[1]) for b in found)
-    return "\n\n".join(b[1] for b in found if smooth[b[0]] >= LEAST * mean)
+    sizes: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+    for path, text, linked, _ in found:
+        sizes[path][0] += len(text)
+        sizes[path][1] += linked
+    links = {path for path, (size, linked) in sizes.items() if linked > LINKED * size}
+    return "\n\n".join(b[1] for b in found if b[0] not in links or smooth[b[0]] >= LEAST * mean)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

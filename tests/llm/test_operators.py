@@ -471,6 +471,19 @@ def test_main_text(page):
     assert html_text.main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<div><div>{}</div></div>"])
+def test_short_blocks_stay_beside_long_paragraphs(outer):
+    long = ["A sentence of some length, with marks. " * 51 + f"No {i}." for i in range(10)]
+    items = [f"list item number {i:03}" for i in range(30)]
+    cells = [f"cell {i}" for i in range(40)]
+    links = [f"Other page {i}" for i in range(30)]
+    page = "".join(f"<p>{t}</p>" for t in long) + "<ul>" + "".join(f"<li>{t}</li>" for t in items) + "</ul><p>" + long[0] + "</p><table>"
+    page += "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(cells[::2], cells[1::2], strict=True)) + "</table><pre>x = 1</pre>"
+    other = "<section><ol>" + "".join(f"<li><a href=x>{t}</a></li>" for t in links) + "</ol></section>"
+    got = html_text.main_text(outer.format(page + other)).split("\n\n")
+    assert got == [*long, *items, long[0], *cells, "x = 1"]
+
+
 def test_pages_with_odd_markup(spark):
     odd = [None, "", "<", "a < b and c > d", "<p>open", "<script>never ends", "<!-- never ends", "</p></div>", "<p>" * 3000 + "deep", "plain, text. " * 20000]
     pages = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate(odd)] + [(None, "u", "<p>t</p>", "y")], "page_id long, url string, html string, text string")
