@@ -3,13 +3,16 @@
 A page is cut into blocks in page order, each under its root-to-leaf tag path. Inline tags are fused into the path of
 the block around them. Then, per page:
 
-1. Blocks of named boilerplate go: tags (`OUT_TAGS`), and class, id or role words (`OUT_WORDS`). If the page marks its
-   article or main part, only that part stays.
+1. Blocks of named boilerplate go: tags (`OUT_TAGS`), hidden elements, and elements with a class, id or role token that
+   is a word of `OUT_WORDS`, or such words with parts of `BESIDE` (`sidebar-left`; not `has-sidebar` or `comments-open`).
+   A token never takes away an article or main part, or an element with more than half of the page's unlinked text (unless
+   it is a single block beside a marked article), and counts for nothing if no text would be left. If the page marks an article or main part that holds more than half of
+   the weight, only that part stays; a short marked teaser is a block like others.
 2. Text length, link text and punctuation are summed per tag path. A path's ratio is its unlinked text per block, plus
    `MARK` characters for each punctuation mark per block.
 3. The ratios are smoothed over neighbouring blocks in page order, and averaged per path again, so that a short heading
    between paragraphs gets part of their weight.
-4. Without a marked article, the content root is the deepest section that still holds `HOLDS` of the whole weight.
+4. Without such a marked part, the content root is the deepest section that still holds `HOLDS` of the whole weight.
 5. Of what is left, only paths go whose smoothed ratio is below `LEAST` of the text-weighted mean and whose text is mostly
    linked (more than `LINKED`), such as a list of other pages. All blocks of all other paths are kept, whole: long
    paragraphs raise the mean, and short list items, cells or code lines beside them are no boilerplate for that.
@@ -48,51 +51,101 @@ OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
     "breadcrumbs masthead footer sidebar aside widget related recommended share sharing social cookie cookies consent gdpr notice alert popup "
     "modal newsletter subscribe signup login search form comment comments respond replies disqus toolbar pagination pager".split())
+#: Parts that a token of boilerplate words may have beside them.
+BESIDE = frozenset(
+    "left right top bottom upper lower inner outer primary secondary main global site page post article entry wrapper wrap container box bar area section "
+    "block list links link item items header widgets buttons button icons icon text message overlay slot unit first second".split())
 #: An opening tag of the key closes an open tag of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
 class _Open:
-    """An element that is open: its tag, whether it or one around it is boilerplate or marked content, its section path."""
+    """An element that is open: its tag, whether it or one around it is out or marked content, the named elements it is in, its section path."""
 
-    __slots__ = ("tag", "out", "marked", "path")
+    __slots__ = ("tag", "out", "marked", "named", "path")
 
-    def __init__(self, tag: str, out: bool, marked: bool, path: tuple):
-        self.tag, self.out, self.marked, self.path = tag, out, marked, path
+    def __init__(self, tag: str, out: bool, marked: bool, named: tuple, path: tuple):
+        self.tag, self.out, self.marked, self.named, self.path = tag, out, marked, named, path
 
 
-def _opened(tag: str, attrs: str, around: _Open) -> _Open:
-    names = {w.lower() for value in _NAMES.findall(attrs) for w in _WORDS.findall(value)} if attrs else set()
+def _attributes(attrs: str) -> dict[str, str]:
+    """Lower-case name -> value; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(attrs):
+        found.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return found
+
+
+def _boilerplate(token: str, marked: bool) -> bool:
+    """A class, id or role token of boilerplate words alone, or with parts of `BESIDE`."""
+    if token.lower() in OUT_WORDS:
+        return True
+    parts = [w.lower() for w in _PARTS.findall(token)]
+    return (any(w in OUT_WORDS for w in parts) or "header" in parts and not marked) and all(w in OUT_WORDS or w in BESIDE or w.isdigit() for w in parts)
+
+
+def _opened(tag: str, attrs: str, around: _Open, place: int) -> _Open:
+    has = _attributes(attrs) if attrs else {}
+    role = has.get("role", "").lower().split()
     out = around.out or tag in OUT_TAGS or (tag == "header" and not around.marked)
-    if not out and tag not in ("html", "body"):
-        out = bool(names & OUT_WORDS) or ("header" in names and not around.marked) or bool(attrs and _HIDDEN.search(attrs))
-    marked = around.marked or tag in ("article", "main") or "main" in names and tag not in ("html", "body") and attrs.lower().find("role") >= 0
+    own = tag in ("article", "main") or "main" in role
+    named = around.named
+    if has and not out and tag not in ("html", "body"):
+        out = "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(has.get("style", "")))
+        if not own and any(_boilerplate(token, around.marked) for name in ("class", "id", "role") for token in has.get(name, "").split()):
+            named = (*named, place)
+    marked = around.marked or own and tag not in ("html", "body")
     path = around.path if tag in INLINE else (*around.path, tag)
-    return _Open(tag, out, marked, path)
+    return _Open(tag, out, marked, named, path)
 
 
 def blocks(page: str) -> list[tuple[tuple, str, int, bool]]:
     """(tag path, text, length of its linked text, inside a marked article) of every block that is no named boilerplate."""
-    stack = [_Open("", False, False, ())]
-    found: list[tuple[tuple, str, int, bool]] = []
-    parts: list[str] = []
-    linked = 0
+    found = _pieces(page)
+    unlinked, within, total, anywhere, article = defaultdict(int), defaultdict(set), 0, False, False
+    for i, (_, marked, pieces) in enumerate(found):
+        for text, linked, named in pieces:
+            n = len("".join(text.split()))
+            anywhere = anywhere or n > 0 and not named
+            article = article or n > 0 and not named and marked
+            n = 0 if linked else n
+            total += n
+            for place in named:
+                unlinked[place] += n
+                if n:
+                    within[place].add(i)
+    # A named element with most of the unlinked text is a container of content; not a single block beside a marked article.
+    stays = {place for place, n in unlinked.items() if 2 * n > total and (len(within[place]) > 1 or not article)}
+    if not anywhere and not any(stays.issuperset(named) and not text.isspace() for _, _, pieces in found for text, _, named in pieces):
+        stays = set(unlinked)
+    out: list[tuple[tuple, str, int, bool]] = []
+    for path, marked, pieces in found:
+        kept = [p for p in pieces if stays.issuperset(p[2])]
+        text = " ".join(html.unescape("".join(p[0] for p in kept)).split())
+        if text:
+            out.append((path, text, min(sum(len(p[0].strip()) for p in kept if p[1]), len(text)), marked))
+    return out
+
+
+def _pieces(page: str) -> list[tuple[tuple, bool, list[tuple[str, bool, tuple]]]]:
+    """(tag path, inside a marked article, pieces) of every block; a piece is its raw text, whether linked, and the places of the named elements around."""
+    stack = [_Open("", False, False, (), ())]
+    found: list[tuple[tuple, bool, list]] = []
+    parts: list[tuple[str, bool, tuple]] = []
     here = stack[0]
 
     def finish() -> None:
-        nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
-        if text:
-            found.append((here.path, text, min(linked, len(text)), here.marked))
-        parts.clear()
-        linked = 0
+        nonlocal parts
+        if parts:
+            found.append((here.path, here.marked, parts))
+            parts = []
 
     def close(until: int) -> None:
         nonlocal here
@@ -106,9 +159,7 @@ def blocks(page: str) -> list[tuple[tuple, str, int, bool]]:
         token = _TOKEN.search(page, at)
         text = page[at:token.start()] if token else page[at:]
         if text and not here.out:
-            parts.append(text)
-            if any(e.tag == "a" for e in stack):
-                linked += len(text.strip())
+            parts.append((text, any(e.tag == "a" for e in stack), here.named))
         if token is None:
             break
         at = token.end()
@@ -127,12 +178,12 @@ def blocks(page: str) -> list[tuple[tuple, str, int, bool]]:
             if depth and stack[depth].tag in shut:
                 close(depth)
         elif tag == "br" and not here.out:
-            parts.append(" ")
+            parts.append((" ", False, here.named))
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID:
-            here = _opened(tag, token["attrs"], here)
+            here = _opened(tag, token["attrs"], here, at)
             stack.append(here)
     finish()
     return found
@@ -175,12 +226,13 @@ def _root(found: list[tuple[tuple, str, int, bool]], value: list[float]) -> tupl
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    if any(b[3] for b in found):
-        found = [b for b in found if b[3]]
     if not found:
         return ""
     smooth, value = _ratios(found)
-    if not found[0][3]:
+    if 2 * sum(v for b, v in zip(found, value, strict=True) if b[3]) > sum(value):
+        found = [b for b in found if b[3]]
+        smooth, value = _ratios(found)
+    else:
         root = _root(found, value)
         found, value = zip(*((b, v) for b, v in zip(found, value, strict=True) if b[0][:len(root)] == root), strict=True)
     mean = sum(v * len(b[1]) for b, v in zip(found, value, strict=True)) / sum(len(b[1]) for b in found)

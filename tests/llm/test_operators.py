@@ -484,6 +484,24 @@ def test_short_blocks_stay_beside_long_paragraphs(outer):
     assert got == [*long, *items, long[0], *cells, "x = 1"]
 
 
+@pytest.mark.parametrize("page", [
+    f'<body><article class="post comments-open">{ARTICLE}</article></body>',
+    f'<body><main class="main with-sidebar">{ARTICLE}</main><div class="sidebar"><p>Aside text.</p></div></body>',
+    f'<body><article class="post related">{ARTICLE}</article></body>',
+    f'<body><div class="content has-sidebar">{ARTICLE}</div><div id="left-sidebar"><p>Aside text.</p></div></body>',
+    f'<body><div class="content sidebar">{ARTICLE}<div class="share-buttons">Share this.</div></div><p class=ad>Buy.</p></body>',
+    f'<body><div data-id="menu" data-role="navigation" title="a hidden gem" class="box hidden md:block">{ARTICLE}</div><p hidden>No.</p><p style="color:red; display: none">No.</p><p aria-hidden=true>No.</p></body>',
+    f'<body><div class="ad"><p>Buy this, now, and that, too.</p></div><article><h2>Teaser</h2></article><div>{ARTICLE}</div></body>',
+])
+def test_words_in_attributes_do_not_take_content(page):
+    assert html_text.main_text(page) == TEXT
+
+
+def test_words_that_name_everything_count_for_nothing():
+    parts = [f"<div class='{name}'><p>The {name} part, in words.</p></div>" for name in ("related", "comments", "widget")]
+    assert html_text.main_text("".join(parts)) == "\n\n".join(f"The {name} part, in words." for name in ("related", "comments", "widget"))
+
+
 def test_pages_with_odd_markup(spark):
     odd = [None, "", "<", "a < b and c > d", "<p>open", "<script>never ends", "<!-- never ends", "</p></div>", "<p>" * 3000 + "deep", "plain, text. " * 20000]
     pages = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate(odd)] + [(None, "u", "<p>t</p>", "y")], "page_id long, url string, html string, text string")
