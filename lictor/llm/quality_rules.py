@@ -4,8 +4,10 @@ Every document gets a vector of transformed statistics (`FEATURES`). Per languag
 are estimated by the minimum covariance determinant: of all subsets with `SHARE` of the documents the one with the
 smallest determinant, approached by concentration steps (estimate, keep the closest share, estimate again) from several
 starts at once, until their determinants fall by less than a thousandth on average. A document whose squared Mahalanobis distance exceeds the
-chi-square quantile `CUT` is rejected. `FLOORS` are added to the standard deviations, so that a statistic that is the
-same for most documents (no symbols at all) does not turn every small deviation into an outlier.
+chi-square quantile `CUT` is rejected. `FLOORS` squared are added to the variances, after the factor that makes them
+consistent, so that a statistic that is the same for most documents (no symbols at all) does not turn every small deviation
+into an outlier. They are small against what a statistic can reach: in a group without any, 5.1 symbols or repeated lines
+per 100 words, 13.1 % repeated or 5.1 % stuttered words reject alone; one of them in the shortest document (20 words) does not.
 
 * Groups with fewer than `SMALL` documents that pass the base rules are pooled by language, and small pools over all.
 * Quantiles of distances come from counts on a fixed logarithmic grid (256 steps per doubling): exact to the grid, the
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 
 from lictor.llm.tables import WORD, small_side, stored
 
-SHARE, CUT, SMALL, STARTS, SEED = 0.75, 0.99999, 60, 3, 4
+SHARE, CUT, SMALL, STARTS, SEED = 0.75, 0.999, 60, 3, 4
 #: Statistic -> smallest standard deviation it is trusted to have.
-FLOORS = {"length": 0.02, "symbols": 0.5, "lines": 0.5, "repeats": 0.15, "stutter": 0.08}
+FLOORS = {"length": 0.02, "symbols": 0.4, "lines": 0.4, "repeats": 0.08, "stutter": 0.05}
 FEATURES = tuple(FLOORS)
 _P = len(FEATURES)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
@@ -123,15 +125,15 @@ def _nearest(rows: DataFrame, keys: list[str], share: float, least: int, most: i
     return counts.where(F.col("upto") >= wanted).groupBy(*keys).agg(F.min("step").alias("cut"))
 
 
-def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean m_i, inverse Cholesky factor w_i_j of the covariance plus floors, and the logarithm of its determinant."""
+def _estimate(rows: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
+    """Mean m_i, inverse Cholesky factor w_i_j of the covariance times the factor plus floors, and the logarithm of its determinant."""
     sums = [F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)]
     products = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q_{i}_{j}") for i, j in _PAIRS]
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *products)
     out = out.select(*keys, *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(_P)], "n", *[f"q_{i}_{j}" for i, j in _PAIRS])
     floor = [x * x for x in FLOORS.values()]
     means = [f"m_{i}" for i in range(_P)]
-    cov = [(F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}") + (floor[i] if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS]
+    cov = [(factor * (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) + (floor[i] if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS]
     out = out.select(*keys, *means, *cov)
     for i, j in _PAIRS:  # Cholesky factor, row by row
         rest = F.col(f"c_{i}_{j}")
@@ -189,11 +191,12 @@ def _median(values: DataFrame, column: str, name: str) -> DataFrame:
 def estimates(rows: DataFrame, share: float = SHARE, starts: int = STARTS, seed: int = SEED) -> DataFrame:
     """grp -> the minimum covariance determinant estimate, scaled to be consistent for normal vectors."""
     keys = ["grp", "start"]
+    consistent = share / chi_square(chi_square_quantile(share, _P), _P + 2)
 
     def concentrated(now: DataFrame) -> DataFrame:
         near = rows.join(small_side(now), "grp").select(*keys, *FEATURES, _step(_distance()).alias("step"))
         cut = stored(_nearest(near, keys, share, _FIRST).coalesce(1))
-        return stored(_estimate(near.join(small_side(cut), keys).where("step <= cut"), keys).coalesce(1))
+        return stored(_estimate(near.join(small_side(cut), keys).where("step <= cut"), keys, consistent).coalesce(1))
 
     now, last = concentrated(stored(_estimate(_starts(rows, starts, seed), keys).coalesce(1))), math.inf
     while True:
@@ -203,10 +206,7 @@ def estimates(rows: DataFrame, share: float = SHARE, starts: int = STARTS, seed:
         best, last, now = now, total, concentrated(now)
     best = now if not count else best
     smallest = best.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("pick")).select("grp", "pick.start")
-    consistent = share / chi_square(chi_square_quantile(share, _P), _P + 2)
-    chosen = best.join(smallest, keys)
-    root = 1 / math.sqrt(consistent)
-    return chosen.select("grp", *[f"m_{i}" for i in range(_P)], *[(F.col(f"w_{i}_{j}") * root).alias(f"w_{i}_{j}") for i, j in _PAIRS])
+    return best.join(smallest, keys).drop("start", "log_det")
 
 
 def judged(docs: DataFrame, share: float = SHARE, cut: float = CUT, small: int = SMALL) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -211,6 +212,45 @@ def test_statistics_and_outliers(spark):
     assert all(rows[i].kept for i in range(140)) and not any(rows[i].kept for i in range(140, 148))
 
 
+def smallest_determinant(x):
+    """Squared distances by the minimum covariance determinant, from many starts, without grids or Spark."""
+    n, p = x.shape
+    h, floor = math.ceil(quality_rules.SHARE * n), np.diag([f * f for f in quality_rules.FLOORS.values()])
+    factor = quality_rules.SHARE / quality_rules.chi_square(quality_rules.chi_square_quantile(quality_rules.SHARE, p), p + 2)
+    draw, best = np.random.default_rng(1), (math.inf, None)
+    for _ in range(300):
+        some, old = draw.choice(n, p + 1, replace=False), math.inf
+        while True:
+            mean, cov = x[some].mean(0), factor * np.cov(x[some].T, bias=True) + floor
+            far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            now = np.linalg.slogdet(cov)[1] if len(some) == h else math.inf
+            if now < best[0]:
+                best = now, far
+            if len(some) == h and now > old - 1e-9:
+                break
+            some, old = np.argsort(far)[:h], now
+    return best[1]
+
+
+def test_moderate_outliers_equal_a_brute_force_determinant(spark):
+    draw = random.Random(8)
+    texts = [prose(draw, draw.randint(80, 120)) for _ in range(150)]
+    texts += [" ".join(word(draw) + ("#" if i % 5 == 0 else "") for i in range(100)) for _ in range(3)]  # 20 symbols per 100 words
+    loop = [prose(draw, 14) for _ in range(3)]
+    texts += [f"{x} {prose(draw, 36)} {x} {prose(draw, 36)}" for x in loop]  # 28 % repeated words
+    texts += ["\n".join([prose(draw, 5)] + ["same"] * 13 + [prose(draw, 80)]) for _ in range(3)]
+    texts += [" ".join(w if i % 8 else f"{w} {w}" for i, w in enumerate(prose(draw, 90).split())) for _ in range(3)]  # 12 % stutter
+    docs = docs_of(spark, texts)
+    rows = {r.doc_id: r for r in quality_rules.judged(docs).collect()}
+    inside = [i for i in range(len(texts)) if not rows[i].base_failed]
+    assert len(inside) >= 159
+    far = smallest_determinant(np.array([[rows[i][f] for f in quality_rules.FEATURES] for i in inside]))
+    limit = quality_rules.chi_square_quantile(quality_rules.CUT, len(quality_rules.FEATURES))
+    assert [rows[i].kept for i in inside] == [bool(d <= limit) for d in far]
+    assert np.allclose([rows[i].distance for i in inside], far, rtol=0.1, atol=0.5)
+    assert not any(rows[i].kept for i in range(150, len(texts))) and sum(rows[i].kept for i in range(150)) >= 147
+
+
 def test_rules_on_empty_and_constant_tables(spark):
     text = prose(random.Random(4), 40)
     same = docs_of(spark, [text] * 30, [7] * 30)
