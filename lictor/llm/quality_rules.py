@@ -3,7 +3,8 @@
 Every document gets a vector of transformed statistics (`FEATURES`). Per language and source the centre and covariance
 are estimated by the minimum covariance determinant: of all subsets with `SHARE` of the documents the one with the
 smallest determinant, approached by concentration steps (estimate, keep the closest share, estimate again) from several
-starts at once, until their determinants fall by less than a thousandth on average. A document whose squared Mahalanobis distance exceeds the
+starts at once. Each group and start goes on until its own determinant's logarithm falls by less than `FALL`, and keeps its
+best estimate, so that an estimate depends on no other group. A document whose squared Mahalanobis distance exceeds the
 chi-square quantile `CUT` is rejected. `FLOORS` squared are added to the variances, after the factor that makes them
 consistent, so that a statistic that is the same for most documents (no symbols at all) does not turn every small deviation
 into an outlier. They are small against what a statistic can reach: in a group without any, 5.1 symbols or repeated lines
@@ -34,6 +35,7 @@ FLOORS = {"length": 0.02, "symbols": 0.4, "lines": 0.4, "repeats": 0.08, "stutte
 FEATURES = tuple(FLOORS)
 _P = len(FEATURES)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
+FALL = 1e-3
 #: Documents of a random start.
 _FIRST = 6 * (_P + 1)
 
@@ -198,15 +200,14 @@ def estimates(rows: DataFrame, share: float = SHARE, starts: int = STARTS, seed:
         cut = stored(_nearest(near, keys, share, _FIRST).coalesce(1))
         return stored(_estimate(near.join(small_side(cut), keys).where("step <= cut"), keys, consistent).coalesce(1))
 
-    now, last = concentrated(stored(_estimate(_starts(rows, starts, seed), keys).coalesce(1))), math.inf
-    while True:
-        count, total = now.agg(F.count("*"), F.sum("log_det")).first()
-        if not count or total > last - 1e-3 * count:
-            break
-        best, last, now = now, total, concentrated(now)
-    best = now if not count else best
+    best = concentrated(stored(_estimate(_starts(rows, starts, seed), keys).coalesce(1))).withColumn("falls", F.lit(True))
+    estimate = [c for c in best.columns if c not in (*keys, "falls")]
+    while not (going := best.where("falls")).isEmpty():
+        new = concentrated(going.drop("falls")).select(*keys, F.struct(*estimate).alias("new"))
+        both = best.join(small_side(new), keys, "left").withColumn("fall", F.coalesce(F.col("log_det") - F.col("new.log_det"), F.lit(0.0)))
+        best = stored(both.select(*keys, *[F.when(F.col("fall") > 0, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in estimate], (F.col("fall") >= FALL).alias("falls")).coalesce(1))
     smallest = best.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("pick")).select("grp", "pick.start")
-    return best.join(smallest, keys).drop("start", "log_det")
+    return best.join(smallest, keys).drop("start", "log_det", "falls")
 
 
 def judged(docs: DataFrame, share: float = SHARE, cut: float = CUT, small: int = SMALL) -> DataFrame:

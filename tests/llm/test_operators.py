@@ -251,6 +251,24 @@ def test_moderate_outliers_equal_a_brute_force_determinant(spark):
     assert not any(rows[i].kept for i in range(150, len(texts))) and sum(rows[i].kept for i in range(150)) >= 147
 
 
+def test_estimates_converge_beside_many_other_groups(spark):
+    """One more concentration step of a slow group, in numpy, finds nothing better, whatever other groups there are."""
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal(0, 1, (400, 5)), draw.normal(2.5, 1, (300, 5))])
+    schema = "doc_id long, grp string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES)
+    rows = spark.createDataFrame([(i, "own", *map(float, v)) for i, v in enumerate(x)], schema)
+    constant = spark.range(400 * 60).selectExpr("id doc_id", "cast(id % 400 as string) grp", *[f"1.0D {f}" for f in quality_rules.FEATURES])
+    got = quality_rules.estimates(rows.unionByName(constant), starts=1).where("grp = 'own'").first()
+    mean = np.array([got[f"m_{i}"] for i in range(5)])
+    w = np.array([[got[f"w_{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    share = quality_rules.SHARE
+    factor = share / quality_rules.chi_square(quality_rules.chi_square_quantile(share, 5), 7)
+    step = np.floor(256 * np.log2((((x - mean) @ w.T) ** 2).sum(1)))  # the grid of the module
+    near = x[step <= np.sort(step)[math.ceil(share * len(x)) - 1]]
+    cov = factor * np.cov(near.T, bias=True) + np.diag([f * f for f in quality_rules.FLOORS.values()])
+    assert np.linalg.slogdet(cov)[1] > -2 * np.log(np.diag(w)).sum() - 2 * 1e-3
+
+
 def test_rules_on_empty_and_constant_tables(spark):
     text = prose(random.Random(4), 40)
     same = docs_of(spark, [text] * 30, [7] * 30)
