@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lictor.llm import chat, decontamination, html_text, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from lictor.llm import (
+    chat, conversation_repair, decontamination, html_text, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_align,
+    token_counts, url_filter,
+)
 from lictor.llm.sql import ORACLE
 from lictor.llm.tables import read, stored
 from lictor.session import shared_folder
@@ -82,5 +85,17 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality, op4_quality_rules, op5_decontamination, op6_url_filter, op7_near_dedup, op8_chat, op9_html_text, op10_mixing)}
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, damaged by a fixed rule, and what their cheapest repair is."""
+    given = read(spark, folder, "conversations")
+    return conversation_repair.report(given, conversation_repair.damaged(given))
+
+
+def op13_token_align(spark: SparkSession, folder: str) -> DataFrame:
+    return token_align.measured(read(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_token_counts, op3_quality, op4_quality_rules, op5_decontamination, op6_url_filter, op7_near_dedup, op8_chat, op9_html_text,
+    op10_mixing, op12_conversation_repair, op13_token_align)}
 
