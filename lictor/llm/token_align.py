@@ -8,14 +8,14 @@ strings per token, so each token has a byte range.
    document into windows of token ids, mostly words.
 3. A window's alignment depends on its ids alone: the groups between shared ends and the links, which are the pairs of an
    A and a B token whose byte ranges overlap. It is worked out once per pair of id tuples and remembered; a text without
-   spaces is one window and is worked out on its own.
+   spaces is one window.
 4. The corpus-wide count of an id pair is the number of documents that hold it linked. Every document keeps its distinct
    pairs and how often it has them; counts, the best count per A id and the sums are grouped and joined by Spark.
 
 Pairs held by at least one document in `SHARE` are few, at most SHARE times the mean number of distinct pairs of a document,
 and are broadcast; the others, none of which is in more than that share of the documents, are joined in a shuffle.
 
-The memory of windows is emptied when it holds `MEMORY` of them, which costs time only. Tokenizers are read from a folder
+The memory of windows is emptied between batches when it holds more than `MEMORY` links, which costs time only. Tokenizers are read from a folder
 that every executor has.
 
 Nulls and odd rows: a null or empty text, and one that a tokenizer does not keep byte by byte, has no tokens: zeros and an
@@ -40,7 +40,7 @@ from lictor.llm.tables import Scratch, map_arrow, stored
 
 FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SHARE, MEMORY, LONGEST = 256, 1 << 18, 64
+SHARE, MEMORY = 256, 1 << 21
 #: An id pair is one number: A id * WIDE + B id.
 WIDE = 1 << 31
 
@@ -115,57 +115,86 @@ def anchors(a: np.ndarray, b: np.ndarray, a_side: Side, b_side: Side) -> tuple[n
     return np.r_[0, a_at[i], len(a)], np.r_[0, b_at[j], len(b)]
 
 
-def window(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[str, int, list[int]]:
-    """Alignment of one window: its groups as text, their number, and its links, by one walk over both tokenisations."""
-    groups, links = [], []
-    i = j = i0 = j0 = 0
-    a_end, b_end = a_sizes[0], b_sizes[0]
-    while True:
-        links.append(a[i] * WIDE + b[j])
-        step_a, step_b = a_end <= b_end, b_end <= a_end
-        if step_a and step_b:
-            groups.append(",".join(map(str, a[i0:i + 1])) + "|" + ",".join(map(str, b[j0:j + 1])))
-            i0, j0 = i + 1, j + 1
-            if i0 == len(a):
-                return ";".join(groups), len(groups), links
-        if step_a:
-            i += 1
-            a_end += a_sizes[i]
-        if step_b:
-            j += 1
-            b_end += b_sizes[j]
-
-
-class Aligner:
-    """Aligns documents window by window and remembers windows by their id tuples."""
+class Windows:
+    """Alignments of windows, remembered by their id tuples: groups as text and links.
+
+    A window's key is its tuple of A ids, a mark and its tuple of B ids, as packed numbers. The windows of a batch that are
+    not known yet are aligned together: both sides of a window have equally many bytes, so windows in a row are aligned
+    as one document and parted again.
+    """
 
     def __init__(self, given: Tokenizers, memory: int = MEMORY):
         self.given, self.most = given, memory
-        self.known: dict[tuple, tuple] = {}
-
-    def window(self, a: tuple, b: tuple) -> tuple[str, int, list[int]]:
-        found = self.known.get((a, b))
-        if found is None:
-            found = window(a, b, self.given.a.sizes[list(a)].tolist(), self.given.b.sizes[list(b)].tolist())
-            if len(a) + len(b) <= LONGEST:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[a, b] = found
-        return found
-
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> tuple[int, str, np.ndarray]:
-        """Number of groups, digest of the groups, and all links of a document."""
-        if not len(a):
-            return 0, "", np.empty(0, np.int64)
-        at, bt = (x.tolist() for x in anchors(a, b, self.given.a, self.given.b))
-        a_ids, b_ids = tuple(a.tolist()), tuple(b.tolist())
-        digest, n, links = hashlib.sha256(), 0, []
-        for k in range(len(at) - 1):
-            text, groups, pairs = self.window(a_ids[at[k]:at[k + 1]], b_ids[bt[k]:bt[k + 1]])
-            digest.update((";" + text if k else text).encode())
-            n += groups
-            links += pairs
-        return n, digest.hexdigest(), np.array(links, np.int64)
+        # A token's text in the digest, and what stands behind it: more of the group, its other side, the next group.
+        self.symbols = [f"{i}{end}".encode() for i in range(len(given.a.table)) for end in ",|"] + [f"{i}{end}".encode() for i in range(len(given.b.table)) for end in ",;"]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.texts: list[bytes] = []
+        self.links, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def places(self, keys: list[bytes]) -> np.ndarray:
+        """The number of each window, by which its text and links are found. Numbers hold until the next call."""
+        if len(self.links) > self.most:
+            self._forget()
+        new = list(dict.fromkeys(k for k in keys if k not in self.known))
+        if new:
+            self._learn(new)
+        return np.array([self.known[k] for k in keys], np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        ids = np.frombuffer(b"".join(new), np.int32)
+        of = np.repeat(np.arange(len(new)), [len(k) // 4 for k in new])
+        mark = ids < 0
+        before = np.cumsum(mark) - mark == of  # A ids stand before the mark of their window
+        a, b, b_of = ids[before & ~mark].astype(np.int64), ids[~before].astype(np.int64), of[~before]
+        a_of = of[before & ~mark]
+        a_ends, b_ends = np.cumsum(self.given.a.sizes[a]), np.cumsum(self.given.b.sizes[b])
+        # Every stretch between neighbouring ends of either side is the overlap of one A and one B token.
+        i = np.searchsorted(a_ends, cells := np.union1d(a_ends, b_ends))
+        links = a[i] * WIDE + b[np.searchsorted(b_ends, cells)]
+        count = np.bincount(a_of[i], minlength=len(new))
+        # Groups end where both sides end; a group's A tokens are written before its B tokens.
+        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_last, b_last = np.isin(a_ends, shared), np.isin(b_ends, shared)
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        order = np.argsort(np.r_[2 * a_group, 2 * b_group + 1], kind="stable")
+        symbol = np.r_[2 * a + a_last, 2 * len(self.given.a.table) + 2 * b + b_last][order].tolist()
+        cut = np.searchsorted(np.r_[a_of, b_of][order], np.arange(len(new) + 1)).tolist()
+        written = list(map(self.symbols.__getitem__, symbol))
+        self.known.update(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
+        self.texts += [b"".join(written[s:e])[:-1] for s, e in zip(cut, cut[1:], strict=False)]
+        self.links = np.r_[self.links, links]
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(count)]
+
+    def align(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, str, np.ndarray]]:
+        """Number of groups, digest of the groups and all links of each document, given as its A and B ids."""
+        keys, counts = [], []
+        for a, b in pairs:
+            own = self._keys(a, b) if len(a) else []
+            keys += own
+            counts.append(len(own))
+        at = self.places(keys)
+        begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+        links = self.links[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        stop = np.r_[0, np.cumsum(size)]
+        texts, out, k = list(map(self.texts.__getitem__, at.tolist())), [], 0
+        for n in counts:
+            whole = b";".join(texts[k:k + n])
+            out.append((whole.count(b"|"), hashlib.sha256(whole).hexdigest() if n else "", links[stop[k]:stop[k + n]]))
+            k += n
+        return out
+
+    def _keys(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        at, bt = anchors(a, b, self.given.a, self.given.b)
+        n = np.arange(len(at) - 1)
+        row = np.empty(len(a) + len(b) + len(n), np.int32)
+        row[np.arange(len(a)) + np.repeat(bt[:-1] + n, np.diff(at))] = a
+        row[at[1:] + bt[:-1] + n] = -1
+        row[np.arange(len(b)) + np.repeat(at[1:] + n + 1, np.diff(bt))] = b
+        flat, cut = row.tobytes(), (4 * (at + bt + np.arange(len(at)))).tolist()
+        return [flat[s:e] for s, e in zip(cut, cut[1:], strict=False)]
 
 
 def aligned(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
@@ -173,12 +202,12 @@ def aligned(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = tokenizers(folder)
-        align = Aligner(given)
+        windows = Windows(given)
         for batch in H.small(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             numbers, digests, pairs, times = [], [], [], []
-            for a, b in given.encode(texts):
-                n, digest, links = align(a, b)
+            encoded = given.encode(texts)
+            for (a, b), (n, digest, links) in zip(encoded, windows.align(encoded), strict=True):
                 ids, count = np.unique(links, return_counts=True)
                 numbers.append((len(a), len(b), n, len(links)))
                 digests.append(digest)
