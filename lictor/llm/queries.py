@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lictor.llm import (
-    chat, conversation_repair, decontamination, html_text, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_align,
-    token_counts, url_filter,
+    chat, conversation_repair, decontamination, html_text, jaccard_join, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup,
+    token_align, token_counts, url_filter,
 )
 from lictor.llm.sql import ORACLE
 from lictor.llm.tables import read, stored
@@ -85,6 +85,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.components(read(spark, folder, "documents"), size=4, percent=85)
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, damaged by a fixed rule, and what their cheapest repair is."""
     given = read(spark, folder, "conversations")
@@ -97,5 +101,5 @@ def op13_token_align(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_token_counts, op3_quality, op4_quality_rules, op5_decontamination, op6_url_filter, op7_near_dedup, op8_chat, op9_html_text,
-    op10_mixing, op12_conversation_repair, op13_token_align)}
+    op10_mixing, op11_jaccard_join, op12_conversation_repair, op13_token_align)}
 

@@ -23,6 +23,9 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d JOIN least ON x = d.doc_id LEFT JOIN sizes USING (doc_id)
 """
 
+#: The same closure for the Jaccard join: other threshold, no kept column.
+JACCARD_JOIN = NEAR_DEDUP.replace(">= 80 *", ">= 85 *").replace(", d.doc_id = component_id AS kept", "")
+
 #: Every window of 50 words, grouped by its words.
 SUFFIX_DEDUP = f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
@@ -115,4 +118,5 @@ ORACLE = {
     "op5_decontamination": DECONTAMINATION,
     "op10_mixing": MIXING,
     "op7_near_dedup": NEAR_DEDUP,
+    "op11_jaccard_join": JACCARD_JOIN,
 }
