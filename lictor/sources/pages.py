@@ -1,12 +1,13 @@
 """Records in stored HTML pages, with Column expressions only: cut out blocks, rows and cells, then explode them.
 
-The layouts are flat lists of records, so no tree is built. A block runs from its opening tag to the closing tag that
-balances it (or to the page's end); a table row or cell to the next one.
+The layouts are flat lists of records. A block of a known class runs from its opening tag to the closing tag that balances
+it (or to the page's end); a table row or cell to the next one. Where records are found by their links or headings, the page
+becomes a sequence of tags and texts, one row each, and running sums over it tell which element is open where.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Class names, link paths and source labels of the known page layouts.
@@ -102,6 +103,68 @@ def _first_date(text: Column) -> Column:
     return F.regexp_substr(text, F.lit(DATE))
 
 
+def _sequence(pages: DataFrame) -> DataFrame:
+    """(page_id, at, size, part, name, delta, texto): a page's tags in order, each with the text behind it.
+
+    delta is 1 for an opening tag and -1 for a closing one; texto is null where there is none; size is the page's number of parts.
+    """
+    parts = F.split("html", "(?=<)")
+    rows = pages.select("page_id", F.size(parts).alias("size"), F.posexplode(parts).alias("at", "part"))
+    name = F.lower(F.regexp_extract("part", r"^</?(\w+)", 1))
+    delta = F.when(F.col("part").startswith("</"), -1).otherwise(1)
+    return rows.select("page_id", "at", "size", "part", name.alias("name"), F.when(name != "", delta).otherwise(0).alias("delta"), _or_null(_text(F.col("part"))).alias("texto"))
+
+
+def _opened(sequence: DataFrame, names: tuple[str, ...], seen_from: DataFrame | None = None) -> DataFrame:
+    """(page_id, name, at, fin): where each element of the names begins and ends; an open one ends with its page.
+
+    With `seen_from` (page_id, at) instead (page_id, at, desde, fin): the element of the names that is innermost at each of these
+    places, if any. A closing tag closes the last open tag of its name, and is ignored if there is none. The depth of a
+    name is its running sum of tags; an element is open as long as the depth does not fall below its own.
+    """
+    rows = sequence.filter(F.col("name").isin(*names)).select("page_id", "size", "name", "at", "delta")
+    if seen_from is not None:
+        places = seen_from.select("page_id", F.lit(None).cast("int").alias("size"), F.explode(F.array(*map(F.lit, names))).alias("name"), "at", F.lit(0).alias("delta"))
+        rows = rows.unionByName(places)
+    order = Window.partitionBy("page_id", "name").orderBy("at", F.abs("delta"))
+    rows = rows.withColumn("suma", F.sum("delta").over(order))
+    rows = rows.withColumn("minimo", F.least(F.lit(0), F.min("suma").over(order)))
+    rows = rows.withColumn("antes", F.least(F.lit(0), F.lag("minimo", 1, 0).over(order)))
+    rows = rows.filter("minimo = antes")  # without closing tags that close nothing
+    depth = F.col("suma") - F.col("minimo") + F.when(F.col("delta") < 0, 1).otherwise(0)
+    level = Window.partitionBy("page_id", "name", "nivel").orderBy("at", F.abs("delta"))
+    rows = rows.withColumn("nivel", depth)
+    ends = rows.filter("delta <> 0").withColumn("fin", F.coalesce(F.lead("at").over(level), F.col("size"))).filter("delta = 1")
+    if seen_from is None:
+        return ends.select("page_id", "name", "at", "fin")
+    last = F.last(F.when(F.col("delta") == 1, F.col("at")), ignorenulls=True).over(level)
+    inside = rows.withColumn("desde", last).filter("delta = 0 AND nivel > 0").select("page_id", "name", "at", "desde")
+    inside = inside.join(ends.select("page_id", "name", F.col("at").alias("desde"), "fin"), ["page_id", "name", "desde"])
+    return inside.groupBy("page_id", "at").agg(F.max(F.struct("desde", "fin")).alias("m")).select("page_id", "at", "m.desde", "m.fin")
+
+
+def _joined_texts(spans: DataFrame, sequence: DataFrame, separator: str) -> DataFrame:
+    """(page_id, desde, texto) of the spans [desde, fin) of a page: their texts joined. Rows grow with what is returned."""
+    places = spans.select("page_id", "desde", F.explode(F.sequence("desde", F.col("fin") - 1)).alias("at"))
+    pieces = places.join(sequence.filter("texto IS NOT NULL").select("page_id", "at", "texto"), ["page_id", "at"])
+    texts = pieces.groupBy("page_id", "desde").agg(F.sort_array(F.collect_list(F.struct("at", "texto"))).alias("piezas"))
+    return texts.select("page_id", "desde", F.array_join(F.col("piezas.texto"), separator).alias("texto"))
+
+
+def _enclosed(pages: DataFrame, names: tuple[str, ...], around: tuple[str, ...], wanted: Column) -> DataFrame:
+    """(page_id, part, propio, bloque): elements of the names whose tag fits, their text, and that of the innermost element
+    of `around` about them (or their own); null where there is none."""
+    sequence = _sequence(pages)
+    found = _opened(sequence, names).join(sequence.select("page_id", "at", "part").filter(wanted), ["page_id", "at"])
+    block = _opened(sequence, around, found)
+    found = found.join(block.withColumnRenamed("fin", "hasta"), ["page_id", "at"], "left")
+    found = found.withColumn("hasta", F.coalesce("hasta", "fin")).withColumn("desde", F.coalesce("desde", "at"))
+    own = _joined_texts(found.select("page_id", F.col("at").alias("desde"), "fin"), sequence, "")
+    text = _joined_texts(found.select("page_id", "desde", F.col("hasta").alias("fin")).distinct(), sequence, " ")
+    own = own.select("page_id", F.col("desde").alias("at"), F.col("texto").alias("propio"))
+    return found.join(own, ["page_id", "at"], "left").join(text.withColumnRenamed("texto", "bloque"), ["page_id", "desde"], "left").select("page_id", "part", "propio", "bloque")
+
+
 def gazette_notices(pages: DataFrame) -> DataFrame:
     """Notices in blocks of the known classes, or else links to notices with the first date around them."""
     marked = pages.select("page_id", _visible().alias("html"))
@@ -111,13 +174,11 @@ def gazette_notices(pages: DataFrame) -> DataFrame:
         "page_id", _field(block, "titulo|denominacion").alias("titulo"), _field(block, "fecha").alias("fecha"),
         _field(block, "organismo|rubro").alias("organismo"), _href(block).alias("url"),
     )
-    # Without known blocks: the surroundings of a link reach from one list item, section or row to the next.
-    around = F.split("html", r"(?i)(?=<(?:li|div|article|tr)\b)")
-    linked = marked.filter(F.size("known") == 0).select("page_id", F.explode(around).alias("block"))
-    linked = linked.select("page_id", "block", F.explode(_starting(block, r"<a\s")).alias("link"))
-    linked = linked.select("page_id", _or_null(_text(_balanced(F.col("link")))).alias("titulo"), _first_date(_text(block, " ")).alias("fecha"),
-                           F.lit(None).cast("string").alias("organismo"), _href(F.col("link")).alias("url"))
-    linked = linked.filter(F.col("url").rlike(f"(?i){NOTICE_LINK}"))
+    # Without known blocks: links to notices, with the innermost list item, section or row around them.
+    notice = F.col("part").rlike(r"(?i)^<a\s") & _href(F.col("part")).rlike(f"(?i){NOTICE_LINK}")
+    linked = _enclosed(marked.filter(F.size("known") == 0), ("a",), ("li", "div", "article", "tr"), notice).select(
+        "page_id", F.col("propio").alias("titulo"), _first_date(F.col("bloque")).alias("fecha"),
+        F.lit(None).cast("string").alias("organismo"), _href(F.col("part")).alias("url"))
     return known.unionByName(linked).withColumn("fuente", F.lit(GAZETTE))
 
 
@@ -130,15 +191,11 @@ def court_rulings(pages: DataFrame) -> DataFrame:
         "page_id", _field(block, "caratula").alias("caratula"), _field(block, "fuero").alias("fuero"),
         _field(block, "fecha").alias("fecha_resolucion"), _field(block, "texto-fallo|sumario", " ").alias("texto_fallo"),
     )
-    # A heading's block begins with the last section opened before it and ends where that section is balanced.
-    parts = marked.filter(F.size("known") == 0).select("page_id", F.split("html", r"(?i)(?=<(?:article|li|div)\b)").alias("parts"))
-    headed = parts.select("page_id", "parts", F.posexplode("parts").alias("i", "part"))
-    headed = headed.select("page_id", "parts", "i", F.explode(_starting(F.col("part"), r"<h[234]\b")).alias("heading"))
-    rest = F.array_join(F.slice("parts", F.col("i") + 1, F.size("parts")), "")
-    headed = _with_block(headed.select("page_id", "heading", rest.alias("block")), "block")
-    headed = headed.select("page_id", _text(_balanced(F.col("heading"))).alias("caratula"), _text(block, " ").alias("texto_fallo"))
-    headed = headed.filter(F.length("texto_fallo") >= 15).select(
-        "page_id", "caratula", F.lit(None).cast("string").alias("fuero"), _first_date(F.col("texto_fallo")).alias("fecha_resolucion"), "texto_fallo")
+    # Without known blocks: headings, with the innermost section or list item around them.
+    headed = _enclosed(marked.filter(F.size("known") == 0), ("h2", "h3", "h4"), ("article", "li", "div"), F.col("part").rlike(r"(?i)^<h[234]\b"))
+    headed = headed.filter(F.length("bloque") >= 15).select(
+        "page_id", F.coalesce("propio", F.lit("")).alias("caratula"), F.lit(None).cast("string").alias("fuero"),
+        _first_date(F.col("bloque")).alias("fecha_resolucion"), F.col("bloque").alias("texto_fallo"))
     return known.unionByName(headed).withColumn("fuente", F.lit(COURTS))
 
 

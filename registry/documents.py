@@ -169,6 +169,43 @@ def ruling_pages(t: Tables) -> DataFrame:
     return pages.court_rulings(stored_pages(t))
 
 
+def shaped_pages(t: Tables, shapes: list[str]) -> DataFrame:
+    """Every page in one of the shapes, by its id; # stands for the id and @ for the url."""
+    shape = F.element_at(F.array(*map(F.lit, shapes)), (F.pmod("page_id", F.lit(len(shapes))) + 1).cast("int"))
+    number = F.lpad(F.col("page_id").cast("string"), 6, "0")
+    return t.raw("pages").select("page_id", F.replace(F.replace(shape, F.lit("#"), number), F.lit("@"), F.col("url")).alias("html"))
+
+
+@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Aviso ' || n WHEN 1 THEN 'Fila' WHEN 2 THEN 'Solo' || n ELSE url END AS titulo,
+                  CASE page_id % 4 WHEN 0 THEN '05/08/2026' WHEN 1 THEN '7/8/2026' WHEN 3 THEN '03/08/2026' END AS fecha,
+                  CAST(NULL AS VARCHAR) AS organismo, CASE page_id % 4 WHEN 1 THEN '/detalle/' WHEN 2 THEN '/detalleAviso/' ELSE '/aviso/' END || n AS url, 'BORA' AS fuente
+           FROM (SELECT *, {PADDED_PAGE} AS n FROM pages)""")
+def gazette_page_shapes(t: Tables) -> DataFrame:
+    """Links in list items, rows of tables in sections, without any block, and behind stray closing tags."""
+    return pages.gazette_notices(shaped_pages(t, [
+        '<ul><li>05/08/2026<div>Sub</div><a href="/aviso/#">Aviso #</a></li></ul>',
+        "<div>01/01/2020<div>@</div><table><tr><td>7/8/2026<td><a href='/detalle/#'>Fila</a></tr></table></div>",
+        "<p>09/08/2026</p><a class=x href=/detalleAviso/#><b>Solo</b> #</a>",
+        "</div><div>03/08/2026 <span>x</span></li><a href='/aviso/#'>@</a></div><p>04/04/2026</p>",
+    ]))
+
+
+@query(f"""WITH p AS (SELECT *, {PADDED_PAGE} AS n FROM pages),
+  r AS (SELECT page_id, 'Caso ' || n || ' contra B' AS caratula, '10/06/2026' AS fecha_resolucion,
+               'Sala I de ' || url || ' Caso ' || n || ' contra B Fallo del 10/06/2026, prescripta.' AS texto_fallo FROM p WHERE page_id % 4 = 0
+        UNION ALL SELECT page_id, 'Asunto ' || n, '1/2/2026', 'Asunto ' || n || ' Otro caso 1/2/2026 firme fin' FROM p WHERE page_id % 4 = 1
+        UNION ALL SELECT page_id, 'Otrocaso', '1/2/2026', 'Otro caso 1/2/2026 firme' FROM p WHERE page_id % 4 = 1
+        UNION ALL SELECT page_id, 'Sin bloque alguno ' || n, NULL, 'Sin bloque alguno ' || n FROM p WHERE page_id % 4 = 2)
+  SELECT page_id, caratula, CAST(NULL AS VARCHAR) AS fuero, fecha_resolucion, texto_fallo, 'SAIJ_PODER_JUDICIAL' AS fuente FROM r""")
+def ruling_page_shapes(t: Tables) -> DataFrame:
+    """Headings behind closed sections, in sections in sections, without a section, and too short ones."""
+    return pages.court_rulings(shaped_pages(t, [
+        "<article><div>Sala I de @</div><h3>Caso # contra B</h3><p>Fallo del 10/06/2026, prescripta.</p></article>",
+        "<div><h2>Asunto #</h2><ul><li><h4>Otro <i>caso</i></h4> 1/2/2026 firme</li></ul>fin</div>",
+        "<h2>Sin bloque alguno #</h2> 11/11/2026", "<div><h3>Corto</h3></div>",
+    ]))
+
+
 @query(f"""SELECT page_id, 'DIPUTADOS' AS camara, {PADDED_PAGE} || '-D-2026' AS expediente, 'Ley' AS titulo, '01/08/2026' AS fecha,
                   'Ana Pérez' AS legislador, 'AFIRMATIVO' AS voto, 'A' AS bloque, 'HCDN_VOTACIONES' AS fuente
            FROM pages WHERE page_id % 2 = 0""")

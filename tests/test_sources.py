@@ -52,6 +52,33 @@ def test_rulings(table, rows):
     ]
 
 
+def test_the_innermost_open_element_is_taken(table, rows):
+    """Closed neighbours, elements inside elements, stray closing tags, and links and headings without any."""
+    dates = lambda html: sorted((r["titulo"], r["fecha"]) for r in read(table, rows, pages.gazette_notices, html))
+    assert dates("<li>05/08/2026<div>Sub</div><a href='/aviso/1'>Titulo</a></li>") == [("Titulo", "05/08/2026")]
+    assert dates("<div>1/1/2020<div>x</div><table><tr><td>7/8/2026<td><a href='/detalle/1'>Fila</a></tr></table></div>") == [("Fila", "7/8/2026")]
+    assert dates("<p>9/8/2026</p><a href=/aviso/1><b>So</b> lo</a>") == [("Solo", None)]
+    assert dates("</div><div>3/8/2026 </li><a href='/aviso/1'>T</a></div>4/4/2026<a href='/aviso/2'>U</a>") == [("T", "3/8/2026"), ("U", None)]
+    assert dates("<div><div>2/2/2026</div><div>x</div><a href='/aviso/1'>A</a> 3/3/2026</div>") == [("A", "2/2/2026")]
+    cases = lambda html: [(r["caratula"], r["fecha_resolucion"], r["texto_fallo"]) for r in read(table, rows, pages.court_rulings, html)]
+    page = "<article><div>Sala I de la camara</div><h3>Caso A contra B</h3><p>Fallo del 10/06/2026, prescripta.</p></article>"
+    assert cases(page) == [("Caso A contra B", "10/06/2026", "Sala I de la camara Caso A contra B Fallo del 10/06/2026, prescripta.")]
+    nested = "<div><h2>Primer asunto</h2><ul><li><h4>Otro <i>caso</i></h4> 1/2/2026 firme</li></ul>fin</div><h3>Sin bloque alguno</h3> 3/3/2026"
+    assert sorted(cases(nested)) == [
+        ("Otrocaso", "1/2/2026", "Otro caso 1/2/2026 firme"), ("Primer asunto", "1/2/2026", "Primer asunto Otro caso 1/2/2026 firme fin"),
+        ("Sin bloque alguno", None, "Sin bloque alguno")]
+    assert cases("<div><h3>Corto</h3></div><h3></h3>") == []
+
+
+def test_long_pages_stay_linear(table, rows):
+    """One block with many links, and tags that are never closed."""
+    many = "<div>1/1/2026" + "".join(f"<a href='/aviso/{i}'>t{i}</a>" for i in range(3000)) + "</div>"
+    found = read(table, rows, pages.gazette_notices, many)
+    assert len(found) == 3000 and {r["fecha"] for r in found} == {"1/1/2026"}
+    deep = "<div>" * 3000 + "2/2/2026<a href='/aviso/1'>t</a>"
+    assert [r["fecha"] for r in read(table, rows, pages.gazette_notices, deep)] == ["2/2/2026"]
+
+
 VOTES = ("<table><tr><th>Otra</table><table><tr><th>Fecha<th>Asunto<th>Diputado<th>Voto<tr><td>1/8<td>Ley<td>Ana<td>SI"
          "<tr><td>1/8<td>Ley</table>")
 
