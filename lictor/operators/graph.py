@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lictor.functions.numeric import exact_medians, rounded, scale_between, statistics
+from lictor.operators.blocks import Blocks
 from lictor.session import Rounds, cut
 
 
@@ -146,9 +147,16 @@ def _exact_lengths(graph: DataFrame, n: int) -> tuple[DataFrame, int, int]:
 def path_measures(edges: DataFrame, state_rows: int = 50_000_000) -> DataFrame:
     """(nodo_id, betweenness, closeness) over all shortest paths, with the weight as the length of an edge.
 
-    Lengths are compared exactly, see `_exact_lengths`; negative weights raise. Every node is a source. Sources are
-    worked off in batches of about `state_rows` (source, node) rows, so the state does not grow with the square of the
-    graph. Betweenness is normalised by 1/((n-1)(n-2)); closeness is scaled by the share of nodes reached.
+    Lengths are compared exactly, see `_exact_lengths`; negative weights raise. The graph is split at its articulation
+    points (`Blocks`), bridges and trees included, and paths are found inside blocks only, with every node of a block
+    standing for the nodes behind it: the state is the sum of the squares of the blocks' sizes, not the square of the graph. Sources
+    are worked off in batches of about `state_rows` (source, node) rows. Betweenness is normalised by 1/((n-1)(n-2));
+    closeness is scaled by the share of nodes reached.
+
+    * A pair of nodes behind s and t of one block passes v of that block as often as s and t do; pairs in different blocks
+      at v all pass it.
+    * With A(v) the sum of distances from v to all of a block's nodes, times the nodes behind them, two nodes of a block
+      differ in their sums of all distances by the difference of their A.
     """
     graph = cut(undirected(edges))
     # Nodes get short numbers once; the written table keeps them stable.
@@ -157,11 +165,21 @@ def path_measures(edges: DataFrame, state_rows: int = 50_000_000) -> DataFrame:
     lengths, unit, factor = _exact_lengths(graph, n)
     number = lambda end: nodes.select(F.col("nodo_id").alias(end), F.col("nodo").alias(f"{end}_"))
     lengths = lengths.filter("a <> b").join(number("a"), "a").join(number("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"), "w")
-    arcs = cut(both_ways(lengths, "w"))
-    batches = max(1, math.ceil(n * n / state_rows))
-    central, close = [], []
+    lengths = cut(lengths)
+    parts = Blocks(lengths)
+    # A node has a number of its own in each of its blocks, so that the blocks fall apart.
+    places = cut(parts.members.withColumn("lugar", F.monotonically_increasing_id()))
+    place = lambda end: places.select("bloque", F.col("v").alias(end), F.col("lugar").alias(f"{end}_"))
+    inner = lengths.join(parts.arcs_of, ["a", "b"]).join(place("a"), ["bloque", "a"]).join(place("b"), ["bloque", "b"])
+    arcs = cut(both_ways(inner.select(F.col("a_").alias("a"), F.col("b_").alias("b"), "w"), "w"))
+    squares = places.groupBy("bloque").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+    batches = max(1, math.ceil(squares / state_rows))
+    weight = places.select(F.col("lugar").alias("v"), "detras")
+    top = places.filter("v = cima").select("bloque", F.col("lugar").alias("s"))
+    central, sums, heights = [], [], []
     for batch in range(batches):
-        sources = nodes.filter(F.pmod(F.xxhash64("nodo_id"), F.lit(batches)) == batch) if batches > 1 else nodes
+        sources = places.select(F.col("lugar").alias("nodo"))
+        sources = sources.filter(F.pmod(F.xxhash64("nodo"), F.lit(batches)) == batch) if batches > 1 else sources
         distance = _shortest(arcs, sources)
         from_u = distance.withColumnsRenamed({"v": "u", "d": "du"})
         # An arc longer than the distance of its ends is on no shortest path from anywhere; a full batch knows all ends.
@@ -171,24 +189,37 @@ def path_measures(edges: DataFrame, state_rows: int = 50_000_000) -> DataFrame:
         )
         origin = sources.select(F.col("nodo").alias("s"), F.col("nodo").alias("v"), F.lit(1.0).alias("valor"))
         paths = cut(_spread(steps, origin, "u", "v"))
-        # Carrying 1/paths backwards sums, per node, the share of the paths to everything behind it.
-        share = paths.select("s", "v", (1 / F.col("valor")).alias("valor"))
+        # Carrying weight/paths backwards sums, per node, the share of the paths to everything behind it.
+        share = paths.join(weight, "v").select("s", "v", (F.col("detras") / F.col("valor")).alias("valor"))
         beyond = _spread(steps, share, "v", "u")
-        passing = paths.withColumnRenamed("valor", "caminos").join(beyond, ["s", "v"]).filter("s <> v")
-        central.append(cut(
-            passing.groupBy(F.col("v").alias("nodo")).agg(F.sum(F.col("caminos") * F.col("valor") - 1).alias("pasos"))
-        ))
-        real = F.floor(F.col("d") / factor) if factor > 1 else F.col("d")
-        close.append(cut(
-            distance.groupBy(F.col("s").alias("nodo"))
-            .agg((F.sum(real.cast("decimal(38,0)")).cast("double") / unit).alias("total"), (F.count("*") - 1).alias("otros"))
-        ))
+        passing = paths.withColumnRenamed("valor", "caminos").join(beyond, ["s", "v"]).filter("s <> v").join(weight, "v")
+        passing = passing.join(weight.select(F.col("v").alias("s"), F.col("detras").alias("desde")), "s")
+        # What is left of a node's own weight by rounding alone does not count as passing.
+        more = F.col("caminos") * F.col("valor") - F.col("detras")
+        more = F.when(more > 1e-9 * F.col("detras"), more).otherwise(0.0)
+        central.append(cut(passing.groupBy(F.col("v").alias("lugar")).agg(F.sum(F.col("desde") * more).alias("pasos"))))
+        real = (F.floor(F.col("d") / factor) if factor > 1 else F.col("d")).cast("decimal(38,0)")
+        sums.append(cut(distance.join(weight, "v").groupBy(F.col("s").alias("lugar")).agg(
+            F.sum((real * F.col("detras")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("suma"))))
+        heights.append(cut(distance.join(top, "s").select(F.col("v").alias("lugar"), real.alias("altura"))))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    passed = reduce(DataFrame.unionByName, central).groupBy("nodo").agg(F.sum("pasos").alias("pasos"))
-    reached = reduce(DataFrame.unionByName, close)
-    return nodes.join(passed, "nodo", "left").join(reached, "nodo", "left").select(
+    inside = reduce(DataFrame.unionByName, central).join(places, "lugar").groupBy("v").agg(F.sum("pasos").alias("dentro"))
+    others = F.col("total") - F.col("detras")
+    across = places.join(parts.nodes.select("v", "total"), "v").groupBy("v").agg(
+        (F.first("total") - 1).alias("otros"), F.sum(others.cast("double") * others).alias("cuadrados"))
+    across = across.withColumn("entre", F.col("otros").cast("double") * F.col("otros") - F.col("cuadrados"))
+    # Sums of distances: a root's from the heights of all nodes, the others by the differences on the way up.
+    measured = places.join(reduce(DataFrame.unionByName, sums), "lugar").join(reduce(DataFrame.unionByName, heights), "lugar")
+    tops = measured.filter("v = cima").select("bloque", F.col("suma").alias("suma_cima"))
+    steps_up = measured.filter("v <> cima").join(tops, "bloque").select("v", (F.col("suma") - F.col("suma_cima")).cast("decimal(38,0)").alias("mas"), "altura")
+    ways = cut(parts.along_up(cut(steps_up), "mas", "altura"))
+    ways = ways.join(parts.nodes.select("v", "raiz"), "v")
+    root = ways.groupBy("raiz").agg(F.sum("altura").cast("decimal(38,0)").alias("suma_raiz"))
+    total = ways.join(root, "raiz").select("v", ((F.col("suma_raiz") + F.col("mas")).cast("double") / unit).alias("total"))
+    found = across.select("v", "otros", "entre").join(inside, "v", "left").join(total, "v").withColumnRenamed("v", "nodo")
+    return nodes.join(found, "nodo", "left").select(
         "nodo_id",
-        (F.greatest(F.coalesce("pasos", F.lit(0.0)), F.lit(0.0)) * scale).alias("betweenness"),
+        (F.greatest(F.coalesce("entre", F.lit(0.0)) + F.coalesce("dentro", F.lit(0.0)), F.lit(0.0)) * scale).alias("betweenness"),
         F.when(F.col("total") > 0, F.col("otros") / F.col("total") * F.col("otros") / max(n - 1, 1)).otherwise(0.0)
         .alias("closeness"),
     )

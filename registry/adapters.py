@@ -318,8 +318,8 @@ SQL = {
 }
 
 
-def with_tables(names: str, body: str, **more: str) -> str:
-    """`body` preceded by the named tables and, in order, the extra ones given as SQL."""
+def with_tables(names: str, body: str, kept: str = "", **more: str) -> str:
+    """`body` preceded by the named tables and, in order, the extra ones given as SQL; those in `kept` are worked out once."""
     ordered: list[str] = []
 
     def add(name: str) -> None:
@@ -330,7 +330,7 @@ def with_tables(names: str, body: str, **more: str) -> str:
 
     for name in names.split():
         add(name)
-    parts = [f"{n} AS ({SQL[n][1]})" for n in ordered] + [f"{n} AS ({sql})" for n, sql in more.items()]
+    parts = [f"{n} AS ({SQL[n][1]})" for n in ordered] + [f"{n} AS {'MATERIALIZED ' if n in kept.split() else ''}({sql})" for n, sql in more.items()]
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 

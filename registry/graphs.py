@@ -63,11 +63,6 @@ def pagerank(t: Tables) -> DataFrame:
     return round_columns(graph.pagerank(awards(t)), 9, "pagerank")
 
 
-@query()
-def betweenness(t: Tables) -> DataFrame:
-    return round_columns(graph.betweenness(awards(t), top_n=None), 9, "betweenness")
-
-
 # Amounts are whole cents, so lengths add up exactly. Only what got shorter is carried on.
 REACH = dict(
     lengths="SELECT u, v, CAST(round(w * 100) AS BIGINT) AS w FROM k",
@@ -79,6 +74,29 @@ REACH = dict(
 )
 
 
+# Paths of every source counted layer by layer along the steps of shortest paths, then their shares carried back.
+BETWEEN = dict(
+    useful="SELECT u, l.v, w FROM lengths l JOIN reach r ON r.s = u AND r.v = l.v AND r.d = w",
+    steps="SELECT r.s, r.v AS u, l.v AS v FROM reach r JOIN useful l ON l.u = r.v JOIN reach t ON t.s = r.s AND t.v = l.v AND t.d = r.d + l.w",
+    counted="""WITH RECURSIVE r(i, s, v, n) AS (
+        SELECT 0, s, v, 1::DOUBLE FROM reach WHERE s = v UNION ALL
+        SELECT i + 1, r.s, x.v, sum(n) FROM r JOIN steps x ON x.s = r.s AND x.u = r.v GROUP BY i, r.s, x.v)
+      SELECT s, v, sum(n) AS n FROM r GROUP BY s, v""",
+    behind="""WITH RECURSIVE r(i, s, v, x) AS (
+        SELECT 0, s, v, 1 / n FROM counted UNION ALL
+        SELECT i + 1, r.s, t.u, sum(x) FROM r JOIN steps t ON t.s = r.s AND t.v = r.v GROUP BY i, r.s, t.u)
+      SELECT s, v, sum(x) AS x FROM r GROUP BY s, v""",
+    passed="SELECT v, sum(CASE WHEN s <> v AND n * x - 1 > 1e-9 THEN n * x - 1 ELSE 0 END) AS pasos FROM counted JOIN behind USING (s, v) GROUP BY v",
+    between="SELECT v AS nodo_id, pasos / ((n - 1) * (n - 2.0::DOUBLE)) AS betweenness FROM passed, (SELECT count(DISTINCT u) AS n FROM lengths)",
+)
+KEPT = "reach useful steps counted behind between"
+
+
+@query(with_tables("licitaciones", f"SELECT nodo_id, {R('betweenness', 9)} AS betweenness FROM between", KEPT, g=EDGES, k=ARCS, **REACH, **BETWEEN))
+def betweenness(t: Tables) -> DataFrame:
+    return round_columns(graph.betweenness(awards(t), top_n=None), 9, "betweenness")
+
+
 @query(with_tables("licitaciones", f"""
   SELECT s AS nodo_id, {R("(count(*) - 1) * 1e6 / (sum(d) / 100::DOUBLE) * (count(*) - 1) / (any_value(n) - 1)", 6)} AS closeness_ppm
   FROM reach, (SELECT count(DISTINCT u) AS n FROM lengths) GROUP BY s""", g=EDGES, k=ARCS, **REACH))
@@ -88,11 +106,14 @@ def closeness(t: Tables) -> DataFrame:
     return round_columns(found, 6, "closeness_ppm")
 
 
-@query()
+@query(with_tables("licitaciones", f"""
+  SELECT nodo_id, {R('betweenness', 9)} AS betweenness, nodo_id AS entidad_id, 'BROKER' AS tipo FROM between
+  WHERE nodo_id LIKE 'EMP-%' AND (nodo_id LIKE '%2' OR nodo_id LIKE '%7') AND betweenness > (SELECT median(betweenness) FROM between)""",
+    KEPT, g=EDGES, k=ARCS, **REACH, **BETWEEN))
 def brokers(t: Tables) -> DataFrame:
     kinds = t.licitaciones().filter("proveedor IS NOT NULL").select(F.col("proveedor").alias("entidad_id")).distinct()
     kind = F.when(F.col("entidad_id").endswith("7") | F.col("entidad_id").endswith("2"), "BROKER").otherwise("EMPRESA")
-    return graph.brokers(awards(t), kinds.withColumn("tipo", kind))
+    return round_columns(graph.brokers(awards(t), kinds.withColumn("tipo", kind)), 9, "betweenness")
 
 
 @query()

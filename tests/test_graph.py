@@ -4,7 +4,7 @@ from fractions import Fraction
 
 import pytest
 
-from lictor.operators import entities, graph
+from lictor.operators import blocks, entities, graph
 
 EDGE = "origen_id string, destino_id string, peso double"
 
@@ -60,6 +60,67 @@ def test_paths_against_brute_force(table, rows, kind):
         assert r["closeness"] == pytest.approx(others / total * others / (n - 1) if total > 1e-20 else 0.0)
 
 
+def knotted(rng):
+    """Cycles and full graphs hung on each other and on trees, in two components."""
+    edges, nodes = set(), ["A"]
+    for letters in ("BCD", "EFG", "H", "IJ"):
+        ring = [rng.choice(nodes), *letters]
+        full = rng.random() < 0.5
+        edges |= {(a, b) for i, a in enumerate(ring) for j, b in enumerate(ring) if i < j and (full or j == i + 1 or (i, j) == (0, len(ring) - 1))}
+        nodes += letters
+    return [(a, b, float(rng.randint(0, 2))) for a, b in sorted(edges | {("X", "Y"), ("Y", "Z")})]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_against_brute_force(table, rows, seed):
+    edges = knotted(random.Random(seed))
+    near, best = shortest_paths([(a, b, Fraction(w) or Fraction(1, 10**30)) for a, b, w in edges])
+    n = len(near)
+    between = dict.fromkeys(near, 0.0)
+    for (s, t), (_, paths) in best.items():
+        for v in near:
+            if v not in (s, t):
+                between[v] += sum(v in p for p in paths) / len(paths) / ((n - 1) * (n - 2))
+    for r in rows(graph.path_measures(table(EDGE, *edges, ("Q", "Q", 1.0))), "nodo_id"):
+        if r["nodo_id"] == "Q":
+            assert (r["betweenness"], r["closeness"]) == (0.0, 0.0)
+            continue
+        total = sum(float(d // 1) for (s, _), (d, _) in best.items() if s == r["nodo_id"])
+        others = sum(s == r["nodo_id"] != t for s, t in best)
+        assert r["betweenness"] * n * (n - 1) == pytest.approx(between[r["nodo_id"]] * (n - 1) * (n - 2), abs=1e-9)
+        assert r["closeness"] == pytest.approx(others / total * others / n if total else 0.0)
+
+
+def reached(near, start, without):
+    found, todo = {start}, [start]
+    while todo:
+        for v in near[todo.pop()]:
+            if v not in found and v != without:
+                found.add(v)
+                todo.append(v)
+    return found
+
+
+def test_blocks_end_at_articulation_points(table, rows):
+    edges = [(a, b) for a, b, _ in knotted(random.Random(5))]
+    number = {v: i for i, v in enumerate(sorted({v for e in edges for v in e}))}
+    near = {}
+    for a, b in edges:
+        near.setdefault(number[a], set()).add(number[b])
+        near.setdefault(number[b], set()).add(number[a])
+    found = blocks.Blocks(table("a long, b long", *[tuple(sorted((number[a], number[b]))) for a, b in edges]))
+    block_of = {(r["a"], r["b"]): r["bloque"] for r in rows(found.arcs_of, "a", "b")}
+    for one, two in itertools.combinations(block_of, 2):
+        # Two edges are in one block unless a single node parts an end of the one from an end of the other.
+        parted = any(
+            b not in reached(near, a, cut) for cut in near for a in one if a != cut for b in two if b != cut)
+        assert (block_of[one] == block_of[two]) == (not parted), (one, two)
+    for r in rows(found.members, "bloque", "v"):
+        inside = {v for e, k in block_of.items() if k == r["bloque"] for v in e} - {r["v"]}
+        beyond = set().union(*(reached(near, v, r["v"]) for v in inside))
+        assert r["detras"] == len(reached(near, r["v"], None)) - len(beyond)
+
+
 def test_long_chains_are_finished_and_negative_weights_raise(table, rows):
     chain = table(EDGE, *[(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(11)])
     ends = rows(graph.path_measures(chain), "nodo_id")[0]
