@@ -357,15 +357,17 @@ def network_score(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("_s", spans).withColumn("network_score", score).drop("_s")
 
 
+def entity_measures(edges: DataFrame, state_rows: int = 50_000_000) -> DataFrame:
+    """Degree, betweenness, closeness, PageRank and network_score of every node (nodo_id)."""
+    edges = cut(edges)
+    metrics = cut(path_measures(edges, state_rows)).join(degree(edges), "nodo_id").join(pagerank(edges), "nodo_id")
+    return network_score(metrics)
+
+
 def entity_metrics(edges: DataFrame, state_rows: int = 50_000_000) -> DataFrame:
-    """Degree, betweenness, closeness, PageRank, community and network_score of every entity."""
+    """The measures of every entity, its community and its network_score."""
     edges = cut(edges)
-    metrics = (
-        cut(path_measures(edges, state_rows))
-        .join(degree(edges), "nodo_id")
-        .join(pagerank(edges), "nodo_id")
-        .join(communities(edges), "nodo_id")
-    )
-    return network_score(metrics).withColumnRenamed("nodo_id", "entity").select(
+    metrics = cut(entity_measures(edges, state_rows)).join(communities(edges), "nodo_id")
+    return metrics.withColumnRenamed("nodo_id", "entity").select(
         "entity", "degree", "betweenness", "closeness", "pagerank", "comunidad", "network_score"
     )

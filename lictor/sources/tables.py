@@ -113,20 +113,18 @@ def harmonise_votes(df: DataFrame) -> DataFrame:
 
 
 def _headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Path -> its first line, of the files that exist and are not empty; one scan for all files."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    there = {}
+    """Path -> its first line, of the files that exist and are not empty. Only the first bytes of each file are read."""
+    java, headers = spark._jvm.java, {}
     for path in paths:
-        place = folder(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
         system = place.getFileSystem(spark._jsc.hadoopConfiguration())
         if system.exists(place):
-            there[system.makeQualified(place).toUri().getPath()] = path
-    if not there:
-        return {}
-    lines = spark.read.text(list(there.values())).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
-    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("header")).collect()
-    decoded = {spark._jvm.java.net.URI(r.file_path).getPath(): r.header for r in first}
-    return {there[p]: header for p, header in decoded.items() if p in there}
+            reader = java.io.BufferedReader(java.io.InputStreamReader(system.open(place), "UTF-8"))
+            header = reader.readLine()
+            reader.close()
+            if header is not None:
+                headers[path] = header
+    return headers
 
 
 def read_votes(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:

@@ -135,6 +135,29 @@ def communities_properties(t: Tables) -> DataFrame:
     )
 
 
+# The four measures scaled over the graph, and their mean.
+MEASURES = dict(
+    RANKS, **REACH, **BETWEEN,
+    measures="""SELECT nodo_id, degree, betweenness, closeness, pagerank FROM between JOIN (SELECT u AS nodo_id, count(*) AS degree FROM k GROUP BY 1) USING (nodo_id)
+      JOIN (SELECT s AS nodo_id, (count(*) - 1) / (sum(d) / 100::DOUBLE) * (count(*) - 1) / (any_value(n) - 1) AS closeness
+            FROM reach, (SELECT count(DISTINCT u) AS n FROM lengths) GROUP BY s) USING (nodo_id)
+      JOIN (SELECT n AS nodo_id, x AS pagerank FROM rounds JOIN settled USING (i)) USING (nodo_id)""",
+    scores="SELECT nodo_id, " + R("100 / 4::DOUBLE * (" + " + ".join(
+        f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())::DOUBLE ELSE 0 END"
+        for c in ("degree", "betweenness", "closeness", "pagerank")) + ")", 2) + " AS network_score FROM measures",
+)
+MEASURES_KEPT = f"{KEPT} rounds measures scores"
+
+
+@query(with_tables("licitaciones", f"""
+  SELECT nodo_id, degree, {R('betweenness', 9)} AS betweenness, {R('closeness * 1e6', 6)} AS closeness_ppm, {R('pagerank', 9)} AS pagerank, network_score
+  FROM measures JOIN scores USING (nodo_id)""", MEASURES_KEPT, g=EDGES, k=ARCS, **MEASURES))
+def network_scores(t: Tables) -> DataFrame:
+    """All measures of the network but the communities, and the score that the risk index takes from them."""
+    found = graph.entity_measures(awards(t)).withColumn("closeness_ppm", F.col("closeness") * 1e6).drop("closeness")
+    return round_columns(round_columns(found, 9, "betweenness", "pagerank"), 6, "closeness_ppm")
+
+
 @query()
 def network_metrics(t: Tables) -> DataFrame:
     return graph.entity_metrics(awards(t))

@@ -13,6 +13,7 @@ from lictor.plans.report import Report
 from lictor.session import cut
 from registry.adapters import Tables, sql_round, with_tables
 from registry.base import as_text, query, round_columns
+from registry.graphs import ARCS, EDGES, MEASURES, MEASURES_KEPT
 
 R = sql_round
 
@@ -486,6 +487,93 @@ def alerts(t: Tables) -> DataFrame:
     return risk.alerts(_patterns(t), _risk(t))
 
 
+# The index on the real network score, which has SQL; the anomaly part is left out here and the weights are renormalised.
+NETWORK_SCORES = dict(g=EDGES, k=ARCS, **MEASURES)
+WHOLE = dict(
+    {k: v for k, v in PARTS.items()}, o=OPACITY, inst=_institutional_sql(COUNTRY), **NETWORK_SCORES,
+    i=f"""SELECT licitacion_id, organismo, proveedor, CAST(NULL AS DOUBLE) AS anomaly_score, opacidad_score, concentracion_score, network_score,
+               score_patrones::DOUBLE AS score_patrones, institucional_score,
+               {R("""greatest(0, least(100, (coalesce(0.2::DOUBLE * concentracion_score, 0) + coalesce(0.2::DOUBLE * network_score, 0)
+                  + 0.15::DOUBLE * score_patrones + 0.15::DOUBLE * opacidad_score + 0.1::DOUBLE * institucional_score)
+                  / (0.4::DOUBLE + CASE WHEN concentracion_score IS NULL THEN 0 ELSE 0.2 END + CASE WHEN network_score IS NULL THEN 0 ELSE 0.2 END)::DOUBLE))""", 2)} AS ircs
+          FROM (SELECT licitacion_id, organismo, proveedor, least(hhi / 100, 100) AS concentracion_score FROM licitaciones LEFT JOIN h USING (organismo))
+          LEFT JOIN (SELECT nodo_id AS proveedor, network_score FROM scores) USING (proveedor) CROSS JOIN inst
+          JOIN o USING (licitacion_id) JOIN (SELECT licitacion_id, {POINTS} AS score_patrones FROM f) USING (licitacion_id)""",
+)
+
+
+def measured_network(tenders: DataFrame) -> DataFrame:
+    return graph.entity_measures(graph.award_edges(tenders)).withColumnRenamed("nodo_id", "entity")
+
+
+@query(with_tables(RISK_TABLES, f"SELECT *, {LEVEL} AS nivel_ircs FROM i", MEASURES_KEPT, **WHOLE))
+def risk_index_network(t: Tables) -> DataFrame:
+    """The risk index with degree, betweenness, closeness and PageRank behind its network score."""
+    tenders = t.stored("licitaciones")
+    found = risk.risk_index(tenders, finance.hhi(tenders), measured_network(tenders), _patterns(t), None, t.indicadores(), COUNTRY)
+    return found.drop("ircs_componentes")
+
+
+def whole_report(t: Tables) -> Report:
+    tables = {"ofertas": t.stored("ofertas"), "licitaciones": t.stored("licitaciones"), "adendas": t.stored("adendas"), "entidades": t.entidades()}
+    return Report(t.spark, tables)
+
+
+@query(with_tables("licitaciones", "SELECT count(*) AS filas, 0 AS sin_parte, 0 AS otra_suma, 0 AS otro_nivel, 0 AS fuera FROM licitaciones"))
+def risk_index_properties(t: Tables) -> DataFrame:
+    """The report's own index on all six parts, forest, neighbours and communities included: its weighted mean and level hold."""
+    found = whole_report(t).riesgo_ircs
+    given = {name: F.col(f"ircs_componentes.{name}") for name in risk.WEIGHTS}
+    weight = sum((F.when(v.isNotNull(), F.lit(risk.WEIGHTS[k])).otherwise(0.0) for k, v in given.items()), F.lit(0.0))
+    mean = sum((F.coalesce(v * risk.WEIGHTS[k], F.lit(0.0)) for k, v in given.items()), F.lit(0.0)) / weight
+    level = F.when(F.col("ircs") >= 75, "ALTO").when(F.col("ircs") >= 50, "MEDIO").otherwise("BAJO")
+    count = lambda wrong, name: F.count_if(F.coalesce(wrong, F.lit(True))).cast("int").alias(name)
+    supplied = F.col("proveedor").isNotNull()
+    return found.agg(
+        F.count("*").alias("filas"),
+        count(given["anomalias"].isNull() | given["patrones"].isNull() | (supplied & (given["redes"].isNull() | given["concentracion"].isNull())), "sin_parte"),
+        count(F.abs(F.col("ircs") - mean) > 0.00501, "otra_suma"), count(F.col("nivel_ircs") != level, "otro_nivel"),
+        count(~F.col("ircs").between(0, 100), "fuera"),
+    )
+
+
+def _top_share(n: int) -> str:
+    return R(f"CAST(sum(gasto) FILTER (WHERE puesto <= {n}) AS DOUBLE) / any_value(total) * 100", 2)
+
+
+TOPS = f"""SELECT organismo, {_top_share(3)} AS t3, {_top_share(5)} AS t5
+  FROM (SELECT *, row_number() OVER (PARTITION BY organismo ORDER BY gasto DESC NULLS LAST, proveedor) AS puesto FROM gastos WHERE proveedor IS NOT NULL)
+  JOIN (SELECT organismo, CAST(sum(gasto) AS DOUBLE) AS total FROM gastos GROUP BY ALL HAVING sum(gasto) > 0) USING (organismo) GROUP BY organismo"""
+# Per block of the report its rows and the sum of a figure that stands for its content.
+FIGURES = {
+    "co_presentismo": "sum(co_presentismo)", "asimetria_victorias": "sum(compartidas)", "hhi_por_organismo": "sum(hhi)",
+    "low_balling": "sum(monto_final_estimado)", "concentracion_top3": "sum(concentracion_top3_pct)", "concentracion_top5": "sum(concentracion_top5_pct)",
+    "redes": "sum(network_score)", "patrones": "sum(score_patrones)",
+    "anomalias": "count_if(nivel IN ('alto', 'medio', 'bajo') AND anomaly_score BETWEEN 0 AND 100)",
+    "riesgo_ircs": "sum(opacidad_score + score_patrones + coalesce(concentracion_score, 0) + coalesce(network_score, 0))",
+}
+
+
+@query(with_tables("ofertas licitaciones adendas entidades", f"""
+  SELECT bloque, filas, {R("cifra", 3)} AS cifra FROM (
+    SELECT 'co_presentismo' AS bloque, count(*) AS filas, sum(n)::DOUBLE AS cifra FROM p UNION ALL
+    SELECT 'asimetria_victorias', count(*), sum(n)::DOUBLE FROM p WHERE n >= 3 UNION ALL
+    SELECT 'hhi_por_organismo', count(*), sum(hhi)::DOUBLE FROM h UNION ALL
+    SELECT 'low_balling', (SELECT count(*) FROM licitaciones), (SELECT sum(final) FROM d)::DOUBLE UNION ALL
+    SELECT 'concentracion_top3', count(*), sum(t3)::DOUBLE FROM tops UNION ALL SELECT 'concentracion_top5', count(*), sum(t5)::DOUBLE FROM tops UNION ALL
+    SELECT 'redes', count(*), sum(network_score)::DOUBLE FROM scores UNION ALL
+    SELECT 'patrones', count(*), sum(score_patrones)::DOUBLE FROM i UNION ALL
+    SELECT 'anomalias', count(*), count(*)::DOUBLE FROM licitaciones UNION ALL
+    SELECT 'riesgo_ircs', count(*), sum(opacidad_score + score_patrones + coalesce(concentracion_score, 0) + coalesce(network_score, 0))::DOUBLE FROM i)""",
+    MEASURES_KEPT, p=SHARED, **{k: v for k, v in WHOLE.items() if k not in ("i", "inst")},
+    i=WHOLE["i"].replace("CROSS JOIN inst", "CROSS JOIN (SELECT 50.0 AS institucional_score)"), tops=TOPS))
+def report_contents(t: Tables) -> DataFrame:
+    """All ten blocks of the report: their rows and a figure of their content."""
+    blocks = whole_report(t).blocks()
+    rows = [df.agg(F.lit(name).alias("bloque"), F.count("*").alias("filas"), F.expr(FIGURES[name]).cast("double").alias("cifra")) for name, df in blocks.items()]
+    return round_columns(reduce(DataFrame.unionByName, rows), 3, "cifra")
+
+
 REPORTED = ("co_presentismo", "asimetria_victorias", "hhi_por_organismo", "low_balling", "concentracion_top3", "concentracion_top5", "patrones")
 
 
