@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lictor.functions.numeric import exact_medians, rounded, scale_between, statistics
-from lictor.operators.blocks import Blocks
+from lictor.operators.blocks import Blocks, components
 from lictor.session import Rounds, cut
 
 
@@ -257,13 +257,29 @@ def _modularity(arcs: DataFrame, communities: DataFrame) -> DataFrame:
     )
 
 
+def _connected_parts(arcs: DataFrame, level: DataFrame) -> DataFrame:
+    """The partition (nodo_id, comunidad) with every community split into its connected pieces, named by a node of each."""
+    of = lambda end: level.select(F.col("nodo_id").alias(end), F.col("comunidad").alias(f"c{end}"))
+    inside = arcs.filter("u < v").join(of("u"), "u").join(of("v"), "v").filter("cu = cv")
+    pieces = components(inside.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("v").alias("nodo_id"), "raiz")
+    return level.select("nodo_id").join(pieces, "nodo_id", "left").select("nodo_id", F.coalesce("raiz", "nodo_id").alias("comunidad"))
+
+
+def connected_communities(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """(comunidad, piezas): in how many connected pieces each community of (nodo_id, comunidad) lies."""
+    arcs = both_ways(undirected(edges))
+    pieces = _connected_parts(arcs, communities).withColumnRenamed("comunidad", "pieza")
+    return communities.join(pieces, "nodo_id").groupBy("comunidad").agg(F.countDistinct("pieza").alias("piezas"))
+
+
 def communities(edges: DataFrame, min_gain: float = 1e-6) -> DataFrame:
     """(nodo_id, comunidad) by repeated local moves and contraction, named by the smallest node of each community.
 
-    In each round half of the nodes, chosen by hash, may move to the neighbouring community with the best gain in
+    In each round another third of the nodes, chosen by hash, may move to the neighbouring community with the best gain in
     modularity (ties to the smallest), judged against the last round's state; the best partition seen is kept. A level
-    ends after two rounds, one per half, without a better partition, the whole after a level that gains nothing: as
-    modularity cannot pass 1, both ends are reached.
+    ends after four rounds without a better partition, the whole after a level that gains nothing: as
+    modularity cannot pass 1, both ends are reached. Before a level is contracted, a community that its moves have left in
+    several pieces is split into them, which never lowers modularity; so every community is connected.
     """
     graph = undirected(edges)
     arcs = cut(both_ways(graph, F.when(F.col("a") == F.col("b"), F.col("peso") * 2).otherwise(F.col("peso"))))
@@ -295,7 +311,7 @@ def communities(edges: DataFrame, min_gain: float = 1e-6) -> DataFrame:
             chosen = options.groupBy("nodo_id").agg(
                 F.min(F.struct((-gain).alias("menos"), "destino")).alias("mejor"), F.max(F.when(stays, gain)).alias("actual")
             )
-            may_move = F.pmod(F.xxhash64("nodo_id"), F.lit(2)) == turn % 2
+            may_move = F.pmod(F.xxhash64("nodo_id", F.lit(turn)), F.lit(3)) == 0
             moves = may_move & (-F.col("mejor.menos") > F.col("actual") + min_gain)
             level = cut(level.withColumnRenamed("comunidad", "antes").join(chosen, "nodo_id").select(
                 "nodo_id", "k", F.when(moves, F.col("mejor.destino")).otherwise(F.col("antes")).alias("comunidad")
@@ -304,10 +320,11 @@ def communities(edges: DataFrame, min_gain: float = 1e-6) -> DataFrame:
             idle = 0 if value > best_value + min_gain else idle + 1
             if value > best_value:
                 best, best_value = level, value
-            if idle == 2:
+            if idle == 4:
                 break
         if best_value - start_value < min_gain:
             break
+        best = cut(_connected_parts(arcs, best))
         merged = best.select(F.col("nodo_id").alias("comunidad"), F.col("comunidad").alias("mayor"))
         belongs = cut(belongs.join(merged, "comunidad").select("nodo_id", F.col("mayor").alias("comunidad")))
         end = lambda name: best.select(F.col("nodo_id").alias(name), F.col("comunidad").alias(f"c{name}"))

@@ -121,9 +121,9 @@ def communities(t: Tables) -> DataFrame:
     return graph.communities(awards(t))
 
 
-@query(with_tables("licitaciones", "SELECT count(DISTINCT u) AS nodos, count(DISTINCT u) AS filas, true AS nombrada_por_un_nodo, true AS mejor_que_sola FROM k", g=EDGES, k=ARCS))
+@query(with_tables("licitaciones", "SELECT count(DISTINCT u) AS nodos, count(DISTINCT u) AS filas, true AS nombrada_por_un_nodo, true AS mejor_que_sola, true AS conexas FROM k", g=EDGES, k=ARCS))
 def communities_properties(t: Tables) -> DataFrame:
-    """Every node in one community, named by its smallest member; modularity above that of single nodes."""
+    """Every node in one connected community, named by its smallest member; modularity above that of single nodes."""
     edges = cut(awards(t))
     found = cut(graph.communities(edges))
     alone = graph.modularity(edges, found.withColumn("comunidad", F.col("nodo_id"))).first()[0]
@@ -132,6 +132,7 @@ def communities_properties(t: Tables) -> DataFrame:
         F.countDistinct("nodo_id").alias("nodos"), F.count("*").alias("filas"),
         F.lit(named.filter("NOT propia").isEmpty()).alias("nombrada_por_un_nodo"),
         F.lit(graph.modularity(edges, found).first()[0] > alone).alias("mejor_que_sola"),
+        F.lit(graph.connected_communities(edges, found).filter("piezas > 1").isEmpty()).alias("conexas"),
     )
 
 

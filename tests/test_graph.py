@@ -210,3 +210,57 @@ def test_groups_are_transitive(table, rows):
     random.Random(1).shuffle(chain)
     found = {r["entidad_id"]: r["grupo_real"] for r in rows(entities.group_entities(table("entidad_id string, entidad_relacionada_id string", *chain)), "entidad_id")}
     assert found == {**{f"n{i:02}": "n00" for i in range(21)}, "y": "y", "z": "y", "q": "q"}
+
+
+def sequential_louvain(edges):
+    """Modularity of the plain method: nodes in order, best neighbouring community, contraction, until nothing gains."""
+    whole = 2 * sum(w for _, _, w in edges)
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    loops, members = dict.fromkeys(near, 0.0), {v: [v] for v in near}
+    while True:
+        degree = {v: sum(near[v].values()) + loops[v] for v in near}
+        of, total, moved = {v: v for v in near}, dict(degree), False
+        while True:
+            again = False
+            for v in near:
+                links = {of[v]: 0.0}
+                for u, w in near[v].items():
+                    links[of[u]] = links.get(of[u], 0.0) + w
+                total[of[v]] -= degree[v]
+                best = max(links, key=lambda c: (links[c] - total[c] * degree[v] / whole, c == of[v]))
+                total[best] += degree[v]
+                again |= best != of[v]
+                of[v] = best
+            moved |= again
+            if not again:
+                break
+        if not moved:
+            return sum(loops[v] / whole - (degree[v] / whole) ** 2 for v in near)
+        parts = {}
+        for v, c in of.items():
+            parts.setdefault(c, []).append(v)
+        inside = {c: sum(loops[v] + sum(w for u, w in near[v].items() if of[u] == c) for v in held) for c, held in parts.items()}
+        merged = {c: {} for c in parts}
+        for v in near:
+            for u, w in near[v].items():
+                if of[u] != of[v]:
+                    merged[of[v]][of[u]] = merged[of[v]].get(of[u], 0.0) + w
+        near, loops = merged, inside
+
+
+@pytest.mark.parametrize("seed", [0])
+def test_communities_are_connected_and_as_good_as_one_by_one(table, rows, seed):
+    rng = random.Random(seed)
+    edges = [(f"n{a:02}", f"n{b:02}", float(rng.randint(1, 3))) for a, b in itertools.combinations(range(36), 2) if rng.random() < (0.6 if a // 9 == b // 9 else 0.04)]
+    given = table(EDGE, *edges)
+    found = graph.communities(given).cache()
+    assert {r["piezas"] for r in rows(graph.connected_communities(given, found), "comunidad")} == {1}
+    assert graph.modularity(given, found).first()[0] >= 0.99 * sequential_louvain(edges)
+
+
+def test_a_community_in_pieces_is_split(table, rows):
+    edges = table(EDGE, ("A", "B", 1.0), ("C", "D", 1.0), ("B", "X", 1.0), ("C", "X", 1.0))
+    parts = table("nodo_id string, comunidad string", *[(v, "A") for v in "ABCD"], ("X", "X"))
+    assert {r["comunidad"]: r["piezas"] for r in rows(graph.connected_communities(edges, parts), "comunidad")} == {"A": 2, "X": 1}
