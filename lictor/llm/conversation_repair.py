@@ -15,8 +15,8 @@ never exceeds the true cost and few bounds are tried. The first accepting path u
 cheapest one, and of several the least in ASCII. As the turns alternate, an audit fixes every role.
 
 Rows are read in the order turn (nulls first), role, text, sorted by Spark and streamed: one conversation is one task's
-stream, for an audit is sequential in its turns. The search holds one byte and some small numbers per row of the
-conversation at hand, and 16 bytes per row to know duplicates, never its texts: they stream by a second time to be
+stream, for an audit is sequential in its turns. The search holds an initial, a fault, a 16-byte digest and some numbers per
+row of the conversation at hand, some hundreds of bytes in all, never its texts: they stream by a second time to be
 repaired.
 
 Nulls and odd rows: a null role or text is one space, so a null text is blank. A null turn stands first and opens no gap.
