@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lictor.functions.numeric import MONEY, ratio
@@ -24,14 +24,18 @@ class Tables:
             self.written[name] = cut(getattr(self, name)())
         return self.written[name]
 
+    def lines(self, *columns: str) -> DataFrame:
+        """Order lines dealt by their order, so that all that is worked out per order needs no further shuffle."""
+        return self.raw("lineitem").select("l_orderkey", *columns).repartition("l_orderkey")
+
     def ofertas(self) -> DataFrame:
         bid = F.struct("monto_ofertado", "l_suppkey")
-        bids = self.raw("lineitem").groupBy("l_orderkey", "l_suppkey").agg(
+        bids = self.lines("l_suppkey", "l_extendedprice", "l_quantity").groupBy("l_orderkey", "l_suppkey").agg(
             F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("monto_ofertado"),
             F.sum("l_quantity").alias("cantidad"),
         )
-        best = bids.groupBy("l_orderkey").agg(F.min(bid).alias("mejor"))
-        return bids.join(best, "l_orderkey").select(
+        best = bids.withColumn("mejor", F.min(bid).over(Window.partitionBy("l_orderkey")))
+        return best.filter("l_orderkey IS NOT NULL").select(
             F.col("l_orderkey").alias("licitacion_id"),
             F.concat(F.lit("EMP-"), F.col("l_suppkey")).alias("empresa_id"),
             "monto_ofertado",
@@ -40,17 +44,21 @@ class Tables:
         )
 
     def licitaciones(self, dates: bool = True) -> DataFrame:
-        offers = self.raw("lineitem").groupBy("l_orderkey", "l_suppkey").agg(
-            F.sum(F.col("l_extendedprice").cast(MONEY)).alias("monto")
-        )
+        lines, awarded = self.lines("l_suppkey", "l_extendedprice", *["l_shipdate"] * dates), []
+        if dates:
+            opened = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+            lines = lines.join(opened, "l_orderkey", "left")
+            awarded = [F.min(F.when(F.col("l_shipdate") >= F.col("o_orderdate"), F.col("l_shipdate"))).alias("entregada")]
+        offers = lines.groupBy("l_orderkey", "l_suppkey").agg(F.sum(F.col("l_extendedprice").cast(MONEY)).alias("monto"), *awarded)
+        date = [F.min("entregada").cast("date").alias("fecha_adjudicacion")] if dates else []
         tenders = self.raw("orders").join(
-            offers.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.struct("monto", "l_suppkey")).alias("mejor")),
+            offers.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.struct("monto", "l_suppkey")).alias("mejor"), *date),
             "o_orderkey", "left",
         )
         customers = self.raw("customer").join(
             self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")
         ).select(F.col("c_custkey").alias("o_custkey"), "n_name", "c_mktsegment")
-        found = tenders.join(customers, "o_custkey").select(
+        return tenders.join(customers, "o_custkey").select(
             F.col("o_orderkey").alias("licitacion_id"),
             F.concat(F.lit("ORG-"), F.col("o_custkey")).alias("organismo"),
             F.col("n_name").alias("jurisdiccion"),
@@ -61,16 +69,8 @@ class Tables:
             F.col("o_orderdate").cast("date").alias("fecha_apertura"),
             F.when(F.col("o_orderstatus") != "P", (F.col("o_totalprice").cast(MONEY) * 2).cast(MONEY))
             .alias("presupuesto_oficial"),
+            *["fecha_adjudicacion"] * dates,
         )
-        if not dates:
-            return found
-        opened = self.raw("orders").select(F.col("o_orderkey").alias("licitacion_id"), "o_orderdate")
-        shipped = self.raw("lineitem").select(F.col("l_orderkey").alias("licitacion_id"), "l_shipdate")
-        awards = (
-            shipped.join(opened, "licitacion_id").filter("l_shipdate >= o_orderdate")
-            .groupBy("licitacion_id").agg(F.min("l_shipdate").cast("date").alias("fecha_adjudicacion"))
-        )
-        return found.join(awards, "licitacion_id", "left")
 
     def adendas(self) -> DataFrame:
         growth = F.lit(1) + (F.col("l_tax") - F.col("l_discount") / 2).cast("decimal(6,3)")
