@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lictor.operators import collusion, conduct, finance, judicial, patterns, risk
+from registry.adapters import Tables
 
 TENDER = "licitacion_id string, organismo string, proveedor string, monto_adjudicado double"
 BID = "licitacion_id string, empresa_id string, resultado string"
@@ -174,3 +175,26 @@ def test_patterns_alerts_and_company_view(table, rows):
 
 def test_both_catalogues(spark):
     assert risk.rule_catalogue(spark).count() == 5 and patterns.pattern_catalogue(spark).count() == 8
+
+
+def shuffles(df) -> int:
+    """Exchanges by key in the plan, reused ones included."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+
+
+def test_bids_and_tenders_deal_the_order_lines_once(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert shuffles(t.ofertas()) == 1
+    for tenders in (t.licitaciones(), t.licitaciones(dates=False)):
+        lines = [r for r in plan(tenders).splitlines() if "Relation [" in r and "l_linenumber" in r]
+        assert len(lines) == 1
+
+
+def test_evidence_of_all_fields_goes_through_one_join(table, rows):
+    bids = table("licitacion_id string, empresa_id string", ("L1", "X"), ("L1", "Y"), ("L1", "X"), ("L2", "X"), ("L2", "X"), ("L3", "Y"), ("L3", "Z"))
+    entities = table("entidad_id string, domicilio string, representante_tecnico string",
+                     ("X", "Calle 1", "Ana"), ("Y", " calle 1", ""), ("Z", None, ""), ("X", "Calle 1", "Ana"))
+    found = patterns.shared_evidence(bids, entities, ["domicilio", "representante_tecnico"])
+    assert rows(found, "licitacion_id") == [{"licitacion_id": "L1", "_domicilio": True, "_representante_tecnico": False}]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
