@@ -3,7 +3,9 @@
 A text, with a space in front, is encoded by a byte-level vocabulary (A) and by a piece vocabulary (B). Both give byte
 strings per token, so each token has a byte range.
 
-1. Both tokenisations are made in full. They count only if the joined bytes of each equal the space and the text.
+1. Both tokenisations are made in full. Neither has a token across a space behind a character that is no white space, so
+   a text is encoded by its stretches between such places, and short ones are remembered. (Vocabularies that have such
+   tokens or other rules encode whole texts.) They count only if the joined bytes of each equal the space and the text.
 2. Anchors: token ends that A and B share and after which both go on with a token that begins with a space. They cut the
    document into windows of token ids, mostly words.
 3. A window's alignment depends on its ids alone: the groups between shared ends and the links, which are the pairs of an
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +44,12 @@ from lictor.llm.tables import Scratch, map_arrow, stored
 FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARE, MEMORY = 256, 1 << 21
+#: Stretches of up to LONGEST characters are remembered, at most STRETCHES of them.
+LONGEST, STRETCHES = 48, 1 << 18
+#: New stretches are encoded together up to so many characters.
+TOGETHER = 1 << 15
+#: Before a space that follows a character which is white space by nobody's rules.
+STRETCH = re.compile("(?= )(?<=[^\\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff])")
 #: An id pair is one number: A id * WIDE + B id.
 WIDE = 1 << 31
 
@@ -85,9 +94,60 @@ class Tokenizers:
         self.b = Side([
             bytes([int(piece(i)[3:5], 16)]) if self.pieces.is_byte(i) else piece(i).replace("▁", " ").encode()
             for i in range(self.pieces.get_piece_size())])
+        self.parted = self._parts_at_spaces(given)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _parts_at_spaces(self, given: dict) -> bool:
+        """Whether both sides encode a text stretch by stretch: words parted by the usual rules, no piece across a space."""
+        rules = given.get("pre_tokenizer") or {}
+        plain = given["model"]["type"] == "BPE" and not given.get("normalizer") and rules.get("type") == "ByteLevel" and rules.get("use_regex", True)
+        entries = [t.decode(errors="ignore") for t in self.b.table] + [added["content"] for added in given["added_tokens"]]
+        return plain and not any(STRETCH.search(entry) for entry in entries)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of both tokenizers per text; empty where a tokenizer changes the bytes."""
+        if not self.parted:
+            return self._whole(texts)
+        if len(self.known) > STRETCHES:
+            self.known = {}
+        parts = [STRETCH.split(" " + t) if t else [] for t in texts]
+        new = list({p for own in parts for p in own if p not in self.known})
+        learnt = self._stretches(new)
+        out: list = []
+        for text, own in zip(texts, parts, strict=True):
+            ids = [learnt[p] if p in learnt else self.known[p] for p in own]
+            if None in ids:  # a stretch that does not keep its bytes alone
+                out += self._whole([text])
+            else:
+                out.append(tuple(np.frombuffer(b"".join(i), np.int32) for i in zip(*ids, strict=True)) if ids else self._whole([text])[0])
+        self.known |= {p: i for p, i in learnt.items() if len(p) <= LONGEST}
+        return out
+
+    def _stretches(self, new: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """The packed ids of stretches; None where one alone does not keep its bytes. Many are encoded as one text and parted again."""
+        found: dict[str, tuple[bytes, bytes] | None] = {}
+        plain, held, size = [p for p in new if STRETCH.search(p + " ", len(p)) and "▁" not in p], [], 0
+        for i, part in enumerate(plain):
+            held.append(part)
+            size += len(part)
+            if size < TOGETHER and i + 1 < len(plain):
+                continue
+            ((a, b),) = self._whole(["".join(held)[1:]])
+            ends, cuts = np.cumsum([len(p.encode()) for p in held]), []
+            for ids, side in ((a, self.a), (b, self.b)):
+                at = np.cumsum(side.sizes[ids])
+                if len(ids) and np.isin(ends, at).all():
+                    flat, place = ids.tobytes(), (4 * np.searchsorted(at, ends) + 4).tolist()
+                    cuts.append([flat[s:e] for s, e in zip([0, *place], place, strict=False)])
+            if len(cuts) == 2:
+                found |= dict(zip(held, zip(*cuts, strict=True), strict=True))
+            held, size = [], 0
+        alone = [p for p in new if p not in found]
+        for part, (a, b) in zip(alone, self._whole([p[1:] for p in alone]), strict=True):
+            found[part] = (a.tobytes(), b.tobytes()) if len(a) else None
+        return found
+
+    def _whole(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
         left = self.byte_level.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         for text, a, b in zip(texts, left, self.pieces.encode(texts, num_threads=1), strict=True):

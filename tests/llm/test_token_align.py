@@ -101,3 +101,14 @@ def test_empty_table_repeats_and_null_ids(spark):
     assert align.measured(table.limit(0)).collect() == []
     rows = align.measured(table).collect()
     assert len(rows) == 3 and {r.count_sum for r in rows} == {3 * rows[0].n_links} and {r.doc_id for r in rows} == {None, 1}
+
+
+def test_stretches_are_encoded_once_and_make_the_same_ids(given):
+    draw = random.Random(5)
+    pieces = ["word", "a", "é", "漢字", " ", "  ", "\n", "\t", "▁", "don't", "12,3", "\x00", "　", "\x1c", "😀", "<s>", "ﬁ", "́", "x" * 60]
+    texts = [t for t in TEXTS if t is not None] + [" ".join(draw.choices(pieces, k=9)) + "".join(draw.choices(pieces, k=3)) for _ in range(300)]
+    again = align.Tokenizers(align.FOLDER)
+    for batch in (texts[:100], texts[100:], texts):
+        for ours, whole in zip(again.encode(batch), given._whole(batch), strict=True):
+            assert all(np.array_equal(x, y) for x, y in zip(ours, whole, strict=True))
+    assert again.parted and " word" in again.known and " " + "x" * 60 not in again.known
