@@ -4,7 +4,7 @@ from fractions import Fraction
 
 import pytest
 
-from lictor.operators import blocks, entities, graph
+from lictor.operators import blocks, entities, graph, paths
 
 EDGE = "origen_id string, destino_id string, peso double"
 
@@ -91,6 +91,29 @@ def test_blocks_against_brute_force(table, rows, seed):
         assert r["closeness"] == pytest.approx(others / total * others / n if total else 0.0)
 
 
+@pytest.mark.parametrize("kind", ["ties", "zero", "cents"])
+def test_packed_blocks_measure_as_the_joins_do(table, rows, monkeypatch, kind):
+    rng = random.Random(11)
+    draw, odd = weights(rng, kind), knotted(rng)
+    edges = [(a, b, draw()) for a, b, _ in odd] + [(f"p{a:02}", f"p{b:02}", draw()) for a, b in itertools.combinations(range(14), 2) if rng.random() < 0.4]
+    joined = rows(graph.path_measures(table(EDGE, *edges), packed_from=1000), "nodo_id")
+    # Several tasks a block, slices of a few sources, steps of a few arcs.
+    monkeypatch.setattr(paths, "TASK", 200), monkeypatch.setattr(paths, "SLICE", 100), monkeypatch.setattr(paths, "STEP", 16)
+    packed = rows(graph.path_measures(table(EDGE, *edges), packed_from=2), "nodo_id")
+    for one, two in zip(joined, packed, strict=True):
+        assert one["nodo_id"] == two["nodo_id"]
+        assert (two["betweenness"], two["closeness"]) == pytest.approx((one["betweenness"], one["closeness"]), abs=1e-12)
+
+
+def test_sums_of_long_distances_are_whole(spark):
+    ends = [(0, 1, 2**60 - 1), (1, 2, 1), (2, 0, 2**60 - 1)]
+    arcs = spark.createDataFrame([(7, a, b, w) for x, y, w in ends for a, b in ((x, y), (y, x))], "bloque long, u long, v long, w long")
+    places = spark.createDataFrame([(7, v, 10**9, v == 0) for v in range(3)], "bloque long, lugar long, detras long, es_cima boolean")
+    _, sums, heights = paths.block_measures(arcs, places, 1)
+    assert {r["lugar"]: int(r["suma"]) for r in sums.collect()} == {0: 2 * (2**60 - 1) * 10**9, 1: 2**60 * 10**9, 2: 2**60 * 10**9}
+    assert {r["lugar"]: int(r["altura"]) for r in heights.collect()} == {0: 0, 1: 2**60 - 1, 2: 2**60 - 1}
+
+
 def reached(near, start, without):
     found, todo = {start}, [start]
     while todo:
