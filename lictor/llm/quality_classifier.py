@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,14 +204,15 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int
     network = fitted(stored(document_vectors(docs, vectors)), labels, sample)
     table = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
         out = np.full(len(texts), 0.5)
         begin = 0
-        for batch in H.small(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text", 1 << 18):
+        for batch in H.small(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", 1 << 18):
             if network is not None:
                 out[begin:begin + batch.num_rows] = network(pooled(batch.column("text"), table.value).astype(np.float64))
             begin += batch.num_rows
-        return pd.Series(out)
+        pa.default_memory_pool().release_unused()
+        return pa.array(out)
 
     return docs.withColumn("_score", score("text")).where(F.col("_score") >= least).drop("_score")

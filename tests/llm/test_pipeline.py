@@ -81,3 +81,14 @@ def test_run_gives_the_last_stage(spark, folder):
     place, *_ = folder
     rows = corpus_pipeline.run(spark, place)
     assert {"doc_id", "text", "size", "source_size", "target", "taken"} <= set(rows.columns) and rows.count() > 90
+
+
+def test_accepted_rows_are_those_scored_one_and_are_scored_in_arrow_arrays(spark):
+    from lictor.llm import quality_classifier
+
+    docs = spark.createDataFrame([(i, " ".join(["good clear words"] * 9) if i % 2 else "junk junk junk") for i in range(60)] + [(60, None), (61, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    expected = {r["doc_id"] for r in quality_classifier.scored(docs, labels).where("predicted = 1").collect()}
+    found = quality_classifier.accepted(docs, labels)
+    assert {r["doc_id"] for r in found.collect()} == expected != set()
+    assert not hasattr(quality_classifier, "pd")
