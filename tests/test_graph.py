@@ -283,6 +283,29 @@ def test_communities_are_connected_and_as_good_as_one_by_one(table, rows, seed):
     assert graph.modularity(given, found).first()[0] >= 0.99 * sequential_louvain(edges)
 
 
+def test_a_round_of_communities_knows_the_modularity_before_it_and_takes_few_jobs(spark, table, monkeypatch):
+    rng = random.Random(3)
+    edges = table(EDGE, *[(f"n{a:02}", f"n{b:02}", float(rng.randint(1, 3))) for a, b in itertools.combinations_with_replacement(range(24), 2) if rng.random() < 0.3])
+    turns, states = [], []
+    once = graph._turn
+
+    def watched(arcs, level, whole, turn, min_gain):
+        found = once(arcs, level, whole, turn, min_gain)
+        turns.append(turn), states.append((level, found[1]))
+        return found
+
+    monkeypatch.setattr(graph, "_turn", watched)
+    spark.sparkContext.setJobGroup("communities", "rounds")
+    graph.communities(edges)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("communities"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 6 * len(turns) + 50 * turns.count(0)
+    loops = edges.filter("origen_id = destino_id").agg({"peso": "sum"}).first()[0] * 2
+    whole = edges.agg({"peso": "sum"}).first()[0] * 2
+    for level, value in states[: turns.index(0, 1) if 0 in turns[1:] else None]:
+        assert value + loops / whole == pytest.approx(graph.modularity(edges, level).first()[0])
+
+
 def test_a_community_in_pieces_is_split(table, rows):
     edges = table(EDGE, ("A", "B", 1.0), ("C", "D", 1.0), ("B", "X", 1.0), ("C", "X", 1.0))
     parts = table("nodo_id string, comunidad string", *[(v, "A") for v in "ABCD"], ("X", "X"))
