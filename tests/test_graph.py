@@ -228,6 +228,23 @@ def test_similar_values_lose_nothing(table, rows, threshold):
     assert groups(pairs) == groups(entities.entity_links(entities_in, threshold))
 
 
+def test_values_of_common_words_meet_seldom(table):
+    rng = random.Random(4)
+    words = ["hot cold red blue small large old new".split(), "ring bolt gear plate widget gizmo nut cog".split(), "ECONOMY SMALL MEDIUM PROMO LARGE STANDARD".split()]
+    draw = lambda: " ".join([rng.choice(words[0]), rng.choice(words[1]), f"brand#{rng.randint(1, 25)}", rng.choice(words[2]).lower(), str(rng.randint(1, 50))])
+    texts = sorted({" ".join(sorted(draw().split())) for _ in range(800)})
+    met = entities._meeting_values(table("metodo string, clave string", *[("d", t) for t in texts]), 10)
+    # Common segments of four letters would make most of the 300,000 pairs meet.
+    assert met.count() < 6000
+
+
+def test_letters_beyond_the_basic_plane_and_short_texts_meet(table, rows):
+    texts = ["", "a", "\U0001f600bcdefghijkl", "bcdefghijkl", "\U0001f601bcdefghijkl", "\n0123456789", "0123456789"]
+    found = entities.similar_values(table("metodo string, clave string", *[("d", t) for t in texts]), 90)
+    pairs = {tuple(sorted((x, y))) for x, y in itertools.combinations(texts, 2) if x + y and indel_ratio(x, y) >= 0.9 - 1e-12}
+    assert {tuple(sorted((r["a"], r["b"]))) for r in rows(found, "a", "b")} == pairs and pairs
+
+
 def test_groups_are_transitive(table, rows):
     chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(20)] + [("z", "y"), ("q", "q")]
     random.Random(1).shuffle(chain)
