@@ -4,7 +4,7 @@ A text, with a space in front, is encoded by a byte-level vocabulary (A) and by
 strings per token, so each token has a byte range.
 
 1. Both tokenisations are made in full. Neither has a token across a space behind a character that is no white space, so
-   a text is encoded by its stretches between such places, and short ones are remembered. (Vocabularies that have such
+   a text is encoded by its stretches between such places, and short ones are remembered as windows. (Vocabularies that have such
    tokens or other rules encode whole texts.) They count only if the joined bytes of each equal the space and the text.
 2. Anchors: token ends that A and B share and after which both go on with a token that begins with a space. They cut the
    document into windows of token ids, mostly words.
@@ -52,6 +52,8 @@ TOGETHER = 1 << 15
 STRETCH = re.compile("(?= )(?<=[^\\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff])")
 #: An id pair is one number: A id * WIDE + B id.
 WIDE = 1 << 31
+#: Between the A and the B ids of a window's key.
+MARK = np.int32(-1).tobytes()
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
@@ -191,19 +193,25 @@ class Windows:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.stretches: dict[str, int] = {}
         self.texts: list[bytes] = []
         self.links, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.tokens = np.empty((2, 0), np.int64)
 
     def places(self, keys: list[bytes]) -> np.ndarray:
         """The number of each window, by which its text and links are found. Numbers hold until the next call."""
         if len(self.links) > self.most:
             self._forget()
+        return self._placed(keys)
+
+    def _placed(self, keys: list[bytes]) -> np.ndarray:
         new = list(dict.fromkeys(k for k in keys if k not in self.known))
         if new:
-            self._learn(new)
+            self.known.update(zip(new, self._learn(new), strict=True))
         return np.array([self.known[k] for k in keys], np.int64)
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> range:
+        """Aligns windows and returns their numbers."""
         ids = np.frombuffer(b"".join(new), np.int32)
         of = np.repeat(np.arange(len(new)), [len(k) // 4 for k in new])
         mark = ids < 0
@@ -223,10 +231,45 @@ class Windows:
         symbol = np.r_[2 * a + a_last, 2 * len(self.given.a.table) + 2 * b + b_last][order].tolist()
         cut = np.searchsorted(np.r_[a_of, b_of][order], np.arange(len(new) + 1)).tolist()
         written = list(map(self.symbols.__getitem__, symbol))
-        self.known.update(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
+        self.tokens = np.c_[self.tokens, [np.bincount(a_of, minlength=len(new)), np.bincount(b_of, minlength=len(new))]]
         self.texts += [b"".join(written[s:e])[:-1] for s, e in zip(cut, cut[1:], strict=False)]
         self.links = np.r_[self.links, links]
         self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(count)]
+        return range(len(self.texts) - len(new), len(self.texts))
+
+    def texts_aligned(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """Number of A tokens, of B tokens and of groups, digest of the groups and all links of each text.
+
+        A stretch ends at an anchor, so a short one is a window, found by its characters without going through its ids.
+        """
+        if not self.given.parted:
+            encoded = self.given.encode(texts)
+            return [(len(a), len(b), *found) for (a, b), found in zip(encoded, self.align(encoded), strict=True)]
+        if len(self.links) > self.most or len(self.stretches) > STRETCHES:
+            self._forget()
+        parts = [STRETCH.split(" " + t) if t else [] for t in texts]
+        learnt = self.given._stretches(list({p for own in parts for p in own if p not in self.stretches}))
+        short = [p for p, ids in learnt.items() if ids and len(p) <= LONGEST]
+        if short:
+            self.stretches.update(zip(short, self._learn([MARK.join(learnt[p]) for p in short]), strict=True))
+        rows = []
+        for text, own in zip(texts, parts, strict=True):
+            try:
+                rows.append([self.stretches[p] for p in own])
+            except KeyError:  # a long stretch, or one that does not keep its bytes alone
+                rows.append(self._parted(text, own, learnt))
+        return self._joined(rows)
+
+    def _parted(self, text: str, own: list[str], learnt: dict[str, tuple[bytes, bytes] | None]) -> list[int]:
+        """The windows of a text whose stretches are not all remembered."""
+        if any(learnt.get(p, True) is None for p in own):
+            ((a, b),) = self.given._whole([text])
+            return self._placed(self._keys(a, b)).tolist() if len(a) else []
+        row: list[int] = []
+        for p in own:
+            at = self.stretches.get(p)
+            row += [at] if at is not None else self._placed(self._keys(*(np.frombuffer(i, np.int32) for i in learnt[p]))).tolist()
+        return row
 
     def align(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, str, np.ndarray]]:
         """Number of groups, digest of the groups and all links of each document, given as its A and B ids."""
@@ -235,15 +278,21 @@ class Windows:
             own = self._keys(a, b) if len(a) else []
             keys += own
             counts.append(len(own))
-        at = self.places(keys)
+        at, stop = self.places(keys).tolist(), np.cumsum([0, *counts]).tolist()
+        return [found[2:] for found in self._joined([at[s:e] for s, e in zip(stop, stop[1:], strict=False)])]
+
+    def _joined(self, rows: list[list[int]]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """Tokens, groups, digest and links of documents, given as the numbers of their windows."""
+        at = np.array([k for row in rows for k in row], np.int64)
         begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
         links = self.links[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        stop = np.r_[0, np.cumsum(size)]
-        texts, out, k = list(map(self.texts.__getitem__, at.tolist())), [], 0
-        for n in counts:
-            whole = b";".join(texts[k:k + n])
-            out.append((whole.count(b"|"), hashlib.sha256(whole).hexdigest() if n else "", links[stop[k]:stop[k + n]]))
-            k += n
+        last = np.cumsum([0, *map(len, rows)])
+        stop = np.r_[0, np.cumsum(size)][last].tolist()
+        tokens = np.diff(np.c_[np.zeros((2, 1), np.int64), np.cumsum(self.tokens[:, at], axis=1)][:, last]).tolist()
+        out = []
+        for row, n_a, n_b, first, end in zip(rows, *tokens, stop, stop[1:], strict=False):
+            whole = b";".join([self.texts[k] for k in row])
+            out.append((n_a, n_b, whole.count(b"|"), hashlib.sha256(whole).hexdigest() if row else "", links[first:end]))
         return out
 
     def _keys(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
@@ -266,10 +315,9 @@ def aligned(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
         for batch in H.small(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             numbers, digests, pairs, times = [], [], [], []
-            encoded = given.encode(texts)
-            for (a, b), (n, digest, links) in zip(encoded, windows.align(encoded), strict=True):
+            for *counted, digest, links in windows.texts_aligned(texts):
                 ids, count = np.unique(links, return_counts=True)
-                numbers.append((len(a), len(b), n, len(links)))
+                numbers.append((*counted, len(links)))
                 digests.append(digest)
                 pairs.append(ids)
                 times.append(count)

@@ -112,3 +112,18 @@ def test_stretches_are_encoded_once_and_make_the_same_ids(given):
         for ours, whole in zip(again.encode(batch), given._whole(batch), strict=True):
             assert all(np.array_equal(x, y) for x, y in zip(ours, whole, strict=True))
     assert again.parted and " word" in again.known and " " + "x" * 60 not in again.known
+
+
+def test_a_known_stretch_is_aligned_without_being_encoded_again(given, monkeypatch):
+    texts = [t or "" for t in TEXTS] + ["one  two\nthree four", "x" * 60 + " " + "y" * 70, " one two", "one two "]
+    ours, plain = align.Windows(given), align.Windows(given)
+    encoded = given._whole(texts)
+    expected = [(len(a), len(b), *found[:2], found[2].tolist()) for (a, b), found in zip(encoded, plain.align(encoded), strict=True)]
+    as_rows = lambda found: [(*row[:4], row[4].tolist()) for row in found]
+    assert as_rows(ours.texts_aligned(texts)) == expected
+    learnt = []
+    monkeypatch.setattr(given, "_stretches", lambda new: learnt.extend(new) or align.Tokenizers._stretches(given, new))
+    assert as_rows(ours.texts_aligned(texts)) == expected
+    assert not [p for p in learnt if len(p) <= align.LONGEST and align.Tokenizers._stretches(given, [p])[p]]
+    forgetful = align.Windows(given, 1)
+    assert [as_rows(forgetful.texts_aligned([t]))[0] for t in texts] == expected
