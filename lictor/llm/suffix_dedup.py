@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,9 +168,13 @@ def _cut(text: str, begins: np.ndarray, ends: np.ndarray) -> str | None:
     return left.decode() if left.strip(b" \t\n\x0b\x0c\r") else None
 
 
-@F.pandas_udf(StringType())
-def _cut_all(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
-    return pd.Series([t if b is None else _cut(t, b, e) for t, b, e in zip(texts, begins, ends, strict=True)], dtype=object)
+@F.arrow_udf(StringType())
+def _cut_all(texts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
+    """The texts without their spans, as Arrow arrays: a worker needs no pandas and keeps no memory of the batch."""
+    numbers = lambda spans: np.array(spans.as_py(), np.int64)
+    out = pa.array([t.as_py() if not b.is_valid else _cut(t.as_py(), numbers(b), numbers(e)) for t, b, e in zip(texts, begins, ends, strict=True)], pa.string())
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def cleaned(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS) -> DataFrame:

@@ -1,6 +1,8 @@
 """The pipeline on a small folder, stage by stage against brute force."""
 
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -92,3 +94,9 @@ def test_accepted_rows_are_those_scored_one_and_are_scored_in_arrow_arrays(spark
     found = quality_classifier.accepted(docs, labels)
     assert {r["doc_id"] for r in found.collect()} == expected != set()
     assert not hasattr(quality_classifier, "pd")
+
+
+def test_workers_of_the_pipeline_load_no_pandas():
+    """A worker that loads pandas holds 45 MB more for the rest of the session."""
+    seen = "import sys, corpus_pipeline; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", seen], capture_output=True, text=True, check=True).stdout.strip() == "False"
