@@ -198,3 +198,15 @@ def test_evidence_of_all_fields_goes_through_one_join(table, rows):
     found = patterns.shared_evidence(bids, entities, ["domicilio", "representante_tecnico"])
     assert rows(found, "licitacion_id") == [{"licitacion_id": "L1", "_domicilio": True, "_representante_tecnico": False}]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_pairs_of_few_items_are_dealt_over_all_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        items = spark.range(300).selectExpr("id % 30 AS g", "id AS x")
+        pairs = collusion.pairs_in_groups(items, ["g"], "x", block=4)
+        assert pairs.rdd.getNumPartitions() == 7
+        assert pairs.count() == 30 * 45 == pairs.distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
