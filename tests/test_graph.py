@@ -327,3 +327,13 @@ def test_a_community_in_pieces_is_split(table, rows):
     edges = table(EDGE, ("A", "B", 1.0), ("C", "D", 1.0), ("B", "X", 1.0), ("C", "X", 1.0))
     parts = table("nodo_id string, comunidad string", *[(v, "A") for v in "ABCD"], ("X", "X"))
     assert {r["comunidad"]: r["piezas"] for r in rows(graph.connected_communities(edges, parts), "comunidad")} == {"A": 2, "X": 1}
+
+
+def test_meeting_values_are_dealt_over_all_tasks(spark, table):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        met = entities._meeting_values(table("metodo string, clave string", *[("d", f"street number {i}") for i in range(100, 140)]), 10)
+        assert met.rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
