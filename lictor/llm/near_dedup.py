@@ -7,8 +7,9 @@ estimate drops the hopeless ones, with a slack of several standard deviations, a
 
 * Texts with equal sets are one class from the start (one row per class is compared, its copies follow it).
 * First every class is compared with the bucket centre that it meets most often, and linked groups are built. Only buckets that
-  then still hold more than one group are compared in full, in blocks of at most `BLOCK` x `BLOCK` sketches, and only
-  between groups: a bucket of thousands of near copies costs one comparison per copy, and no pair is left out.
+  then still hold more than one group are compared in full, in blocks of at most about `BLOCK` x `BLOCK` sketches, and only
+  classes outside the bucket's main group ask the others: a bucket of thousands of near copies costs one comparison per copy,
+  and no pair is left out. A pair comes from its smallest common bucket only.
 * In those blocks a second, finer odd sketch of a hash sample of the shingles (all of them, if they are few) drops most pairs
   between the estimate's slack and the threshold, so that a group just below the threshold does not become all its pairs.
 * At the similarity 0.8 a pair misses all 30 buckets with probability 7e-6, at 0.85 with 2e-8. Nothing is capped.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lictor.llm import hashing as H
-from lictor.llm.tables import Scratch, groups, map_arrow, small_side, stored
+from lictor.llm.tables import Scratch, groups, map_arrow, parted, stored
 
 ROWS, BANDS, BITS, BLOCK = 5, 30, 512, 512
 #: How far below the threshold an estimate may lie before the pair is dropped; the estimate's deviation is about 0.035.
@@ -91,8 +92,8 @@ def fine_sketches(items: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def fine_fits(n: int, fine: np.ndarray, others_n: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the other sets (sizes, fine sketches) may be as similar as the threshold."""
+def fine_similar(n: int, fine: np.ndarray, others_n: np.ndarray, others: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities to the other sets (sizes, fine sketches) by the sketches, and which may reach the threshold."""
     level, levels = int(sample_level(n)), sample_level(others_n)
     at = np.maximum(level, levels)
     near = (abs(levels - level) <= 1) & (np.minimum(n, others_n) >= threshold * np.maximum(n, others_n) - 1e-9)
@@ -101,7 +102,12 @@ def fine_fits(n: int, fine: np.ndarray, others_n: np.ndarray, others: np.ndarray
     ones = np.bitwise_count(pick(np.broadcast_to(fine, others.shape), level) ^ pick(others, levels)).sum(axis=1)
     apart = -FINE_BITS / 2 * np.log(np.maximum(1 - 2 * ones / FINE_BITS, 1e-9)) * 2.0**at
     similar = (n + others_n - apart) / (n + others_n + apart)
-    return near & (similar >= threshold - np.where(at > 0, SAMPLED_SLACK, FINE_SLACK))
+    return similar, near & (similar >= threshold - np.where(at > 0, SAMPLED_SLACK, FINE_SLACK))
+
+
+def fine_fits(n: int, fine: np.ndarray, others_n: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the other sets (sizes, fine sketches) may be as similar as the threshold."""
+    return fine_similar(n, fine, others_n, others, threshold)[1]
 
 
 def estimates(different: np.ndarray) -> np.ndarray:
@@ -159,7 +165,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             items = [H.shingles(found.of(i), size).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(items, pa.binary())], names=["cls", "items"])
 
-    texts = _keyed(docs).select("row_key", "text").join(wanted, "row_key")
+    # Only texts that may be wanted meet the wanted rows in a shuffle.
+    texts = parted(_keyed(docs).select("row_key", "text"), wanted, "row_key")[0].join(wanted, "row_key")
     return map_arrow(texts.select("cls", "text"), work, "cls binary, items binary")
 
 
@@ -182,49 +189,51 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare_blocks(threshold: float, nearest: bool = False) -> Callable:
-    """Sorted rows (key, low, high, side, cls, comp, n, sketch, fine) -> pairs of different groups that may be similar.
+    """Rows of `_ordered_blocks` -> pairs of different groups that may be similar: each class that asks with those that stay.
 
-    Rows of one (key, low, high) are one comparison: side 0 against side 1, or side 0 against itself if low = high. With
-    `nearest` only the pair of each class with the fewest differing bits is returned.
+    A pair comes from its smallest common bucket only. With `nearest` every class that asks gives the most similar one alone.
     """
     most = _most_different(threshold)
 
-    def compare(rows: list[tuple]) -> list[tuple]:
-        alone = rows[0][1] == rows[0][2]
-        left = [r for r in rows if r[3] == 0]
-        right = left if alone else [r for r in rows if r[3] == 1]
-        if not left or not right:
-            return []
-        x, y = np.stack([r[7] for r in left]), np.stack([r[7] for r in right])
-        fine, sizes = np.stack([r[8] for r in right]), np.array([r[6] for r in right])
+    def compare(bucket: int, parts: list[list[np.ndarray]]) -> list[tuple]:
+        stays, asks, loose, cls, comp, n, sketch, fine, *bands = (np.concatenate(c) for c in zip(*parts, strict=True))
+        there = np.flatnonzero(stays)
         found = []
-        for i, p in enumerate(left):
-            different = np.bitwise_count(x[i] ^ y).sum(axis=1)
-            hits = np.flatnonzero(different <= most)
-            hits = np.array([j for j in hits if p[5] != right[j][5] and (not alone or p[4] < right[j][4])], np.int64)
-            if len(hits):
-                hits = hits[fine_fits(p[6], p[8], sizes[hits], fine[hits], threshold)]
-            found += [(min(p[4], right[j][4]), max(p[4], right[j][4]), int(different[j])) for j in hits]
-        if nearest:
-            best: dict[bytes, tuple] = {}
-            for pair in sorted(found, key=lambda pair: (pair[2], pair)):
-                best.setdefault(pair[0], pair)
-                best.setdefault(pair[1], pair)
-            found = list(best.values())
+        for i in np.flatnonzero(asks) if len(there) else ():
+            fits = (np.bitwise_count(sketch[i] ^ sketch[there]).sum(axis=1) <= most) & (comp[there] != comp[i])
+            if not nearest:
+                # Two classes outside the bucket's main group ask each other; their pair counts once.
+                fits &= ~loose[there] | (cls[i] < cls[there])
+            hits = there[fits]
+            if not nearest:
+                common = np.where(bands[0][hits] == bands[0][i], bands[0][hits], np.iinfo(np.int64).max)
+                hits = hits[common.min(axis=1, initial=np.iinfo(np.int64).max) == bucket]
+            if not len(hits):
+                continue
+            similar, fits = fine_similar(int(n[i]), fine[i], n[hits], fine[hits], threshold)
+            apart = np.rint((1 - similar[fits]) * 1e6).astype(np.int64)
+            pairs = [(cls[i:i + 1].tobytes(), cls[j:j + 1].tobytes(), int(d)) for j, d in zip(hits[fits], apart, strict=True)]
+            found += [min(pairs, key=lambda pair: (pair[2], pair[1]))] if nearest and pairs else [(min(a, b), max(a, b), d) for a, b, d in pairs]
         return found
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list = []
+        key: tuple | None = None
         for batch in batches:
-            found = []
-            bitmaps = [batch.column(c).flatten().to_numpy().view(H.U).reshape(batch.num_rows, -1) for c in ("sketch", "fine")]
-            for row in zip(*(c.to_pylist() for c in batch.columns[:7]), *bitmaps, strict=True):
-                if held and held[0][:3] != row[:3]:
-                    found += compare(held) if len(held) > 1 else []
+            n, found = batch.num_rows, []
+            places = np.stack([batch.column(c).to_numpy() for c in ("bucket", "block", "chunk")], axis=1)
+            columns = [np.array(batch.column(c).to_pylist(), kind) for c, kind in (("stays", bool), ("asks", bool), ("loose", bool), ("cls", "S16"), ("comp", "S16"), ("n", np.int64))]
+            columns += [batch.column(c).flatten().to_numpy().view(np.int64 if c == "bands" else H.U).reshape(n, -1) for c in batch.schema.names[9:]] if n else []
+            begins = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]).any(axis=1)]) if n else []
+            for begin, end in zip(begins, np.r_[begins[1:], n], strict=True) if n else ():
+                at = tuple(places[begin].tolist())
+                if held and at != key:
+                    found += compare(key[0], held)
                     held = []
-                held.append(row)
+                key = at
+                held.append([c[begin:end] for c in columns])
             yield _pairs(found)
-        yield _pairs(compare(held) if len(held) > 1 else [])
+        yield _pairs(compare(key[0], held) if held else [])
 
     return work
 
@@ -235,19 +244,28 @@ def _pairs(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=["a", "b", "d"])
 
 
-def _ordered_blocks(scratch: Scratch, members: DataFrame, known: DataFrame, finer: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Buckets of more than `least` classes that still hold several groups, dealt into block pairs; and their sizes."""
+def _ordered_blocks(scratch: Scratch, members: DataFrame, known: DataFrame, finer: DataFrame, least: int, bands: bool) -> tuple[DataFrame, DataFrame]:
+    """Buckets of more than `least` classes that still hold several groups, dealt into comparisons; and their sizes.
+
+    Two classes of the bucket's main group are never compared, so only the others, the loose ones, ask. A class stays in its
+    own block of the bucket; one that asks goes to all blocks, in its own chunk. A comparison has at most about `BLOCK` of either.
+    """
     placed = members.select("bucket", "cls").join(known.select(F.col("node").alias("cls"), "root"), "cls", "left")
     placed = scratch.stored(placed.select("bucket", "cls", F.coalesce("root", "cls").alias("comp")))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    mixed = scratch.stored(mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") > least)).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    open_rows = placed.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    open_rows = open_rows.select("bucket", "cls", "comp", "own", other.alias("other")).select(
-        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "comp")
-    open_rows = open_rows.join(finer, "cls").select("bucket", "low", "high", "side", "cls", "comp", "n", "sketch", "fine")
-    return open_rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "cls"), mixed
+    held = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"))
+    share = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = scratch.stored(held.where((F.col("comps") > 1) & (F.col("n") > least)).select(
+        "bucket", F.col("main.comp").alias("main"), share(F.col("n")).alias("blocks"), share(F.col("n") - F.col("main.n")).alias("chunks")))
+    own = lambda parts: F.pmod(F.xxhash64("cls"), F.col(parts)).cast("int")
+    at = lambda block, chunk, stays, asks: F.struct(block.alias("block"), chunk.alias("chunk"), stays.alias("stays"), asks.alias("asks"))
+    upto = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    stays = F.transform(upto("chunks"), lambda c: at(own("blocks"), c, F.lit(True), F.col("loose") & (c == own("chunks"))))
+    asks = F.transform(F.filter(upto("blocks"), lambda b: F.col("loose") & (b != own("blocks"))), lambda b: at(b, own("chunks"), F.lit(False), F.lit(True)))
+    rows = placed.join(mixed, "bucket").withColumn("loose", F.col("comp") != F.col("main"))
+    rows = rows.select("bucket", "cls", "comp", "loose", F.explode(F.concat(stays, asks)).alias("at")).join(finer, "cls")
+    rows = rows.select("bucket", "at.block", "at.chunk", "at.stays", "at.asks", "loose", "cls", "comp", "n", "sketch", "fine", *(["bands"] if bands else []))
+    return rows.repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk", "cls"), mixed
 
 
 def _differing(x: str, y: str):
@@ -269,15 +287,18 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = scratch.stored(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key")))
     nodes = full.select("cls", "row_key", "n_shingles", "bands", "sketch", "fine").join(classes.select("cls", "row_key"), ["cls", "row_key"]).dropDuplicates(["cls"])
     nodes = scratch.stored(nodes)
-    sketches = nodes.select("cls", "sketch")
-    finer = nodes.select("cls", F.col("n_shingles").alias("n"), "sketch", "fine")
-
     # Buckets with more than one class, and their members.
     band = nodes.select("cls", F.explode("bands").alias("bucket"))
     crowded = band.groupBy("bucket").agg(F.min("cls").alias("centre"), F.max("cls").alias("other")).where("centre < other")
     # Minima are stored before they are joined back: only a join of two plain shuffles is split at a hot key.
     members = scratch.stored(band.join(scratch.stored(crowded.select("bucket", "centre")), "bucket"))
 
+    # Sketches of the classes in such buckets alone.
+    crowd = scratch.stored(members.select(F.xxhash64("cls").alias("key")).distinct())
+    finer = nodes.select(F.xxhash64("cls").alias("key"), "cls", F.col("n_shingles").alias("n"), "sketch", "fine", "bands")
+    finer = scratch.stored(parted(finer, crowd, "key")[0].drop("key"))
+    sketches = finer.select("cls", "sketch")
+
     # One comparison per class first: with the bucket centre that it meets most often.
     meets = members.where("cls <> centre").groupBy("cls", "centre").agg(F.count("*").alias("n"))
     stars = meets.groupBy("cls").agg(F.max(F.struct("n", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("cls").alias("b"))
@@ -287,16 +308,16 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = scratch.stored(_confirmed(stars, _wanted_sets(scratch, docs, classes, stars, size), percent))
     known = groups(links)
 
-    # Large buckets: in each round every class is compared with its nearest class of another group, so that a large group
-    # of near copies closes before its pairs are looked at. This only orders the work; the last step is complete.
+    # Large buckets: in each round every class outside its bucket's main group is compared with its nearest class of another
+    # group, so that a large group of near copies closes before its pairs are looked at. This only orders the work; the last
+    # step is complete.
     tested, threshold, schema = stars, percent / 100, "a binary, b binary, d int"
     for _ in range(NEAREST_ROUNDS):
-        blocks, large = _ordered_blocks(scratch, members, known, finer, LARGE)
+        blocks, large = _ordered_blocks(scratch, members, known, finer.drop("bands"), LARGE, False)
         if large.isEmpty():
             break
-        pairs = scratch.stored(map_arrow(blocks, _compare_blocks(threshold, nearest=True), schema))
-        ends = pairs.select(F.col("a").alias("end"), "d", "a", "b").union(pairs.select("b", "d", "a", "b"))
-        pairs = ends.groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+        pairs = map_arrow(blocks, _compare_blocks(threshold, nearest=True), schema).groupBy("a").agg(F.min(F.struct("d", "b")).alias("best"))
+        pairs = pairs.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
         pairs = scratch.stored(pairs.join(tested, ["a", "b"], "left_anti"))
         found = scratch.stored(_confirmed(pairs, _wanted_sets(scratch, docs, classes, pairs, size), percent))
         tested, links = tested.union(pairs), links.union(found)
@@ -305,7 +326,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         known = groups(links)
 
     # Then everything that shares a bucket across the groups found so far.
-    blocks, _ = _ordered_blocks(scratch, members, known, finer, 1)
+    blocks, _ = _ordered_blocks(scratch, members, known, finer, 1, True)
     more = map_arrow(blocks, _compare_blocks(threshold), schema).select("a", "b").distinct()
     more = scratch.stored(more.join(tested, ["a", "b"], "left_anti"))
     more_links = _confirmed(more, _wanted_sets(scratch, docs, classes, more, size), percent)
@@ -325,8 +346,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _wanted_sets(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    # Few wanted sets are sent to the texts, many meet them in a shuffle.
-    sets = _sets(docs, small_side(scratch.stored(wanted.join(classes.select("cls", "row_key"), "cls"))), size)
+    sets = _sets(docs, scratch.stored(wanted.join(classes.select("cls", "row_key"), "cls")), size)
     return scratch.stored(sets.dropDuplicates(["cls"]))
 
 
@@ -340,8 +360,10 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     row = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     unnamed = found.where("component_id IS NULL AND root IS NOT NULL").groupBy("root").agg(F.min("row_key").alias("row_key"))
     gone = found.where("root IS NOT NULL AND NOT doc_id <=> component_id OR component_id IS NULL AND root IS NOT NULL")
-    gone = gone.join(unnamed, "row_key", "left_anti").select(F.col("row_key").alias("_row")).distinct()
-    again = found.groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias("_row"))
-    left = row.join(gone, "_row", "left_anti")
+    gone = stored(gone.join(unnamed, "row_key", "left_anti").select(F.col("row_key").alias("_row")).distinct())
+    again = stored(found.groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias("_row")))
+    # Rows that neither may concern go past the joins.
+    met, others = parted(row, gone.union(again), "_row")
+    left = met.join(gone, "_row", "left_anti")
     single, repeated = left.join(again, "_row", "left_anti"), left.join(again, "_row", "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["_row"])).drop("_row")
+    return others.unionByName(single).unionByName(repeated.dropDuplicates(["_row"])).drop("_row")

@@ -9,9 +9,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lictor.llm import (
-    chat, decontamination, hashing, html_text, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter,
+    chat, decontamination, hashing, html_text, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, tables, token_counts, url_filter,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, target string, row string"
@@ -451,6 +452,31 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert near_dedup.deduplicated(docs.where("false")).count() == 0
 
 
+def test_rows_that_no_key_concerns_go_past_a_join(spark):
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("key"))
+    keys = tables.stored(rows.where("id % 50 = 0").select("key"))
+    met, others = (part.select("id").toPandas()["id"].tolist() for part in tables.parted(rows, keys, "key"))
+    assert sorted(met + others) == list(range(5000))
+    assert set(range(0, 5000, 50)) <= set(met) and len(met) < 500
+    met, others = tables.parted(rows, keys.where("false"), "key")
+    assert met.count() == 0 and others.count() == 5000 and others.columns == rows.columns
+
+
+def test_one_large_group_is_not_compared_with_itself(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    names = [bytes([i]) * 16 for i in range(1, 101)]
+    members = spark.createDataFrame([(7, n) for n in names], "bucket long, cls binary")
+    known = spark.createDataFrame([(n, names[0]) for n in names[1:97]], "node binary, root binary")
+    finer = spark.createDataFrame([(n, 9, [i] * 8, [i] * 32, [7] + [i] * 29) for i, n in enumerate(names)], "cls binary, n long, sketch array<long>, fine array<long>, bands array<long>")
+    scratch = tables.Scratch()
+    rows = near_dedup._ordered_blocks(scratch, members, known, finer, 1, True)[0].collect()
+    assert len(rows) <= 100 + 3 * 13  # each class once, and the three loose ones in every block
+    met = {frozenset((r.cls, s.cls)) for r in rows for s in rows if r.asks and s.stays and (r.block, r.chunk) == (s.block, s.chunk) and r.comp != s.comp}
+    loose = names[97:]
+    assert met == {frozenset((a, b)) for a in loose for b in names if a != b}
+    scratch.drop(spark)
+
+
 def test_odd_sketches_estimate_high_similarities():
     draw = np.random.default_rng(1)
     for similarity in (0.95, 0.9, 0.8, 0.7):
