@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lictor.llm import hashing as H
-from lictor.llm.tables import map_arrow, stored
+from lictor.llm.tables import map_arrow, parted, stored
 
 WINDOW = 13
 #: Words of a shingle; windows of fewer words are one shingle.
@@ -187,4 +187,7 @@ def cleaned(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int
     """`docs` without the contaminated rows."""
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     bad = judged(keyed.select(F.col("_row").alias("doc_id"), "text"), items, size, shingle, percent).where("contaminated")
-    return keyed.join(bad.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").drop("_row")
+    bad = stored(bad.select(F.col("doc_id").alias("_row")).distinct())
+    # Only rows that may be contaminated meet the list in a shuffle.
+    met, others = parted(keyed, bad, "_row")
+    return others.unionByName(met.join(bad, "_row", "left_anti")).drop("_row")

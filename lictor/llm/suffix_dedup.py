@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lictor.llm import hashing as H
-from lictor.llm.tables import Scratch, map_arrow, stored
+from lictor.llm.tables import Scratch, map_arrow, parted, stored
 
 LEAST, SEED_WORDS = 50, 10
 
@@ -183,10 +183,12 @@ def cleaned(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS) -
     A text is cut from the passage's first word up to the next word behind it. Rows whose words are all cut go; rows
     without a cut stay as they are.
     """
-    cuts = passages(docs, least, seed_words).where("removed").groupBy(F.col("row_key").alias("_row")).agg(
-        F.collect_list("begin").alias("_begins"), F.collect_list("end").alias("_ends"))
-    joined = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(cuts, "_row", "left")
+    cuts = stored(passages(docs, least, seed_words).where("removed").groupBy(F.col("row_key").alias("_row")).agg(
+        F.collect_list("begin").alias("_begins"), F.collect_list("end").alias("_ends")))
+    # Only rows that may have a cut meet the cuts in a shuffle.
+    met, others = parted(docs.withColumn("_row", F.xxhash64("doc_id", "text")), cuts, "_row")
+    joined = met.join(cuts, "_row", "left")
     joined = joined.withColumn("text", _cut_all("text", "_begins", "_ends")).where("_begins IS NULL OR text IS NOT NULL")
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("_begins").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+    return others.select(*docs.columns).unionByName(joined.select(*docs.columns))
